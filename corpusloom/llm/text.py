@@ -70,7 +70,7 @@ class Texts:
         return out
 
     def words(self) -> "Words":
-        return Words(self)
+        return Words(self, _SPACE)
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a value per byte over each text."""
@@ -81,10 +81,10 @@ class Texts:
 class Words:
     """Start, end and text number of every word of a block, with 64-bit hashes of words and of word windows."""
 
-    def __init__(self, texts: Texts):
+    def __init__(self, texts: Texts, separators: np.ndarray):
         self.texts = texts
         data, offsets = texts.data, texts.offsets
-        solid = ~_SPACE[data]
+        solid = ~separators[data]
         before, after = np.zeros_like(solid), np.zeros_like(solid)
         before[1:], after[:-1] = solid[:-1], solid[1:]
         edges = offsets[(offsets > 0) & (offsets < len(data))]
