@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, secret_scan, simhash
+from . import decontaminate, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def _label_split(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Labels that may be learnt from; of several rows for a document the least label counts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~_held_out(3, 1))
+    return labels.groupBy("doc_id").agg(F.min(label).alias("label"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language_id.train(docs, docs.where(~_held_out(4, 2)).select("doc_id", F.col("lang").alias("label")))
+    return language_id.identify(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = _documents(spark, sf_dir).select("doc_id", F.lit(1).alias("version"), F.col("text").alias("content"))
     found, _ = secret_scan.scan_versions(versions, ["doc_id"])
@@ -29,6 +45,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = quality_cnn.score(docs, quality_cnn.train(docs, _label_split(spark, sf_dir, "quality")))
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
