@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash
+from . import decontaminate, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.train(docs, _label_split(spark, sf_dir, "toxic")))
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = _documents(spark, sf_dir).select("doc_id", F.lit(1).alias("version"), F.col("text").alias("content"))
     found, _ = secret_scan.scan_versions(versions, ["doc_id"])
