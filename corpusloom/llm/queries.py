@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash, toxicity
+from . import decontaminate, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.train(docs, _label_split(spark, sf_dir, "toxic")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and the rows keep their columnar form for later scans.
     """
     spark = df.sparkSession
+    schema = df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # What went into the table is not needed any more: let Spark's cleaner see that, so that finished steps give their shuffle
+    # files back and disk holds the largest step, not the sum of all.
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
