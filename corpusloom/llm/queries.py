@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash, substring_dedup, toxicity
+from . import decontaminate, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash, substring_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return found.withColumn("headers", F.array_join(pairs, ";"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir))
 
@@ -79,5 +85,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+WARC_SQL = """
+WITH pages_ AS (
+  SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+  FROM pages
+), urls AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), ':(80|443)$', ''), '^www[.]', '') AS host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&') AS query
+  FROM pages_
+), base AS (
+  SELECT *, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url,
+         '"' || substr(digest, 1, 16) || '"' AS tag, 'day ' || (page_id % 365) AS day,
+         TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL 1 MINUTE AS crawled
+  FROM urls
+), responses AS (
+  SELECT page_id * 3 AS response_id, canonical_url, crawled AS ts, tag, day, digest, length(html) AS size FROM base
+), revisits AS (
+  SELECT page_id * 3 + 1 AS record_id, canonical_url, crawled + INTERVAL 1800 SECOND AS ts, page_id % 3 = 0 AS by_date,
+         CASE WHEN page_id % 5 = 0 THEN '"other"' ELSE 'W/' || tag END AS tag, day FROM base
+  UNION ALL
+  SELECT page_id * 3 + 2, canonical_url, crawled + INTERVAL 90000 SECOND, page_id % 3 = 0, tag, day FROM base
+), found AS (
+  SELECT v.*, r.response_id, r.tag AS old_tag, r.day AS old_day, r.digest, r.size,
+         row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.response_id DESC) AS k
+  FROM revisits v LEFT JOIN responses r ON v.canonical_url = r.canonical_url AND r.ts <= v.ts
+), judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no-response'
+                 WHEN by_date THEN CASE WHEN day = old_day THEN 'resolved' ELSE 'validators-differ' END
+                 WHEN regexp_replace(tag, '^W/', '') = old_tag THEN 'resolved' ELSE 'validators-differ' END AS verdict
+  FROM found WHERE k = 1
+)
+SELECT record_id, canonical_url, ts, response_id, verdict, CASE WHEN verdict = 'resolved' THEN digest END AS payload_digest,
+       CASE WHEN verdict = 'resolved' THEN CASE WHEN by_date
+         THEN 'content-length=' || size || ';etag=' || old_tag || ';last-modified=' || day || ';server=b'
+         ELSE 'content-length=' || size || ';date=' || day || ';etag=' || tag || ';last-modified=' || old_day || ';server=a' END END AS headers,
+       CASE WHEN verdict = 'resolved' THEN 200 END AS status
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_revisits": WARC_SQL}
