@@ -29,7 +29,10 @@ OPEN = 16
 MERGED = 64
 END = 2
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: ASCII signs that the tokenizer keeps together behind letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+END_BYTES = array("I", [END]).tobytes()
 
 PIECES = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 ROWS = pa.schema([*PIECES, ("part", pa.int64()), ("ids", pa.binary())])
@@ -39,27 +42,47 @@ _SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, s
 Piece = tuple[int, int, bytes, int]
 
 
-class Encoder:
-    """Ids of texts. White space separates the tokenizer's words, so each distinct word is encoded once and remembered."""
+class Encoder(dict):
+    """Ids of white-space words, looked up by their bytes and worked out when first seen.
+
+    White space separates the tokenizer's own words, so ids of a text are those of its words in turn. Most words are
+    letters with ASCII signs behind; these two parts go to the BPE model alone, other words through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = list({w for x in words for w in x} - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({w for x in words for w in x})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
-        known = self.known.__getitem__
-        end = array("I", [END]).tobytes()
-        return [b"".join(map(known, x)) + end for x in words]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        # the tokenizer's mapping of bytes to characters, read off its byte-level step
+        step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: step.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250)}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.letters))]).tobytes()
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        core = text.rstrip(SIGNS)
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
+            ids = self._part(core.lower())
+            if len(core) < len(text):
+                ids += self._part(text[len(core) :])
+        else:
+            ids = array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split())) + END_BYTES
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -151,10 +174,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = O
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, packer, encode, made = TaskContext.get().partitionId(), Packer(length, windows), _encoder(tokenizer), 0
+        part, packer, encoder, made = TaskContext.get().partitionId(), Packer(length, windows), _encoder(tokenizer), 0
         for batch, texts in blocks(batches):
             full = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([texts.bytes(i) for i in range(texts.n)]), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), (encoder.encode(texts.bytes(i)) for i in range(texts.n)), strict=True):
                 for pieces in packer.add(doc_id, ids):
                     full.append(((part << 32) | made, pieces))
                     made += 1
