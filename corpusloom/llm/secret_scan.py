@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -106,6 +108,13 @@ def scan_versions(versions: DataFrame, keys: list[str], ledger: DataFrame | None
     return findings_by_path(versions, known, keys, rules), new
 
 
+def mask_versions(versions: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(keys, content) of the versions whose content has findings, with these masked."""
+    found, _ = scan_versions(versions, keys, None, rules)
+    found = materialize(found.where(F.size("findings") > 0), "secret-hits")
+    return versions.select(*keys, "content").join(found, keys).select(*keys, redact(F.col("content"), F.col("findings")).alias("content"))
+
+
 def spans_text(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
