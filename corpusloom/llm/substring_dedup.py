@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import materialize
-from .text import Texts, blocks, mix, record_batch
+from .text import WINDOW_FACTORS, Texts, blocks, mix, record_batch
 
 LENGTH = 13
 GRAM = 3
@@ -44,7 +44,7 @@ class Runs:
             return
         size = (words.end - words.start).astype(np.uint64)
         m = len(hashes) - GRAM + 1
-        gram = sum(hashes[k : k + m] * np.uint64(2 * k + 3) for k in range(GRAM))
+        gram = sum(hashes[k : k + m] * WINDOW_FACTORS[k] for k in range(GRAM))
         gram = mix(gram)
         long = np.minimum(sum(size[k : k + m] for k in range(GRAM)), np.uint64(255))
         rank = ((np.uint64(255) - long) << np.uint64(56)) | (gram >> np.uint64(8))
@@ -75,7 +75,7 @@ class Runs:
         n = len(self.hashes) - self.length + 1
         h = np.zeros(n, np.uint64)
         for k in range(self.length):
-            h += self.hashes[k : k + n] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1))
+            h += self.hashes[k : k + n] * WINDOW_FACTORS[k]
         return mix(h)
 
 

@@ -21,7 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240501)
 _BYTE_VALUES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
-_WINDOW_FACTORS = _RANDOM.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
+#: Random factors of the places in a window: no two arrangements of the same words share their sum.
+WINDOW_FACTORS = _RANDOM.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -115,7 +116,7 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         h = np.zeros(n, np.uint64)
         for k in range(width):
-            h += hashes[k : k + n] * _WINDOW_FACTORS[k]
+            h += hashes[k : k + n] * WINDOW_FACTORS[k]
         at = np.flatnonzero(self.doc[:n] == self.doc[width - 1 :])
         return at, mix(h[at])
 
