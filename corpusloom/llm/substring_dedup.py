@@ -135,7 +135,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keys (a passage in a third of all documents) Spark splits.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(anchors(docs, length), "substring-anchors")
+    found = anchors(docs, length)  # read twice; cheaper to find again than to keep on disk
     shared = materialize(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "substring-shared")
     by_doc = materialize(found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared")), "substring-seeds")  # anchors of one document
     runs = materialize(_runs(docs.join(by_doc, "doc_id"), length), "substring-runs")
