@@ -49,6 +49,9 @@ def breadcrumb(elements: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
     headings = F.transform(F.filter(F.array(*live), lambda h: h.isNotNull()), lambda h: h["value"])
     rows = rows.where(~F.col("ignored") & (F.col("type") != "heading") & (F.trim("content") != "")).withColumn("breadcrumb", trim_breadcrumb(headings, config))
     content = F.trim("content")
+    if "asset_uri" in elements.columns:  # images stand as Markdown
+        alt = F.regexp_replace(content, r"([\[\]])", r"\\$1")
+        content = F.when((F.col("type") == "image") & (F.coalesce("asset_uri", F.lit("")) != ""), F.concat(F.lit("!["), alt, F.lit("]("), "asset_uri", F.lit(")"))).otherwise(content)
     text = F.when(F.size("breadcrumb") > 0, F.concat(F.array_join("breadcrumb", config.separator), F.lit(": "), content)).otherwise(content)
     return rows.select("doc_id", "element_id", "order", "type", F.col("level").cast("int").alias("level"), "page_id", "breadcrumb", content.alias("raw_text"), text.alias("text"))
 

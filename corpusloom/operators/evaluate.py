@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +76,19 @@ def normalize_answers(rows: DataFrame) -> DataFrame:
         "case_id", F.when(failed, F.concat(F.lit("ERROR: "), "error")).otherwise(F.coalesce("answer", "response", F.lit(""))).alias("answer"),
         F.when(failed, none).otherwise(F.coalesce("contexts", texts, none)).alias("contexts"), (~failed).alias("success"),
     )
+
+
+def evaluate_cases(cases: DataFrame, evaluator: Callable[[str, list[str], str], list[tuple[str, float]]]) -> DataFrame:
+    """(case_id, name, score): metrics of every case (case_id, answer, contexts, ground_truth) by a pluggable evaluator."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(r.case_id, name, float(score)) for r in f.itertuples() for name, score in evaluator(r.answer, list(r.contexts), r.ground_truth)]
+            yield pd.DataFrame(rows, columns=["case_id", "name", "score"]).astype({"case_id": "int64", "score": float})
+
+    return cases.select(F.col("case_id").cast("long").alias("case_id"), "answer", "contexts", "ground_truth").mapInPandas(run, "case_id long, name string, score double")
+
+
+def length_metrics(answer: str, contexts: list[str], ground_truth: str) -> list[tuple[str, float]]:
+    """A deterministic stand-in for an evaluator."""
+    return [("answer_ratio", len(answer) / max(len(ground_truth), 1)), ("n_contexts", len(contexts))]

@@ -179,7 +179,9 @@ def markdown_blocks(text: str) -> list[tuple]:
     return found
 
 
-def _blocks_to_elements(docs: DataFrame, column: str, blocks) -> DataFrame:
+def parse_with(docs: DataFrame, column: str, blocks) -> DataFrame:
+    """Elements by a parser function: text to (type, format, content, level, ignored) blocks."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(d, f"{d}_el_{k}", k, *b[:3], b[3], b[4]) for d, text in zip(batch["doc_id"], batch["text"]) for k, b in enumerate(blocks(text))]
@@ -191,11 +193,11 @@ def _blocks_to_elements(docs: DataFrame, column: str, blocks) -> DataFrame:
 
 def parse_html(docs: DataFrame, column: str = "html") -> DataFrame:
     """Blocks of HTML pages; tables stay HTML, blocks of navigation, scripts and the like are marked ignored."""
-    return _blocks_to_elements(docs, column, html_blocks)
+    return parse_with(docs, column, html_blocks)
 
 
 def parse_markdown(docs: DataFrame, column: str = "text") -> DataFrame:
-    return _blocks_to_elements(docs, column, markdown_blocks)
+    return parse_with(docs, column, markdown_blocks)
 
 
 def normalize_page_json(docs: DataFrame) -> DataFrame:
@@ -271,7 +273,7 @@ def layout_items(text: str) -> list[tuple]:
 
 def normalize_layout_json(docs: DataFrame) -> DataFrame:
     """Elements of layout-model JSON; page headers and footers are marked ignored."""
-    return _blocks_to_elements(docs, "json", lambda t: [(kind, "text", content, level, label in LAYOUT_IGNORED) for kind, content, level, label in layout_items(t)])
+    return parse_with(docs, "json", lambda t: [(kind, "text", content, level, label in LAYOUT_IGNORED) for kind, content, level, label in layout_items(t)])
 
 
 def bbox_to_topleft(box: Column, page_height: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("intake_queries", "parse_queries", "search_queries", "evaluate_queries")
+MODULES = ("intake_queries", "parse_queries", "search_queries", "evaluate_queries", "sink_queries", "flagship")
 
 
 def load() -> None:

@@ -117,7 +117,7 @@ def wipe_kb(spark, sf_dir):
     return files.without_keys(points, points.where("kb_id = 3"), ["kb_id"])
 
 
-@query("session_expiry", """WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+@query("stream_session_expiry", """WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id AS thread_id, min(ts) AS opened_at, max(ts) + INTERVAL 2 HOUR AS expires_at, count(*) AS uploads FROM s GROUP BY user_id, k""")
 def session_expiry(spark, sf_dir):
     return jobs.session_expiry(table(spark, sf_dir, "events").select(F.col("user_id").alias("thread_id"), "ts"))
@@ -126,7 +126,7 @@ def session_expiry(spark, sf_dir):
 KINDS = ", ".join(f"'{s}'" for s in STATUSES)
 
 
-@query("stuck_events", """WITH n AS (SELECT user_id AS doc_id, ts, event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, (SELECT max(ts) FROM events) AS now FROM events)
+@query("stream_stuck", """WITH n AS (SELECT user_id AS doc_id, ts, event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, (SELECT max(ts) FROM events) AS now FROM events)
 SELECT doc_id, ts AS silent_since, event_type AS status FROM n WHERE epoch(coalesce(nxt, now)) - epoch(ts) > CASE WHEN event_type = 'view' THEN 300 ELSE 900 END AND event_type IN ('view', 'click', 'error')""")
 def stuck_events(spark, sf_dir):
     beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
