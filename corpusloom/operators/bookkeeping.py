@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.ranking import numbered
+
 # Fixed values
 RUNNING = ("QUEUED", "PARSING", "CHUNKING", "EMBEDDING", "PENDING_REPARSE", "PENDING_RECHUNK", "PENDING_REEMBED", "DELETING")
 PRIORITIES = {"critical": 5, "high": 4, "medium": 3, "low": 2, "lowest": 1}
@@ -38,11 +40,10 @@ def priority(name: Column) -> Column:
 def fair_queue(docs: DataFrame) -> DataFrame:
     """``turn``: the round in which a waiting document is served, one of each knowledge base a round, oldest first.
 
-    The rows of one knowledge base are ordered together; a base with a third of all documents is one sort of narrow rows.
+    One base may own most documents; its rows are numbered over many partitions.
     """
-    waiting = docs.where(F.col("status").isin("QUEUED", "PENDING_REPARSE"))
-    turn = F.row_number().over(Window.partitionBy("kb_id").orderBy("created_at", "doc_id"))
-    return waiting.select("doc_id", "kb_id", "created_at", turn.alias("turn"))
+    waiting = docs.where(F.col("status").isin("QUEUED", "PENDING_REPARSE")).select("doc_id", "kb_id", "created_at")
+    return numbered(waiting, ["kb_id"], ["created_at", "doc_id"], "turn")
 
 
 def next_in_queue(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.ordered import ordered_fold
 from corpusloom.functions.split import PLAIN_SEPARATORS, estimate_tokens, split_text
+from corpusloom.sources.shared import stored
 
 # Fixed values
 MAX_CONTEXT_CHARS, MAX_CHUNKS, MAX_BATCH_TOKENS = 16_000, 10, 2048
@@ -164,14 +165,8 @@ def first_sentence(text: str) -> str:
 def tree_reduce(texts: DataFrame, budget: int, summarise: Callable[[str], str] = first_sentence, max_depth: int = 20) -> DataFrame:
     """(doc_id, summary, depth): blocks of every document summarised level by level until one is left.
 
-    One job a level over all documents that are not finished. Levels are cut off with a reliable checkpoint where a checkpoint folder
-    is set. Documents whose summaries do not shrink, or that pass ``max_depth``, give a null summary.
+    One job a level over all documents that are not finished; each level is written to the shared folder. Documents whose summaries do not shrink, or that pass ``max_depth``, give a null summary.
     """
-    spark = texts.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    durable = spark.sparkContext.getCheckpointDir() is not None
-
     @F.pandas_udf("string")
     def model(blocks: pd.Series) -> pd.Series:
         return blocks.map(summarise)
@@ -181,7 +176,7 @@ def tree_reduce(texts: DataFrame, budget: int, summarise: Callable[[str], str] =
         blocks = repack(level, budget).withColumn("summary", model("content"))
         size = Window.partitionBy("doc_id")
         blocks = blocks.withColumns({"n": F.count("*").over(size), "grown": F.sum(F.length("summary")).over(size) >= F.sum(F.length("content")).over(size)})
-        blocks = blocks.checkpoint() if durable else blocks.persist()
+        blocks = stored(blocks, "tree-level")
         over = (F.col("n") == 1) | F.col("grown")
         ended = blocks.where(over).groupBy("doc_id").agg(F.max(F.when(F.col("n") == 1, F.col("summary"))).alias("summary"), F.lit(depth).alias("depth"))
         done = ended if done is None else done.unionByName(ended)

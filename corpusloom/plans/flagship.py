@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chunk, parse, retrieval, vectors
 
+from corpusloom.sources.shared import stored
+
 from .registry import query, table
 
 
@@ -17,7 +19,8 @@ def passages_for_questions(spark: SparkSession, sf_dir: str, limit: int = 5) ->
     elements = parse.parse_plain_text(docs)
     pages = parse.assign_pages(elements)
     elements = elements.join(pages, ["doc_id", "order"]).withColumn("page_id", F.concat("doc_id", F.lit("_page_"), F.col("page_no").cast("string")))
-    chunks = chunk.semantic_chunk(elements)
+    elements = stored(elements, "elements")
+    chunks = stored(chunk.semantic_chunk(elements), "chunks")
     tokens = chunks.select("chunk_id", vectors.bm25_tokens(F.col("page_content")).alias("tokens"))
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), vectors.bm25_tokens(F.col("text")).alias("tokens"))
     hits = vectors.sparse_topk(vectors.bm25_doc_weights(tokens), vectors.bm25_query_weights(questions), limit * 4)

@@ -294,3 +294,13 @@ def test_ordered_fold_holds_groups_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r.k, r.n) for r in got) == [(k, 23 if k < 2 else 22) for k in range(9)] and all(r.sorted for r in got)
+
+
+def test_numbers_of_one_large_group(spark):
+    from corpusloom.functions.ranking import numbered
+
+    rows = spark.range(1000).select((F.col("id") % 97 == 0).alias("small"), (F.col("id") * 7919 % 1000).alias("o"))
+    got = numbered(rows, ["small"], ["o"]).toPandas()
+    for _, own in got.groupby("small"):
+        own = own.sort_values("o")
+        assert list(own["row_number"]) == list(range(1, len(own) + 1))
