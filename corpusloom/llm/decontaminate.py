@@ -140,5 +140,5 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, item
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hit = contaminated(docs, items, threshold).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == F.col("hit"), "left_anti")
+    hit = materialize(contaminated(docs, items, threshold).select(F.col("doc_id").alias("contaminated_doc_id")).distinct(), "contaminated")
+    return docs.join(hit, docs["doc_id"].cast("long") == hit["contaminated_doc_id"], "left_anti")

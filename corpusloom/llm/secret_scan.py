@@ -88,31 +88,34 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, .
     return todo.select("blob", F.explode(F.filter(F.array(*scans), lambda x: x.isNotNull())).alias("x")).select("blob", "x.rule", "x.findings")
 
 
-def findings_by_path(versions: DataFrame, ledger: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``keys`` of every version, its blob and all findings of its content, ordered by start and then by rule.
+def findings_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, findings): all findings of a blob under the current rule versions, ordered by start and then by rule.
 
-    The join is on the blob alone; a blob that a third of all paths carry is split by Spark's skew join.
+    It is written out, so that a join with paths has plain exchanges on both sides and Spark can split a blob that a third of all
+    paths carry.
     """
     current = ledger.where(F.col("rule").isin([r.key for r in rules]))
-    by_blob = current.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("found"))  # a row for each rule of the blob
+    found = current.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("found"))  # a row for each rule of the blob
     rank = F.map_from_arrays(F.array(*(F.lit(r.kind) for r in rules)), F.array(*(F.lit(i) for i in range(len(rules)))))
     ordered = F.transform(F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    by_blob = materialize(by_blob.select("blob", ordered.alias("findings")), "secret-findings")  # so that the join's two sides are plain exchanges
-    return versions.select(*keys, blob_of(F.col("content")).alias("blob")).join(by_blob, "blob", "left")
+    return materialize(found.select("blob", ordered.alias("findings")), "secret-findings")
 
 
 def scan_versions(versions: DataFrame, keys: list[str], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings of every version, new ledger rows). Append the second to the stored ledger."""
+    """(keys, blob and findings of every version; new ledger rows). Append the second to the stored ledger."""
     new = materialize(scan_new(versions, ledger, rules), "secret-ledger")
     known = new if ledger is None else ledger.select("blob", "rule", "findings").unionByName(new)
-    return findings_by_path(versions, known, keys, rules), new
+    paths = versions.select(*keys, blob_of(F.col("content")).alias("blob"))
+    return paths.join(findings_by_blob(known, rules), "blob", "left"), new
 
 
-def mask_versions(versions: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(keys, content) of the versions whose content has findings, with these masked."""
-    found, _ = scan_versions(versions, keys, None, rules)
-    found = materialize(found.where(F.size("findings") > 0), "secret-hits")
-    return versions.select(*keys, "content").join(found, keys).select(*keys, redact(F.col("content"), F.col("findings")).alias("content"))
+def mask_column(docs: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with the findings in ``column`` masked. Each distinct text is scanned once; texts join their findings by blob."""
+    new = materialize(scan_new(docs.select(F.col(column).alias("content")), None, rules), "secret-ledger")
+    hits = materialize(findings_by_blob(new, rules).where(F.size("findings") > 0), "secret-hits").toDF("scanned_blob", "scanned_findings")
+    joined = docs.join(hits, blob_of(docs[column]) == hits["scanned_blob"], "left")
+    masked = F.when(hits["scanned_blob"].isNotNull(), redact(docs[column], hits["scanned_findings"])).otherwise(docs[column])
+    return joined.select(*((masked.alias(c) if c == column else docs[c]) for c in docs.columns))
 
 
 def spans_text(findings: Column) -> Column:

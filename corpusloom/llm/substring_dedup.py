@@ -10,7 +10,8 @@ anchor in both. Anchors found in one document only are dropped; others are exten
 * Where an anchor has several different runs, the first document of each run compares single windows with the others.
 
 Overlapping windows unite to maximal repeats. Hashes have 64 bits. Null and empty texts have no word. ``doc_id`` names one
-text; repeated rows of a document get the same result each.
+text; repeated rows of a document get the same result each. Rows without doc_id are kept whole and nothing repeats them.
+Other columns are not read.
 """
 
 from __future__ import annotations
