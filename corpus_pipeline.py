@@ -15,9 +15,9 @@ from corpusloom.llm.staging import materialize
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Documents by doc_id; ids hold one row per document at most."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"] == F.col("_id"), how)
+    """Documents whose doc_id is listed, or with left_anti is not; ids hold one row per document at most."""
+    ids = ids.select(F.col("doc_id").alias("listed_doc_id"))
+    return docs.join(ids, docs["doc_id"] == ids["listed_doc_id"], how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +39,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; n_chars follows. Each distinct text is scanned and masked once."""
-    content = docs.select("*", F.col("text").alias("content"))
-    masked = secret_scan.mask_versions(content, ["doc_id"])
-    changed = materialize(masked.select("doc_id", F.col("content").alias("masked")), "masked").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(changed, docs["doc_id"] == F.col("_id"), "left")
-    text = F.coalesce("masked", "text")
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("masked").isNull(), F.col("n_chars")).otherwise(F.length("masked").cast(docs.schema["n_chars"].dataType))).select(docs.columns)
+    """Secrets are masked in the texts; n_chars follows where a text changed."""
+    masked = secret_scan.mask_column(docs.withColumn("n_chars_before", F.length("text")))
+    size = F.when(F.length("text").eqNullSafe(F.col("n_chars_before")), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return masked.select(*(size.alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
