@@ -29,7 +29,7 @@ OPEN = 16
 MERGED = 64
 END = 2
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: ASCII signs that the tokenizer keeps together behind letters.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END_BYTES = array("I", [END]).tobytes()
