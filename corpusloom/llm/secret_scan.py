@@ -38,8 +38,17 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: A private key from BEGIN to the matching END. Without one it ends with its header lines and lines of base64; line breaks may
+#: be escaped, and on one line runs of 16 and more count.
+_BREAK = r"(?:[\r\n]|\\[rn])"
+_PEM = (
+    r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END \1-----"
+    rf"|(?:{_BREAK}++\x20*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+"
+    rf"(?:(?:\s|\\[rn])++[A-Za-z0-9+/]{{16,}}+=*+|{_BREAK}(?:\s|\\[rn])*+[A-Za-z0-9+/]++=*+[\x20\t]*+(?={_BREAK}|$))*+)"
+)
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", _PEM, version=2),
     Rule("bearer", r"(?:ghp_|gho_|xoxb-|xoxp-|glpat-)[A-Za-z0-9_-]{16,}"),
 )
 RULES = BASE_RULES + MORE_RULES

@@ -252,6 +252,21 @@ def test_masking_removes_secrets(spark):
     assert {i for i, t in enumerate(SECRETS) if masked[i] != t} == {i for i, t in enumerate(SECRETS) if brute_spans(t)}
 
 
+def test_masking_leaves_no_line_of_a_private_key(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "b+/Z" * 12, "c0" * 32, "Qm9i" * 16, "dGFpbA=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    header = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    whole = [begin + b + b.join(lines) + b + end for b in ("\n", "\r\n", "\\n", " ", "\n> ")] + [begin + "\n" + header + "\n".join(lines) + "\n" + end]
+    cut = [begin + "\n" + "\n".join(lines), begin + "\n" + header + "\n".join(lines), begin + "\\n" + "\\n".join(lines), begin + "\n" + "\n".join(lines) + "\n-----END DSA PRIVATE KEY-----", begin]
+    texts = [f"before {k}\nafter the key" for k in whole] + [f"before {k}\nafter the key" for k in cut] + [f"before {begin} after the key", f"{cut[0]}\nafter the key\n{whole[0]}\nlast line", begin + "\n" + "\n".join(["Ab0/" * 16] * 20_000) + "\n" + end]
+    masked = {r.doc_id: r.text for r in secret_scan.mask_column(frame(spark, texts)).collect()}
+    assert [masked[i] for i in range(len(whole))] == ["before [SECRET]\nafter the key"] * len(whole)
+    for i, text in masked.items():
+        assert begin not in text and not any(x in text for x in (*lines, "DEK-Info", "Ab0/")), texts[i][:200]
+        assert i == len(texts) - 1 or "after the key" in text
+    assert masked[len(texts) - 3] == "before [SECRET] after the key" and masked[len(texts) - 2] == "[SECRET]\nafter the key\n[SECRET]\nlast line" and masked[len(texts) - 1] == "[SECRET]"
+
+
 def brute_contained(texts, items, t=0.8):
     w = lambda s: re.findall(r"[^\W_]+", (s or "").lower())
     out = set()
