@@ -6,13 +6,14 @@ document has at most floor((1 - t) * size) shingles elsewhere, so at least one o
 document: the search misses nothing, whatever the document's length. Each candidate is then verified by the containment of all
 its distinct shingles (64-bit hashes).
 
-Words are maximal runs of letters and digits after lower-casing (ASCII and Latin-1 letters). Items under five words are
-one shingle of their own length; null, empty or wordless items match nothing.
+Words are maximal runs of Unicode letters and digits after lower-casing, so quotes, dashes and spaces of any script separate them.
+Items under five words are one shingle of their own length; null, empty or wordless items match nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,32 @@ ITEMS_PER_BLOCK = 20_000
 #: Shingles of the items in one pass; this bounds what a task holds (8 bytes each, twice).
 SHINGLES_PER_BLOCK = 4_000_000
 
-_SEPARATOR = np.array([not chr(b).isalnum() and b < 128 for b in range(256)])
+_SPACE = np.arange(256) == 0x20
+
+
+@lru_cache(maxsize=1)
+def _code_points() -> np.ndarray:
+    """The lower-case letter or digit of every code point, a space for all others."""
+    points = [chr(c) for c in range(0x110000)]
+    lower = (ord(c.lower()[0]) if c.isalnum() else 0x20 for c in points)
+    out = np.fromiter(lower, np.uint32, len(points))
+    out[ord("ς")] = ord("σ")  # both are the lower-case letter of one capital
+    return out
 
 
 def _folded_words(texts: Texts) -> Words:
-    lower = texts.lower_ascii()
-    data = lower.data
-    if len(data) > 1:  # U+00C0 to U+00DE are C3 80 to C3 9E; their lower-case letters are 32 further on, but for U+00D7
-        upper = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        data[1:][upper] += 32
-    return Words(lower, _SEPARATOR)
+    try:
+        text = texts.data.tobytes().decode()
+        first = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])[texts.offsets]  # code points before each text
+    except UnicodeDecodeError:
+        parts = [texts.bytes(i).decode(errors="replace") for i in range(texts.n)]
+        text, first = "".join(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+    points = _code_points()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    sizes = 1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF)
+    folded = object.__new__(Texts)
+    folded.n, folded.offsets = texts.n, np.concatenate([[0], np.cumsum(sizes)])[first]
+    folded.data = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+    return Words(folded, _SPACE)
 
 
 def item_shingles(items: DataFrame, width: int = SHINGLE) -> DataFrame:

@@ -297,6 +297,19 @@ def test_contamination_matches_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in brute_contained(texts, items)}
 
 
+def test_contamination_of_typographic_copies_matches_brute_force(spark):
+    items = [
+        "don't say it's the reader's first choice, when the writer's own words aren't there", "L'été d'Élise n'est pas l'hiver qu'on aime - c'est l'automne", 'he said "yes, of course" - and then "no, never" to the whole room',
+        "ΟΔΟΣ ΣΟΦΙΑΣ και πλατεία ΑΓΓΕΛΟΣ στην πόλη", "МОСКВА слезам не верит, а Петербург верит всему", "ŁÓDŹ żółty ĆWIK ŚNIEG źdźbło ŻABA", "price 10 20 30 40 50 60 70",
+    ]
+    signs = str.maketrans({"'": "\u2019", "-": "\u2014", " ": "\u00a0", ",": "\u2026"})
+    texts = [x for s in items for x in (s.translate(signs), f"\u00ab{s.lower()}\u00bb", s.upper().replace(" - ", "\u2013"), f"a\u201c{s}\u201d b")] + ["漢字 \U0001f642 \U00010400\U00010428", "x" + items[0], "", None]
+    benchmark = spark.createDataFrame([*enumerate(items), (90, "\u2014 \u2026"), (91, "\U00010428\U00010400")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), benchmark).collect()}
+    assert got == {(i, j if j < len(items) else 91) for i, j in brute_contained(texts, [*items, "\U00010428\U00010400"])}
+    assert {(4 * j + k, j) for j in range(len(items)) for k in range(4)} <= got
+
+
 def test_contamination_of_nothing(spark, empty, odd):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(empty, nothing).count() == 0
