@@ -3,20 +3,22 @@
 The model is a modified Kneser-Ney trigram over UTF-8 bytes folded to 128 symbols, one per language. A closed alphabet
 bounds it (at most 128^3 entries a language) however large the corpus is, so every document is counted and no n-gram is
 pruned. Each language is stored as a sorted array of n-gram codes beside an array of log-probabilities.
-A document's log-perplexity must lie inside its language's band: median -+ ``width`` robust deviations
-(interquartile range / 1.349) over all documents that pass the counting rules. The mean over a short text varies more, so
-the band is widened by sqrt(1 + SHORT / word_chars).
+A document's log-perplexity is measured in robust deviations from what its language has at its length: ``fit_lengths``
+fits median and variance (from interquartile ranges) of the length classes of all documents that pass the counting rules, as
+linear functions of 1 / word_chars. The band ends on either side where a normal distribution would have ``false_share`` of
+the documents that are found beyond (the step-up rule of Benjamini and Hochberg), so each language's tails decide how many go.
 
 Null or empty texts: all counts 0, ``base_failed`` true. Null languages form one language of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import materialize
@@ -32,9 +34,16 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Languages whose counters one task holds at once (16 MB each); with more it emits early.
 LANGUAGES_AT_ONCE = 8
-#: Log-perplexity is binned to this width for exact, order-independent quantiles.
-BIN = 0.005
-SHORT = 500
+#: Log-perplexity and deviations are binned to these widths for exact, order-independent quantiles and tail counts.
+BIN, DEVIATION_BIN = 0.0005, 0.05
+#: Deviations beyond this are counted as this.
+FARTHEST = 40
+#: Middle and robust deviation of a document's language at its length, and the document's distance from it.
+MIDDLE = "(m0 + m1 / greatest(word_chars, 1))"
+SPREAD = f"greatest(sqrt(v0 + v1 / greatest(word_chars, 1)), {BIN})"
+DEVIATION = f"(log_ppl - {MIDDLE}) / {SPREAD}"
+#: Documents that a length class needs to count in a fit.
+CLASS_DOCS = 8
 
 
 def _trigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -210,19 +219,68 @@ def _repeat_words(words, width: int = 5) -> np.ndarray:
     return np.bincount(words.doc[covered], minlength=words.texts.n)
 
 
-def perplexity_bands(stats: DataFrame, width: float) -> DataFrame:
-    """(lang, middle, half) from exact quartiles of the binned log-perplexities of documents that pass the counting rules."""
-    bins = stats.where("not base_failed and log_ppl is not null").groupBy("lang", F.floor(F.col("log_ppl") / BIN).alias("bin")).count()
-    by_lang = Window.partitionBy("lang")
-    ranked = bins.withColumn("upto", F.sum("count").over(by_lang.orderBy("bin"))).withColumn("all", F.sum("count").over(by_lang))
-    quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin") * BIN))
-    quartiles = ranked.groupBy("lang").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"))
-    spread = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.01)) * width
-    return quartiles.select("lang", F.col("q2").alias("middle"), spread.alias("half"))
-
-
-def quality_rules(docs: DataFrame, band_width: float = 6.0) -> DataFrame:
-    """One row per document: its counts, ``base_failed``, ``log_ppl`` and the verdict ``kept``.
+def length_classes(stats: DataFrame) -> DataFrame:
+    """(lang, class, x, n, q): 1 / mean word_chars, documents and exact quartiles of the binned log-perplexities, by doubling
+    length, of documents that pass the counting rules. A group holds a count for each bin, not its rows."""
+    size = F.greatest("word_chars", F.lit(1))
+    bins = F.floor(F.col("log_ppl") / BIN)
+    groups = stats.where("not base_failed and log_ppl is not null").groupBy("lang", F.floor(F.log2(size)).alias("class"))
+    return groups.agg((F.count("*") / F.sum(size)).alias("x"), F.count("*").alias("n"), F.percentile(bins, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+
+
+def _line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Weighted least squares of y on x; a constant where the x do not differ."""
+    mx, my = np.average(x, weights=w), np.average(y, weights=w)
+    sxx = np.sum(w * (x - mx) ** 2)
+    slope = float(np.sum(w * (x - mx) * (y - my)) / sxx) if sxx > 0 else 0.0
+    return float(my - slope * mx), slope
+
+
+def fit_lengths(x: np.ndarray, n: np.ndarray, q1: np.ndarray, q2: np.ndarray, q3: np.ndarray) -> tuple[float, float, float, float]:
+    """(m0, m1, v0, v1) of one language: centre m0 + m1 * x and variance v0 + v1 * x at x = 1 / word_chars, v0 and v1 not negative."""
+    use = n >= min(CLASS_DOCS, n.max())
+    x, n, q2, v = x[use], n[use].astype(float), q2[use], np.maximum((q3[use] - q1[use]) / 1.349, BIN) ** 2
+    m0, m1 = _line(x, q2, n / v)
+    w = n / v**2  # relative errors count alike
+    v0, v1 = _line(x, v, w)
+    if v1 < 0:
+        v0, v1 = float(np.average(v, weights=w)), 0.0
+    elif v0 < 0:
+        v0, v1 = 0.0, float(np.sum(w * x * v) / np.sum(w * x * x))
+    return m0, m1, v0, v1
+
+
+def tail_bound(at: np.ndarray, n: np.ndarray, total: int, false_share: float) -> float:
+    """The least deviation at which a normal tail over ``total`` documents is ``false_share`` of those beyond; ``n`` lie at or
+    above each of the ascending ``at`` and below the next. Infinite where there is none."""
+    beyond = np.cumsum(n[::-1])[::-1]
+    chance = np.array([0.5 * total * math.erfc(z / math.sqrt(2)) for z in at])
+    found = np.flatnonzero((at > 0) & (chance <= false_share * beyond))
+    return float(at[found[0]]) if len(found) else math.inf
+
+
+def perplexity_bands(stats: DataFrame, false_share: float) -> DataFrame:
+    """(lang, m0, m1, v0, v1, low, high): each language's fit and its band in deviations. The driver gets a row for each length
+    class and each binned deviation of a language."""
+    spark = stats.sparkSession
+    classes = length_classes(stats).orderBy("lang", "class").toPandas()
+    fits = {lang: fit_lengths(own["x"].to_numpy(), own["n"].to_numpy(), *((np.stack(own["q"]) + 0.5) * BIN).T) for lang, own in classes.groupby("lang")}
+    fitted = spark.createDataFrame([(k, *v) for k, v in fits.items()], "lang string, m0 double, m1 double, v0 double, v1 double")
+    z = F.least(F.greatest(F.expr(DEVIATION), F.lit(-FARTHEST)), F.lit(FARTHEST))
+    rows = stats.where("not base_failed and log_ppl is not null").join(F.broadcast(fitted), "lang").groupBy("lang", F.floor(F.abs(z) / DEVIATION_BIN).alias("bin"), (z < 0).alias("below")).count().toPandas()
+    bands = []
+    for lang, own in rows.groupby("lang"):
+        ends = []
+        for side in (True, False):
+            tail = own[own["below"] == side].sort_values("bin")
+            ends.append(tail_bound(tail["bin"].to_numpy() * DEVIATION_BIN, tail["count"].to_numpy(), int(own["count"].sum()), false_share))
+        bands.append((lang, *fits[lang], -ends[0], ends[1]))
+    return spark.createDataFrame(bands, "lang string, m0 double, m1 double, v0 double, v1 double, low double, high double")
+
+
+def quality_rules(docs: DataFrame, false_share: float = 0.01) -> DataFrame:
+    """One row per document: its counts, ``base_failed``, ``log_ppl``, the band's ``middle`` at its length with its extent below
+    (``half_below``) and above (``half``), and the verdict ``kept``.
 
     ``kept`` is false where the counting rules fail or the log-perplexity lies outside the language's band. Texts with
     no trigram, and languages with no document that passes the counting rules, have no perplexity verdict.
@@ -232,6 +290,7 @@ def quality_rules(docs: DataFrame, band_width: float = 6.0) -> DataFrame:
     model = NgramModel(kneser_ney(counts).toArrow())  # bounded: at most 128^3 entries a language
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
     stats = materialize(document_stats(docs, model).withColumn("base_failed", failed), "quality-stats")
-    bands = materialize(perplexity_bands(stats, band_width), "perplexity-bands")  # a row a language
-    inside = F.expr(f"log_ppl is null or middle is null or abs(log_ppl - middle) <= half * sqrt(1 + {SHORT} / greatest(word_chars, 1))")
-    return stats.join(F.broadcast(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("lang")
+    bands = perplexity_bands(stats, false_share)  # a row a language
+    inside = F.expr(f"log_ppl is null or m0 is null or ({DEVIATION} > low and {DEVIATION} < high)")
+    judged = stats.join(F.broadcast(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return judged.select(*(c for c in stats.columns if c != "lang"), F.expr(f"{MIDDLE} as middle"), F.expr(f"-low * {SPREAD} as half_below"), F.expr(f"high * {SPREAD} as half"), "kept")

@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, on small tables with nulls, ties, repeats and odd texts."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -198,6 +199,29 @@ def test_perplexity_band_rejects_noise_and_keeps_text(spark):
     assert not got[60] and sum(got[i] for i in range(60)) >= 58
 
 
+def test_perplexity_bands_catch_junk_at_every_length(spark):
+    random = np.random.default_rng(8)
+    rows = []
+    for i in range(6000):
+        chars = int(2 ** random.uniform(6, 13))
+        junk = i % 40 < 2
+        lang = "ab"[i % 2]
+        ppl = (1.5 if lang == "a" else 2.5) + 3 / chars + (0.5 if lang == "a" else 1.0) * chars**-0.5 * (random.normal() + 6 * junk)
+        rows.append((i, lang, chars, i % 97 == 5, float(ppl)))
+    rows += [(6000 + i, "c", 300, False, 1.7 + 0.001 * (i % 9)) for i in range(200)]  # no tail at all
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, word_chars long, base_failed boolean, log_ppl double").repartition(3)
+    bands = {r.lang: r for r in quality_rules.perplexity_bands(stats, 0.01).collect()}
+    assert bands["a"].v1 == pytest.approx(0.25, rel=0.35) and bands["b"].v1 == pytest.approx(1.0, rel=0.35)
+    assert bands["a"].m0 == pytest.approx(1.5, abs=0.01) and bands["b"].m0 == pytest.approx(2.5, abs=0.01)
+    assert all(2.5 < bands[x].high < 4 for x in "ab") and bands["c"].high == math.inf and bands["c"].low == -math.inf
+    judged = {r.doc_id: r.z for r in stats.join(quality_rules.perplexity_bands(stats, 0.01), "lang").where("lang != 'c'").select("doc_id", F.expr(f"{quality_rules.DEVIATION} >= high").alias("z")).collect()}
+    junk = [z for i, z in judged.items() if i % 40 < 2]
+    plain = [z for i, z in judged.items() if i % 40 >= 2]
+    assert sum(junk) >= 0.97 * len(junk) and sum(plain) <= 0.005 * len(plain)
+    short = [judged[i] for i, _, chars, *_ in rows[:6000] if i % 40 < 2 and chars < 128]
+    assert sum(short) >= 0.95 * len(short)
+
+
 def test_quality_rules_of_nothing(empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
