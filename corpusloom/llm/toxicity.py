@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length.
 
-Folding lower-cases, strips accents, maps look-alike letters of other scripts and compatibility forms to Latin, and undoes
-digit substitutions; everything else but letters becomes a space. Lexicon entries are whole words and word beginnings,
+Folding lower-cases, strips accents (composed or combining), maps look-alike letters of other scripts and compatibility forms
+to Latin, and undoes digit substitutions; everything else but letters becomes a space. Signs that stand for several letters
+match each of them; ``!`` and ``|`` are signs only before a letter or sign. Lexicon entries are whole words and word beginnings,
 weighted by the log-odds of toxic against other training documents, as counted by Spark. A word counts once, with
 its heaviest entry, and not inside an exception phrase. A logistic curve over the total weight and the weight per length
 gives the score.
@@ -29,13 +30,21 @@ MAX_ROWS = 20_000
 #: Bounds of the candidate entries and of the lexicon.
 MAX_CANDIDATES, MAX_ENTRIES = 30_000, 5_000
 PREFIXES = range(4, 9)
+#: Toxic training documents that an entry needs, whatever the size of the sample.
+LEAST_DOCS = 5
 
 # Letters of other scripts that look like Latin letters, and digits and signs written for letters.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "b",
 }
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+DIGITS = {"0": "o", "1": "i", "2": "z", "6": "b", "!": "i", "|": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+#: Signs of several readings; DIGITS has the one that training counts.
+READINGS = {"1": "il", "!": "il", "|": "il", "6": "bg"}
+_CLASS = str.maketrans({c: sign for sign, letters in (("1", "il1!|"), ("6", "bg6")) for c in letters})
+#: Blocks of combining marks.
+MARKS = (*range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), *range(0xFE20, 0xFE30))
+_DELETED = 1
 #: Phrases in which an entry is harmless, in folded form.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "circus clown", "sore loser", "pond scum", "soap scum")
 
@@ -47,33 +56,46 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         if c.isalpha():
             one[b] = ord(c)
     one[128:] = np.arange(128, 256)
-    wide = np.zeros(1 << 16, np.uint8)
-    for cp in range(0x80, 1 << 16):
+    wide = np.zeros(0x110000, np.uint8)
+    for cp in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
         c = unicodedata.normalize("NFKD", chr(cp))[:1].lower()
-        c = LOOK_ALIKES.get(c, DIGITS.get(c, c))
+        c = LOOK_ALIKES.get(c, DIGITS.get(c, c) if c.isalnum() else c)
         if c.isascii() and c.isalpha():
             wide[cp] = ord(c)
-        elif 0x300 <= cp < 0x370 or not chr(cp).isalpha():
+        elif not chr(cp).isalpha():
             wide[cp] = 0x20
+    wide[list(MARKS)] = _DELETED
     return one, wide
 
 
 _ONE, _WIDE = _tables()
+_SIGN = np.isin(np.arange(256), [ord(c) for c in READINGS])
+_OPTIONAL = np.isin(np.arange(256), [ord("!"), ord("|")])
 
 
-def fold(texts: Texts) -> Texts:
-    """Folded copies of the texts, each between two spaces."""
-    d = np.concatenate([texts.data, np.zeros(2, np.uint8)]).astype(np.int32)
+def fold(texts: Texts, signs: bool = False) -> Texts:
+    """Folded copies of the texts; with ``signs``, those of several readings stay as they are."""
+    d = np.concatenate([texts.data, np.zeros(3, np.uint8)]).astype(np.int32)
     n = len(texts.data)
     out, keep = _ONE[texts.data].copy(), np.ones(n, bool)
-    two = np.flatnonzero((d[:n] >= 0xC2) & (d[:n] < 0xE0))
-    to = _WIDE[((d[two] & 31) << 6) | (d[two + 1] & 63)]
-    at = two[to > 0]
-    out[at], keep[at + 1] = to[to > 0], False
-    three = np.flatnonzero((d[:n] >= 0xE0) & (d[:n] < 0xF0))
-    to = _WIDE[((d[three] & 15) << 12) | ((d[three + 1] & 63) << 6) | (d[three + 2] & 63)]
-    at = three[to > 0]
-    out[at], keep[at + 1], keep[at + 2] = to[to > 0], False, False
+    for least, under, size in ((0xC2, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0xF5, 4)):
+        first = np.flatnonzero((d[:n] >= least) & (d[:n] < under))
+        cp = d[first] & (0x7F >> size)
+        for k in range(1, size):
+            cp = (cp << 6) | (d[first + k] & 63)
+        to = _WIDE[np.minimum(cp, 0x10FFFF)]
+        at = first[to > 0]
+        out[at], keep[at] = to[to > 0], to[to > 0] != _DELETED
+        for k in range(1, size):
+            keep[at + k] = False
+    if signs:
+        out = np.where(_SIGN[texts.data], texts.data, out)
+    # from the right: ! and | before a space or the end of their text are spaces
+    final = np.zeros(n, bool)
+    final[texts.offsets[1:][texts.offsets[1:] > texts.offsets[:-1]] - 1] = True
+    for i in np.flatnonzero(_OPTIONAL[texts.data])[::-1]:
+        if final[i] or out[i + 1] == 0x20:
+            out[i] = 0x20
     kept = np.concatenate([[0], np.cumsum(keep)])[texts.offsets]
     folded = object.__new__(Texts)
     folded.n, folded.offsets, folded.data = texts.n, kept, out[keep]
@@ -106,10 +128,13 @@ class Lexicon:
     def automaton(self):
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
+            held: dict[str, list] = {}
             for phrase in self.exceptions:
-                self._automaton.add_word(f" {phrase} ", (len(phrase) + 2, None))
+                held.setdefault(f" {phrase} ".translate(_CLASS), []).append((f" {phrase} ", None))
             for entry, w in self.weights.items():
-                self._automaton.add_word(entry, (len(entry), w))
+                held.setdefault(entry.translate(_CLASS), []).append((entry, w))
+            for key, entries in held.items():  # entries that some reading may tell apart share a key
+                self._automaton.add_word(key, entries)
             self._automaton.make_automaton()
         return self._automaton
 
@@ -117,17 +142,21 @@ class Lexicon:
         """Summed weights of the matched words outside exception phrases."""
         best: dict[int, float] = {}
         exempt: list[tuple[int, int]] = []
-        for end, (n, w) in self.automaton.iter(text):
-            start = end - n + 1
-            if w is None:
-                exempt.append((start, end))
-            elif w > best.get(start, 0.0):
-                best[start] = w
+        for end, entries in self.automaton.iter(text.translate(_CLASS)):
+            start = end - len(entries[0][0]) + 1
+            seen = text[start : end + 1]
+            for entry, w in entries:
+                if seen != entry and not all(a == b or b in READINGS.get(a, "") for a, b in zip(seen, entry, strict=True)):
+                    continue
+                if w is None:
+                    exempt.append((start, end))
+                elif w > best.get(start, 0.0):
+                    best[start] = w
         return sum(w for at, w in best.items() if not any(a <= at < b for a, b in exempt))
 
     def totals(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Weight and number of words of each text."""
-        folded = fold(texts)
+        folded = fold(texts, signs=True)
         solid = folded.data != 0x20
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
@@ -186,8 +215,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, except
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
         return Lexicon({}, exceptions)
-    least = 5 + (toxic + other) // 1000
-    top = _counted(rows.where("label = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()
+    top = _counted(rows.where("label = 1")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()
     seen = {r["entry"]: r["n"] for r in top}
     against = {r["entry"]: r["n"] for r in _counted(rows.where("label = 0"), frozenset(seen)).collect()}
     weights = {}

@@ -418,6 +418,20 @@ def test_toxicity_folding_and_exceptions():
     assert lexicon.total(" idiot trash can ") == 3.0 and lexicon.total(" trash idiots ") == 6.0
 
 
+def test_toxicity_sees_through_disguises():
+    import pyarrow as pa
+
+    from corpusloom.llm.text import Texts
+
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " loser ": 2.0, " clow": 1.0, " garbage ": 5.0})
+    cases = {
+        "i\u0301dio\u0308t": 3, "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d": 3, "1oser c1own": 3, "!diot, |d1ot!": 6, "|oser": 2, "6ar6age garbage!": 10, "ldiot ioser barbage": 0,
+        "idiot! | loser|": 5, "\U0001f642idiot\U0001f642": 3, "class c1own": 0, "\u0301": 0, "!": 0, "漢字 \U00020000": 0,
+    }
+    total, _ = lexicon.totals(Texts(pa.array([*cases, None, ""])))
+    assert dict(zip(cases, total[:-2])) == cases and not total[-2:].any()
+
+
 def test_toxicity_held_out(spark):
     random = np.random.default_rng(7)
     plain = ["river", "stone", "green", "walks", "over", "under", "table", "garden", "light"]
