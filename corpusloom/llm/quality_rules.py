@@ -1,39 +1,49 @@
 """Quality rules: counting rules, and perplexity bands of an n-gram model counted by Spark over the whole corpus.
 
-The model is a modified Kneser-Ney trigram over UTF-8 bytes folded to 128 symbols, one per language. A closed alphabet
-bounds it (at most 128^3 entries a language) however large the corpus is, so every document is counted and no n-gram is
-pruned. Each language is stored as a sorted array of n-gram codes beside an array of log-probabilities.
-A document's log-perplexity is measured in robust deviations from what its language has at its length: ``fit_lengths``
-fits median and variance (from interquartile ranges) of the length classes of all documents that pass the counting rules, as
-linear functions of 1 / word_chars. The band ends on either side where a normal distribution would have ``false_share`` of
-the documents that are found beyond (the step-up rule of Benjamini and Hochberg), so each language's tails decide how many go.
-
-Null or empty texts: all counts 0, ``base_failed`` true. Null languages form one language of their own.
+The model is modified Kneser-Ney over runs of ``ORDER`` = 5 UTF-8 bytes, one per language, of every document that passes the counting
+rules; copies count as often as they occur. A run is packed in 40 bits, so its code is exact; no run is pruned and the number of
+entries grows with the corpus. Entries are stored in arrays sorted by a hash of the code. Where a language has more than
+``ENTRIES_AT_ONCE``, its arrays are cut by that hash, and its documents are read once for each part: a task holds one part.
+
+Every run of a scored document was counted, so no score needs back-off. ``log_ppl`` is the negative log-probability of the whole text for each
+byte of a letter or digit: signs and separators add to it and never dilute it. It is measured in robust deviations from what the
+language has at that length: ``fit_lengths`` fits median and variance (from interquartile ranges) of the length classes of all
+documents that pass the counting rules, as linear functions of 1 / word_chars. The band ends on either side where a normal distribution would have
+``false_share`` of the documents that are found beyond (the step-up rule of Benjamini and Hochberg), so each language's tails decide
+how many go.
+
+Null or empty texts: all counts 0, ``base_failed`` true. Null languages form one language of their own. Repeated rows, equal or with
+one doc_id, get a row each; ties have equal verdicts. Texts of any length are handled in blocks, but for their words, which one task holds
+(16 bytes a word). Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import materialize
-from .text import Texts, blocks, record_batch
+from .text import Texts, Words, blocks, mix, record_batch
 
-SYMBOLS = 128
-_FOLD = np.arange(256, dtype=np.int32)
-_FOLD[128:] = 1 + (_FOLD[128:] & 30)
+ORDER = 5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-#: Languages whose counters one task holds at once (16 MB each); with more it emits early.
-LANGUAGES_AT_ONCE = 8
+_LETTER = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+
+#: Model entries that a task holds at once (12 bytes each, and 8 for each while they are sent).
+ENTRIES_AT_ONCE = 4_000_000
+#: Distinct runs that a counting task holds before it emits them.
+COUNTED_AT_ONCE = 3_000_000
+#: Bytes of text whose runs are worked on at once.
+CODES_AT_ONCE = 4 << 20
 #: Log-perplexity and deviations are binned to these widths for exact, order-independent quantiles and tail counts.
 BIN, DEVIATION_BIN = 0.0005, 0.05
 #: Deviations beyond this are counted as this.
@@ -44,153 +54,232 @@ SPREAD = f"greatest(sqrt(v0 + v1 / greatest(word_chars, 1)), {BIN})"
 DEVIATION = f"(log_ppl - {MIDDLE}) / {SPREAD}"
 #: Documents that a length class needs to count in a fit.
 CLASS_DOCS = 8
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """Codes of all runs of ``ORDER`` bytes."""
+    n = max(len(data) - ORDER + 1, 0)
+    code = np.zeros(n, np.int64)
+    for k in range(ORDER if n else 0):
+        code <<= 8
+        code |= data[k : n + k]
+    return code
+
+
+def _ranges(texts: Texts, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, codes) for each of the texts ``which``, a long text in parts."""
+    for i in which:
+        low, high = texts.offsets[i], texts.offsets[i + 1]
+        for at in range(low, max(high - ORDER + 1, low), CODES_AT_ONCE):
+            yield i, _codes(texts.data[at : min(at + CODES_AT_ONCE + ORDER - 1, high)])
+
 
+def _by_language(langs: list[str]) -> dict[str, np.ndarray]:
+    found: dict[str, list[int]] = {}
+    for i, x in enumerate(langs):
+        found.setdefault(x, []).append(i)
+    return {x: np.array(at) for x, at in found.items()}
 
-def _trigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Code and text number of each trigram that lies in one text."""
-    s = _FOLD[texts.data]
-    doc = np.repeat(np.arange(texts.n), np.diff(texts.offsets))
-    if len(s) < 3:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    code = (s[:-2] << 14) | (s[1:-1] << 7) | s[2:]
-    whole = doc[:-2] == doc[2:]
-    return code[whole], doc[2:][whole]
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes with their summed counts."""
+    code, n = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _base_failed(words: Words, repeats: np.ndarray) -> np.ndarray:
+    return (words.count < 10) | (100 * repeats > 20 * words.count)
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, code, n): trigram counts of every document, summed in each task before they are shuffled."""
-    schema = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
+    """(lang, code, n): runs of every document that passes the counting rules, summed in each task before they are shuffled."""
+    schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size: dict[str, int] = {}
+
+        def add(lang: str, parts: list[np.ndarray]) -> None:
+            code, n = np.unique(np.concatenate(parts), return_counts=True)
+            held.setdefault(lang, []).append((code, n))
+            size[lang] = size.get(lang, 0) + len(code)
+            if len(held[lang]) > 1 and size[lang] > 2 * len(held[lang][0][0]) + 500_000:
+                held[lang] = [_merged(held[lang])]
+                size[lang] = len(held[lang][0][0])
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, dense in held.items():
-                codes = np.flatnonzero(dense)
-                yield record_batch(schema, [lang] * len(codes), codes.astype(np.int32), dense[codes])
+            for lang, parts in held.items():
+                code, n = _merged(parts)
+                yield record_batch(schema, [lang] * len(code), code, n)
             held.clear()
+            size.clear()
 
         for batch, texts in blocks(batches):
-            code, doc = _trigrams(texts)
-            langs = batch.column("lang").to_pylist()
-            names = list(dict.fromkeys(langs))
-            of = np.array([names.index(x) for x in langs], np.int32)[doc] if len(names) > 1 else np.zeros(len(doc), np.int32)
-            for k, lang in enumerate(names):
-                if lang not in held and len(held) >= LANGUAGES_AT_ONCE:
-                    yield from out()
-                found = np.bincount(code[of == k] if len(names) > 1 else code, minlength=SYMBOLS**3)
-                held[lang] = held[lang] + found if lang in held else found
+            words = texts.words()
+            passed = ~_base_failed(words, _repeat_words(words))
+            for lang, which in _by_language(batch.column("lang").to_pylist()).items():
+                parts, some = [], 0
+                for _, code in _ranges(texts, which[passed[which]]):
+                    parts.append(code)
+                    some += len(code)
+                    if some >= CODES_AT_ONCE:
+                        add(lang, parts)
+                        parts, some = [], 0
+                if some:
+                    add(lang, parts)
+            if sum(size.values()) > COUNTED_AT_ONCE:
+                yield from out()
         yield from out()
 
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(counts, "lang string, code int, n long")
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(counts, "lang string, code long, n long")
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: DataFrame, column: str) -> DataFrame:
-    """d1, d2, d3 by language from the counts of counts 1 to 4; 0.5 steps where those are too few to tell."""
-    n = [F.count_if(F.col(column) == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+def continuation_counts(counts: DataFrame) -> DataFrame:
+    """(k, lang, code, n) of the runs of every order k: counts of the longest, distinct bytes before the shorter ones."""
+    level, found = counts, counts.withColumn("k", F.lit(ORDER))
+    for k in range(ORDER - 1, 0, -1):
+        level = level.groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")).agg(F.count("*").alias("n"))
+        found = found.unionByName(level.withColumn("k", F.lit(k)))
+    return found.select("k", "lang", "code", "n")
+
+
+def discounts(levels: DataFrame) -> DataFrame:
+    """d1, d2, d3 by order and language from the counts of counts 1 to 4; 0.5 where those are too few to tell. ``ORDER`` rows a language reach the driver."""
+    n = [F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.expr("n1 / (n1 + 2 * n2)")
     known = F.expr("n1 > 0 and n2 > 0 and n3 > 0")
     d = [F.when(known, F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(0.5).alias(f"d{k}") for k in (1, 2, 3)]
-    return counts.groupBy("lang").agg(*n).select("lang", *d)
-
-
-def _smoothed(counts: DataFrame, context: str, column: str) -> DataFrame:
-    """Adds share (discounted relative frequency in its context) and gamma (mass left for the lower order)."""
-    kept = F.expr(f"case when {column} = 1 then d1 when {column} = 2 then d2 else d3 end")
-    with_d = counts.join(F.broadcast(_discounts(counts, column)), "lang")  # one row a language
-    context_sums = with_d.groupBy("lang", context).agg(F.sum(column).alias("total"), F.sum(kept).alias("left"))
-    return with_d.join(context_sums, ["lang", context]).select(
-        "lang", "code", ((F.col(column) - kept) / F.col("total")).alias("share"), context, (F.col("left") / F.col("total")).alias("gamma")
-    )
+    rows = levels.groupBy("k", "lang").agg(*n).select("k", "lang", *d).collect()
+    return levels.sparkSession.createDataFrame(rows, "k int, lang string, d1 double, d2 double, d3 double")
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, n, code, p, gamma): interpolated probabilities of orders 1 to 3 from trigram counts.
+    """(lang, code, p): interpolated probabilities of all runs from their counts.
 
-    ``gamma`` is the back-off mass of the entry's context. Lower orders use continuation counts. Unigrams are mixed with
-    the uniform distribution.
+    Lower orders use continuation counts; single bytes are mixed with the uniform distribution. A context has 256 entries at most, so
+    its sums are a window.
     """
-    tri = counts.withColumn("context", F.shiftright("code", 7))
-    bi = counts.groupBy("lang", F.expr(f"code & {SYMBOLS**2 - 1}").alias("code")).agg(F.count("*").alias("n")).withColumn("context", F.shiftright("code", 7))
-    uni = bi.groupBy("lang", F.expr(f"code & {SYMBOLS - 1}").alias("code")).agg(F.count("*").alias("n")).withColumn("context", F.lit(0))
-    p1 = _smoothed(uni, "context", "n").select("lang", "code", (F.col("share") + F.col("gamma") / SYMBOLS).alias("p"), "gamma")
-    low = p1.select("lang", F.col("code").alias("tail"), F.col("p").alias("lower"))
-    p2 = _smoothed(bi, "context", "n").withColumn("tail", F.expr(f"code & {SYMBOLS - 1}")).join(low, ["lang", "tail"])
-    p2 = p2.select("lang", "code", (F.col("share") + F.col("gamma") * F.col("lower")).alias("p"), "gamma")
-    low = p2.select("lang", F.col("code").alias("tail"), F.col("p").alias("lower"))
-    p3 = _smoothed(tri, "context", "n").withColumn("tail", F.expr(f"code & {SYMBOLS**2 - 1}")).join(low, ["lang", "tail"])
-    p3 = p3.select("lang", "code", (F.col("share") + F.col("gamma") * F.col("lower")).alias("p"), "gamma")
-    orders = [x.select("lang", F.lit(k).alias("n"), "code", "p", "gamma") for k, x in ((1, p1), (2, p2), (3, p3))]
-    return orders[0].unionByName(orders[1]).unionByName(orders[2])
-
-
-class NgramModel:
-    """Sorted arrays of codes and probabilities by language and order. Bounded by the alphabet."""
+    levels = materialize(continuation_counts(counts), "ngram-levels")
+    kept = F.expr("case when n = 1 then d1 when n = 2 then d2 else d3 end")
+    context = Window.partitionBy("k", "lang", F.shiftright("code", 8))
+    total, left = F.sum("n").over(context), F.sum("d").over(context)
+    rows = levels.join(discounts(levels), ["k", "lang"]).select("k", "lang", "code", "n", kept.alias("d"))
+    rows = materialize(rows.select("k", "lang", "code", ((F.col("n") - F.col("d")) / total).alias("share"), (left / total).alias("gamma")), "ngram-shares")
+    p = rows.where("k = 1").select("lang", "code", (F.col("share") + F.col("gamma") / 256).alias("p"))
+    for k in range(2, ORDER + 1):
+        below = p.select("lang", F.col("code").alias("tail"), F.col("p").alias("below"))
+        own = rows.where(F.col("k") == k).withColumn("tail", F.col("code").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
+        p = own.join(below, ["lang", "tail"]).select("lang", "code", (F.col("share") + F.col("gamma") * F.col("below")).alias("p"))
+    return materialize(p, "ngram-p")
+
+
+class NgramArrays:
+    """Hashes of codes in rising order beside log-probabilities, for some languages (or one hash range of one)."""
 
     def __init__(self, entries: pa.Table):
-        self.arrays: dict[str, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        langs = np.asarray(entries["lang"].to_pandas(), object)
-        order, code, p, gamma = (entries[c].to_numpy() for c in ("n", "code", "p", "gamma"))
-        for lang in sorted(set(langs)):
-            for n in (1, 2, 3):
-                at = np.flatnonzero((langs == lang) & (order == n))
-                at = at[np.argsort(code[at])]
-                self.arrays.setdefault(lang, {})[n] = code[at].astype(np.int32), p[at].astype(np.float32), gamma[at].astype(np.float32)
-        self._dense: dict[str, np.ndarray] = {}
-
-    def __getstate__(self):
-        return {"arrays": self.arrays, "_dense": {}}
-
-    def log_table(self, lang: str) -> np.ndarray:
-        """Log-probability of every trigram code, unseen ones by back-off; the last few languages stay expanded."""
-        if lang not in self._dense:
-            if len(self._dense) >= LANGUAGES_AT_ONCE:
-                self._dense.pop(next(iter(self._dense)))
-            s = SYMBOLS
-            uniform = np.full(s, 1 / s, np.float32)
-            orders = self.arrays.get(lang, {})
-            lower = uniform
-            for n in (1, 2, 3):
-                code, p, gamma = orders.get(n, (np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)))
-                left = np.ones(s ** (n - 1), np.float32)
-                left[code >> 7 if n > 1 else np.zeros(len(code), np.int32)] = gamma
-                tail = lower if n == 1 else np.tile(lower.reshape(-1, s), (s ** (n - 1) // max(len(lower) // s, 1), 1))
-                dense = (left[:, None] * tail.reshape(-1, s)).reshape(-1)
-                dense[code] = p
-                lower = dense
-            self._dense[lang] = np.log(lower)
-        return self._dense[lang]
-
-
-def document_stats(docs: DataFrame, model: NgramModel) -> DataFrame:
-    """doc_id, lang and the counts of every document, with its mean negative log-probability (null under 3 bytes)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("log_ppl", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
-            langs = batch.column("lang").to_pylist()
-            words = texts.words()
-            chars = texts.per_text(((texts.data & 0xC0) != 0x80) & ~_SPACE[texts.data])
-            code, doc = _trigrams(texts)
-            scores = np.empty(len(code), np.float32)
-            if len(set(langs)) == 1:
-                scores = shared.value.log_table(langs[0])[code]
-            else:
-                bounds = np.searchsorted(doc, np.arange(texts.n + 1))
-                for lang in dict.fromkeys(langs):
-                    table = shared.value.log_table(lang)
-                    for i in (i for i, x in enumerate(langs) if x == lang):
-                        at = slice(bounds[i], bounds[i + 1])
-                        scores[at] = table[code[at]]
-            n = np.bincount(doc, minlength=texts.n)
-            total = -np.bincount(doc, weights=scores, minlength=texts.n)
-            ppl = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield record_batch(schema, batch.column("doc_id"), batch.column("lang"), words.count, chars, texts.per_text(_SYMBOL[texts.data]), _dup_lines(texts), _repeat_words(words), ppl)
+        self.arrays: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        langs = entries["lang"].combine_chunks().dictionary_encode() if entries.num_rows else pa.array([], pa.string()).dictionary_encode()
+        number = np.asarray(langs.indices)
+        key, value = mix(entries["code"].to_numpy().astype(np.uint64)), np.log(entries["p"].to_numpy()).astype(np.float32)
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            at = np.flatnonzero(number == k)
+            at = at[np.argsort(key[at])]
+            bits = max(8, int(len(at)).bit_length())
+            first = np.searchsorted(key[at] >> np.uint64(64 - bits), np.arange(1 << bits))
+            self.arrays[lang] = key[at], value[at], first.astype(np.int32)
+
+    def look_up(self, lang: str, code: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the codes, 0 for those that are not here."""
+        key, value, first = self.arrays[lang]
+        if not len(key):
+            return np.zeros(len(code), np.float32)
+        wanted = mix(code.astype(np.uint64))
+        at = first[wanted >> np.uint64(65 - len(first).bit_length())]
+        last = len(key) - 1
+        np.minimum(at, last, out=at)
+        behind = np.flatnonzero(key[at] < wanted)
+        while len(behind):
+            behind = behind[at[behind] < last]
+            at[behind] += 1
+            behind = behind[key[at[behind]] < wanted[behind]]
+        return np.where(key[at] == wanted, value[at], np.float32(0))
+
+    def totals(self, lang: str, texts: Texts, which: np.ndarray) -> np.ndarray:
+        """Summed log-probability of each of the texts ``which``."""
+        out, held, some = np.zeros(texts.n), [], 0
+        for i, code in _ranges(texts, which):
+            held.append((i, code))
+            some += len(code)
+            if some >= CODES_AT_ONCE:
+                out, held, some = self._added(out, lang, held), [], 0
+        return self._added(out, lang, held)[which] if held else out[which]
+
+    def _added(self, out: np.ndarray, lang: str, held: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        owner = np.repeat([i for i, _ in held], [len(c) for _, c in held])
+        return out + np.bincount(owner, self.look_up(lang, np.concatenate([c for _, c in held])), len(out))
+
+
+def passes(entries: DataFrame, at_once: int = ENTRIES_AT_ONCE) -> list[tuple[list[str], int, int]]:
+    """(languages, part, parts) of each reading of the documents: small languages together, a large one in parts."""
+    out: list[tuple[list[str], int, int]] = []
+    room = 0
+    for lang, n in sorted(((r["lang"], r["count"]) for r in entries.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0])):
+        if n > at_once:
+            parts = -(-n // at_once)
+            out += [([lang], k, parts) for k in range(parts)]
+        elif n <= room:
+            out[-1][0].append(lang)
+            room -= n
+        else:
+            out.append(([lang], 0, 1))
+            room = at_once - n
+    return out
+
 
+def document_stats(docs: DataFrame, entries: DataFrame, at_once: int = ENTRIES_AT_ONCE) -> DataFrame:
+    """doc_id, lang and the counts of every document, with the ``log_ppl`` of those that pass the counting rules.
+
+    Each reading gives every document that it concerns its part of the log-probability; the parts are added by document. A row that occurs m
+    times is counted m times in each reading and comes back m times.
+    """
+    key = "doc_id long, lang string, digest binary, number int"
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("digest", pa.binary()), ("number", pa.int32()), *((c, pa.int64()) for c in (*COUNTS, "letters")), ("total", pa.float64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return rows.mapInArrow(stats, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")
+    found, judged = None, []
+    for number, (langs, part, parts) in enumerate([*passes(entries, at_once), (None, 0, 1)]):
+        if langs is None:  # languages without an entry
+            own, model = rows.where(~F.col("lang").isin(judged)) if judged else rows, NgramArrays(pa.table({"lang": pa.array([], pa.string()), "code": pa.array([], pa.int64()), "p": pa.array([], pa.float64())}))
+        else:
+            judged += langs if part == 0 else []
+            own = rows.where(F.col("lang").isin(langs))
+            model = NgramArrays(entries.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("code"), F.lit(parts)) == part)).toArrow())  # at_once entries or about that
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def stats(batches: Iterator[pa.RecordBatch], shared=shared, number=0 if part == 0 else number) -> Iterator[pa.RecordBatch]:
+            for batch, texts in blocks(batches):
+                words = texts.words()
+                repeats = _repeat_words(words)
+                total = np.zeros(texts.n)
+                passed = ~_base_failed(words, repeats)
+                for lang, which in _by_language(batch.column("lang").to_pylist()).items():
+                    if lang in shared.value.arrays:
+                        total[which[passed[which]]] = -shared.value.totals(lang, texts, which[passed[which]])
+                chars = texts.per_text(((texts.data & 0xC0) != 0x80) & ~_SPACE[texts.data])
+                digest = [hashlib.blake2b(texts.data[a:b], digest_size=16).digest() for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist())]
+                ppl = pa.array(total, mask=~(passed & (np.diff(texts.offsets) >= ORDER)))
+                yield record_batch(schema, batch.column("doc_id"), batch.column("lang"), digest, [number] * texts.n, words.count, chars, texts.per_text(_SYMBOL[texts.data]), _dup_lines(texts), repeats, texts.per_text(_LETTER[texts.data]), ppl)
+
+        read = own.mapInArrow(stats, f"{key}, {', '.join(f'{c} long' for c in (*COUNTS, 'letters'))}, total double")
+        found = read if found is None else found.unionByName(read)
+    copies = F.count_if(F.col("number") == 0)  # the first reading of a language has number 0
+    one = found.groupBy("doc_id", "lang", "digest").agg(*(F.first(c).alias(c) for c in (*COUNTS, "letters")), copies.alias("copies"), (F.sum("total") / copies).alias("total"))
+    ppl = F.round(F.col("total") / F.greatest("letters", F.lit(1)), 12).alias("log_ppl")
+    return one.select("doc_id", "lang", *COUNTS, ppl, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
 
 
 def _dup_lines(texts: Texts) -> np.ndarray:
@@ -267,7 +356,7 @@ def perplexity_bands(stats: DataFrame, false_share: float) -> DataFrame:
     fits = {lang: fit_lengths(own["x"].to_numpy(), own["n"].to_numpy(), *((np.stack(own["q"]) + 0.5) * BIN).T) for lang, own in classes.groupby("lang")}
     fitted = spark.createDataFrame([(k, *v) for k, v in fits.items()], "lang string, m0 double, m1 double, v0 double, v1 double")
     z = F.least(F.greatest(F.expr(DEVIATION), F.lit(-FARTHEST)), F.lit(FARTHEST))
-    rows = stats.where("not base_failed and log_ppl is not null").join(F.broadcast(fitted), "lang").groupBy("lang", F.floor(F.abs(z) / DEVIATION_BIN).alias("bin"), (z < 0).alias("below")).count().toPandas()
+    rows = stats.where("not base_failed and log_ppl is not null").join(fitted, "lang").groupBy("lang", F.floor(F.abs(z) / DEVIATION_BIN).alias("bin"), (z < 0).alias("below")).count().toPandas()
     bands = []
     for lang, own in rows.groupby("lang"):
         ends = []
@@ -282,15 +371,13 @@ def quality_rules(docs: DataFrame, false_share: float = 0.01) -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``log_ppl``, the band's ``middle`` at its length with its extent below
     (``half_below``) and above (``half``), and the verdict ``kept``.
 
-    ``kept`` is false where the counting rules fail or the log-perplexity lies outside the language's band. Texts with
-    no trigram, and languages with no document that passes the counting rules, have no perplexity verdict.
+    ``kept`` is false where the counting rules fail or the log-perplexity lies outside the language's band. Texts under
+    ``ORDER`` bytes have no perplexity verdict.
     """
-    spark = docs.sparkSession
-    counts = materialize(count_ngrams(docs), "ngram-counts")
-    model = NgramModel(kneser_ney(counts).toArrow())  # bounded: at most 128^3 entries a language
+    entries = kneser_ney(materialize(count_ngrams(docs), "ngram-counts"))
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    stats = materialize(document_stats(docs, model).withColumn("base_failed", failed), "quality-stats")
-    bands = perplexity_bands(stats, false_share)  # a row a language
+    stats = materialize(document_stats(docs, entries).withColumn("base_failed", failed), "quality-stats")
+    bands = perplexity_bands(stats, false_share)
     inside = F.expr(f"log_ppl is null or m0 is null or ({DEVIATION} > low and {DEVIATION} < high)")
-    judged = stats.join(F.broadcast(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    judged = stats.join(bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
     return judged.select(*(c for c in stats.columns if c != "lang"), F.expr(f"{MIDDLE} as middle"), F.expr(f"-low * {SPREAD} as half_below"), F.expr(f"high * {SPREAD} as half"), "kept")

@@ -143,19 +143,18 @@ def test_quality_counts_match_brute_force(odd):
         assert not (r.base_failed and r.kept)
 
 
-def brute_kneser_ney(texts):
-    """Trigram probabilities over folded bytes, by plain loops."""
-    fold = lambda b: b if b < 128 else 1 + (b & 30)
-    tri = {}
+def brute_kneser_ney(texts, order=quality_rules.ORDER):
+    """Probabilities of all runs of bytes, by plain loops."""
+    counts = {}
     for t in texts:
-        s = [fold(b) for b in t.encode()]
-        for x in zip(s, s[1:], s[2:]):
-            tri[x] = tri.get(x, 0) + 1
-    bi, uni = {}, {}
-    for _, y, z in tri:
-        bi[y, z] = bi.get((y, z), 0) + 1
-    for _, z in bi:
-        uni[z,] = uni.get((z,), 0) + 1
+        s = t.encode()
+        for i in range(len(s) - order + 1):
+            counts[s[i : i + order]] = counts.get(s[i : i + order], 0) + 1
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
 
     def discounts(c):
         n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
@@ -173,22 +172,89 @@ def brute_kneser_ney(texts):
             out[g] = (v - d[min(v, 3) - 1]) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * lower(g[1:])
         return out
 
-    p1 = smooth(uni, lambda g: 1 / 128)
-    p2 = smooth(bi, p1.__getitem__)
-    return smooth(tri, p2.__getitem__)
+    p = smooth(levels[1], lambda g: 1 / 256)
+    for k in range(2, order + 1):
+        p = smooth(levels[k], p.__getitem__)
+    return p
+
+
+def brute_log_ppl(texts, order=quality_rules.ORDER):
+    """Perplexities of the texts of one language; None where the counting rules fail or the text is too short."""
+    scored = [brute_counts(t)[0] >= 10 and 100 * brute_counts(t)[4] <= 20 * brute_counts(t)[0] for t in texts]
+    p = brute_kneser_ney([t for t, ok in zip(texts, scored) if ok], order)
+    out = []
+    for t, ok in zip(texts, scored):
+        s = (t or "").encode()
+        letters = sum(b >= 128 or chr(b).isalnum() for b in s)
+        out.append(-sum(math.log(p[s[i : i + order]]) for i in range(len(s) - order + 1)) / max(letters, 1) if ok and len(s) >= order else None)
+    return out
+
+
+PROSE = ["the quick brown fox jumps over the lazy dog while it rains", "a slow red hen walks under the tall tree é and sees nothing at all", "abc abc abd abe abf xyz one two three four five six 漢字", "too short", "again and again and again and again and again and again and again", *ODD]
 
 
 def test_kneser_ney_matches_plain_loops(spark):
-    texts = ["the quick brown fox jumps over the lazy dog", "the slow red hen walks under the tall tree é", "abc abc abd abe abf xyz"]
-    docs = frame(spark, texts, ["en"] * 3)
-    entries = quality_rules.kneser_ney(quality_rules.count_ngrams(docs)).where("n = 3").collect()
+    texts = [t for t in PROSE if t and brute_counts(t)[0] >= 10 and 100 * brute_counts(t)[4] <= 20 * brute_counts(t)[0]]
+    entries = quality_rules.kneser_ney(quality_rules.count_ngrams(frame(spark, PROSE, ["en"] * len(PROSE)))).collect()
     want = brute_kneser_ney(texts)
-    assert len(entries) == len(want)
-    for r in entries:
-        assert r.p == pytest.approx(want[r.code >> 14, r.code >> 7 & 127, r.code & 127])
-    model = quality_rules.NgramModel(quality_rules.kneser_ney(quality_rules.count_ngrams(docs)).toArrow())
-    table = np.exp(model.log_table("en").astype(float)).reshape(-1, 128)
-    assert table.sum(axis=1) == pytest.approx(np.ones(len(table)), abs=1e-3)  # each context is a distribution, seen or not
+    assert {r.code.to_bytes(quality_rules.ORDER): r.p for r in entries} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("at_once", [4_000_000, 60])
+def test_perplexities_match_plain_loops(spark, at_once):
+    """Also where a language is read in many parts."""
+    texts, langs = PROSE[:12] * 2, ["en", "fr"] * 12
+    docs = frame(spark, [*texts, texts[0]], [*langs, None])
+    docs = docs.unionByName(docs.where("doc_id < 2"))  # repeated rows
+    if at_once < 100:
+        docs = docs.where("doc_id < 6 or doc_id > 23")
+    own = {lang: [r.text for r in docs.where("coalesce(lang, '') = '" + lang + "'").collect()] for lang in ("en", "fr", "")}
+    want = {(lang, t): x for lang, mine in own.items() for t, x in zip(mine, brute_log_ppl(mine))}
+    entries = quality_rules.kneser_ney(quality_rules.count_ngrams(docs))
+    given = {(r.doc_id, r.lang or ""): r.text for r in docs.collect()}
+    got = quality_rules.document_stats(docs, entries, at_once).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.collect())
+    for r in got:
+        assert r.log_ppl == (None if (x := want[r.lang, given[r.doc_id, r.lang]]) is None else pytest.approx(x, rel=1e-5))
+
+
+def test_runs_of_long_texts_are_cut_in_ranges(monkeypatch):
+    import pyarrow as pa
+
+    from corpusloom.llm.text import Texts
+
+    monkeypatch.setattr(quality_rules, "CODES_AT_ONCE", 7)
+    for t in ("", "abcd", "abcde", "x" * 6 + "é" * 9, "0123456789" * 3):
+        found = [c.to_bytes(5) for _, code in quality_rules._ranges(Texts(pa.array(["before", t, "after"])), np.array([1])) for c in code.tolist()]
+        assert found == [t.encode()[i : i + 5] for i in range(len(t.encode()) - 4)]
+
+
+def test_verdict_matches_plain_loops(spark):
+    random = np.random.default_rng(12)
+    vocabulary = ["river", "stone", "green", "walks", "over", "under", "light", "morning", "table", "garden", "yellow", "seldom"]
+    texts = [" ".join(random.choice(vocabulary, int(random.integers(12, 60)))) + "." for _ in range(150)]
+    texts = [t for t in texts if 100 * brute_counts(t)[4] <= 20 * brute_counts(t)[0]]
+    texts += [" | ".join(t.split()) for t in texts[:4]] + ["%%% ".join(t.split()) for t in texts[4:8]]
+    ppl, size = np.array(brute_log_ppl(texts)), np.array([brute_counts(t)[1] for t in texts])
+    use = np.array([x is not None for x in ppl])
+    bins = np.floor(np.where(use, ppl, 0).astype(float) / quality_rules.BIN)
+    x, n, q = [], [], []
+    for k in sorted(set(np.floor(np.log2(size[use])))):
+        at = use & (np.floor(np.log2(size)) == k)
+        x.append(at.sum() / size[at].sum())
+        n.append(at.sum())
+        q.append((np.percentile(bins[at], [25, 50, 75]) + 0.5) * quality_rules.BIN)
+    m0, m1, v0, v1 = quality_rules.fit_lengths(np.array(x), np.array(n), *np.array(q).T)
+    z = np.array([(p - m0 - m1 / s) / max(math.sqrt(v0 + v1 / s), quality_rules.BIN) if p is not None else 0 for p, s in zip(ppl, size)])
+    ends = []
+    for side in (1, -1):
+        far = np.floor(np.minimum(np.abs(z), quality_rules.FARTHEST) / quality_rules.DEVIATION_BIN)[use & ((z >= 0) if side > 0 else (z < 0))]
+        bound = [b * quality_rules.DEVIATION_BIN for b in sorted(set(far)) if b > 0 and 0.5 * use.sum() * math.erfc(b * quality_rules.DEVIATION_BIN / math.sqrt(2)) <= 0.01 * (far >= b).sum()]
+        ends.append(bound[0] if bound else math.inf)
+    want = {i: bool(use[i]) and -ends[1] < z[i] < ends[0] for i in range(len(texts))}
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame(spark, texts, ["en"] * len(texts))).collect()}
+    assert got == want
+    assert not any(got[i] for i in range(len(texts) - 8, len(texts))) and sum(got.values()) >= len(texts) - 12
 
 
 def test_perplexity_band_rejects_noise_and_keeps_text(spark):
