@@ -9,6 +9,7 @@ from corpusloom.functions.ranking import numbered
 
 # Fixed values
 RUNNING = ("QUEUED", "PARSING", "CHUNKING", "EMBEDDING", "PENDING_REPARSE", "PENDING_RECHUNK", "PENDING_REEMBED", "DELETING")
+PROCESSING = ("PARSING", "CHUNKING", "EMBEDDING")
 PRIORITIES = {"critical": 5, "high": 4, "medium": 3, "low": 2, "lowest": 1}
 QUEUED_MINUTES, ACTIVE_MINUTES, STUCK_LIMIT = 5, 15, 100
 ORPHAN_HOURS = 24
@@ -28,11 +29,16 @@ def kb_stats(docs: DataFrame) -> DataFrame:
     """Counts and bytes by knowledge base. docs: kb_id, status, info (JSON with size_bytes)."""
     size = F.get_json_object("info", "$.size_bytes").cast("long")
     return docs.groupBy("kb_id").agg(
-        F.count("*").alias("documents"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status").isin(*RUNNING)).alias("processing"),
+        F.count("*").alias("documents"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status").isin(*PROCESSING)).alias("processing"),
         F.count_if(F.col("status") == "FAILED").alias("failed"), F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"),
     )
 
 
+def kb_overview(kbs: DataFrame) -> DataFrame:
+    """One row over all knowledge bases: how many there are, how many can be searched, and the number of embedding models. kbs: status, model."""
+    return kbs.agg(F.count("*").alias("kbs"), F.count_if(F.col("status").isin("READY", "COMPLETED")).alias("ready"), F.countDistinct(F.nullif("model", F.lit(""))).alias("models"))
+
+
 def priority(name: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in PRIORITIES.items() for x in kv))[name], F.lit(3))
 
@@ -55,7 +61,7 @@ def next_in_queue(docs: DataFrame) -> DataFrame:
 def stuck_docs(docs: DataFrame, now: Column, limit: int = STUCK_LIMIT) -> DataFrame:
     """Documents silent for too long, oldest first; they go back to QUEUED."""
     silent = (F.unix_timestamp(now) - F.unix_timestamp("updated_at")) / 60
-    stuck = ((F.col("status") == "QUEUED") & (silent > QUEUED_MINUTES)) | (F.col("status").isin("PARSING", "CHUNKING", "EMBEDDING") & (silent > ACTIVE_MINUTES))
+    stuck = ((F.col("status") == "QUEUED") & (silent > QUEUED_MINUTES)) | (F.col("status").isin(*PROCESSING) & (silent > ACTIVE_MINUTES))
     return docs.where(stuck).orderBy("updated_at", "doc_id").limit(limit).select("doc_id", F.col("status").alias("old_status"), F.lit("QUEUED").alias("status"))
 
 

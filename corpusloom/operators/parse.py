@@ -234,46 +234,104 @@ def normalize_page_json(docs: DataFrame) -> DataFrame:
     )
 
 
-# Labels of a layout model and the element types and logical roles they stand for.
+# Labels of a layout model and the element types they stand for; any other label is of unknown type.
 LAYOUT_TYPES = {
-    "title": "heading", "section_header": "heading", "paragraph": "paragraph", "text": "paragraph", "list_item": "list_item", "table": "table", "document_index": "table", "picture": "image", "chart": "image",
-    "caption": "caption", "footnote": "footnote", "formula": "equation", "code": "code", "page_header": "page_header", "page_footer": "page_footer", "checkbox_selected": "list_item", "checkbox_unselected": "list_item",
+    "title": "heading", "section_header": "heading", "paragraph": "paragraph", "text": "paragraph", "list_item": "list_item", "table": "table", "picture": "image", "chart": "image", "caption": "caption", "footnote": "footnote",
+    "formula": "equation", "equation": "equation", "page_header": "page_header", "page_footer": "page_footer", "document_index": "section_index", "code": "code", "reference": "paragraph", "form": "paragraph",
+    "key_value_region": "paragraph", "checkbox_selected": "paragraph", "checkbox-selected": "paragraph", "checkbox_unselected": "paragraph", "checkbox-unselected": "paragraph", "grading_scale": "paragraph",
+    "handwritten_text": "paragraph", "empty_value": "paragraph", "field_region": "paragraph", "field_heading": "paragraph", "field_item": "paragraph", "field_key": "paragraph", "field_value": "paragraph", "field_hint": "paragraph", "marker": "paragraph",
 }
-LAYOUT_IGNORED = ("page_header", "page_footer")
+LAYOUT_ROLES = {"title": "title", "section_header": "sectionHeading", "page_header": "pageHeader", "page_footer": "pageFooter", "footnote": "footnote", "caption": "caption"}
+LAYOUT_FORMATS = {"formula": "latex", "code": "text", "table": "html", "document_index": "html", "picture": "asset_ref", "chart": "asset_ref"}
+LAYOUT_IGNORED = ("page_header", "page_footer", "document_index")
+LAYOUT = ELEMENTS + ", role string, parent_id string, page_no int, bbox array<double>, asset_uri string, cells array<struct<row:int,col:int,row_span:int,col_span:int,header:boolean,text:string>>"
 
 
-def layout_items(text: str) -> list[tuple]:
-    """(type, content, level, label) of a layout document in reading order: depth first over the body's references."""
-    data = json.loads(text)
-    seen, out = set(), []
+def _topleft(box: dict, height: float | None) -> list[float]:
+    """left, top, right and bottom as measured from the top left corner."""
+    left, top, right, bottom = (float(box.get(k) or 0) for k in "ltrb")
+    if str(box.get("coord_origin", "")).upper() == "BOTTOMLEFT" and height:
+        top, bottom = sorted((height - top, height - bottom))
+    return [left, top, right, bottom]
 
-    def visit(ref: str) -> None:
-        if ref in seen:
-            return
+
+def _grid_html(rows: int, cols: int, cells: list[tuple]) -> str:
+    """The table that table_grid_html builds, for the cells of one element."""
+    if rows <= 0 or cols <= 0:
+        return ""
+    at = {(r, c): k for k, (r, c, *_) in enumerate(cells)}
+    hidden = {(i, j) for r, c, h, w, *_ in cells for i in range(r, r + h) for j in range(c, c + w) if (i, j) != (r, c)}
+
+    def one(place: tuple[int, int]) -> str:
+        if place not in at:
+            return "<td></td>"
+        _, _, h, w, header, text = cells[at[place]]
+        tag = "th" if header else "td"
+        return f"<{tag}" + (f' rowspan="{h}"' if h > 1 else "") + (f' colspan="{w}"' if w > 1 else "") + f">{html.escape(text)}</{tag}>"
+
+    lines = ("  <tr>" + "".join(one((r, c)) for c in range(cols) if (r, c) not in hidden) + "</tr>" for r in range(rows))
+    return "\n".join(["<table>", *lines, "</table>"])
+
+
+def layout_items(text: str) -> list[dict]:
+    """Elements of a layout document in reading order: depth first over the body's references, without the inside of tables.
+
+    A reference is resolved in texts, tables, pictures and groups. ``parent`` is the position of the element that holds it.
+    """
+    data = json.loads(text)
+    heights = {int(p.get("page_no") or k): (p.get("size") or {}).get("height") for k, p in (data.get("pages") or {}).items()}
+    out, seen = [], set()
+    queue = [(c.get("$ref"), None) for c in reversed((data.get("body") or {}).get("children") or [])]
+    while queue:
+        ref, parent = queue.pop()
+        _, kind, number = [*str(ref).split("/"), "", ""][:3]
+        rows = data.get(kind) or []
+        if ref in seen or kind not in ("texts", "tables", "pictures", "groups") or not number.isdigit() or int(number) >= len(rows):
+            continue
         seen.add(ref)
-        node = data
-        for part in ref.removeprefix("#/").split("/"):
-            node = node[int(part)] if isinstance(node, list) and part.isdigit() and int(part) < len(node) else node.get(part) if isinstance(node, dict) else None
-            if node is None:
-                return
-        label = node.get("label")
-        content = (node.get("text") or "").strip()
-        if label in LAYOUT_TYPES and (content or label in ("table", "picture", "document_index", "chart")):
-            prefix = {"checkbox_selected": "[x] ", "checkbox_unselected": "[ ] "}.get(label, "")
-            kind = LAYOUT_TYPES[label]
-            level = (1 if label == "title" else node.get("level") or 1) if kind == "heading" else None
-            out.append((kind, prefix + content, level, label))
-        for child in node.get("children") or []:
-            visit(child.get("$ref", ""))
-
-    for child in (data.get("body") or {}).get("children") or []:
-        visit(child.get("$ref", ""))
+        node, label = rows[int(number)], rows[int(number)].get("label") or "unknown"
+        children = [(c.get("$ref"), len(out)) for c in node.get("children") or []]
+        prov = (node.get("prov") or [{}])[0]
+        page = prov.get("page_no")
+        box = _topleft(prov["bbox"], heights.get(page)) if prov.get("bbox") else None
+        found = {"type": LAYOUT_TYPES.get(label, "unknown"), "format": LAYOUT_FORMATS.get(label, "markdown"), "content": node.get("text") or "", "level": None, "ignored": label in LAYOUT_IGNORED, "role": LAYOUT_ROLES.get(label), "parent": parent, "page_no": page, "bbox": box, "asset_uri": None, "cells": None}
+        if kind == "groups":
+            found |= {"type": "list", "content": "", "format": "markdown", "ignored": False, "role": None}
+        elif found["type"] == "heading":
+            found["level"] = node.get("level") or (1 if label == "title" else None)
+        elif label == "list_item":
+            found["content"] = f"{node.get('marker') or '-'} {found['content']}".strip()
+        elif label.startswith("checkbox"):
+            found["content"] = (("[ ] " if "unselected" in label else "[x] ") + found["content"]).strip()
+        elif found["type"] == "image":
+            found["asset_uri"] = (node.get("image") or {}).get("uri")
+        elif found["type"] in ("table", "section_index"):
+            grid = node.get("data") or {}
+            place = lambda c, k: c.get(f"start_{k}_offset_idx")
+            cells = [(place(c, "row"), place(c, "col"), c.get("row_span") or 1, c.get("col_span") or 1, bool(c.get("column_header") or c.get("row_header")), c.get("text") or "") for c in grid.get("table_cells") or [] if place(c, "row") is not None and place(c, "col") is not None]
+            found |= {"content": _grid_html(grid.get("num_rows") or 0, grid.get("num_cols") or 0, cells), "cells": cells if label == "table" else None}
+            children = [] if label == "table" else children
+        out.append(found)
+        queue += reversed(children)
     return out
 
 
 def normalize_layout_json(docs: DataFrame) -> DataFrame:
-    """Elements of layout-model JSON; page headers and footers are marked ignored."""
-    return parse_with(docs, "json", lambda t: [(kind, "text", content, level, label in LAYOUT_IGNORED) for kind, content, level, label in layout_items(t)])
+    """Elements of layout-model JSON (column ``json``) with role, parent, page, box, picture and table cells.
+
+    Page headers, footers and indexes are marked ignored. Unknown labels keep their text as elements of unknown type.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in LAYOUT.split(", ")]
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                for k, x in enumerate(layout_items(text) if text else []):
+                    rows.append((doc, f"{doc}_el_{k}", k, x["type"], x["format"], x["content"], x["level"], x["ignored"], x["role"], None if x["parent"] is None else f"{doc}_el_{x['parent']}", x["page_no"], x["bbox"], x["asset_uri"], x["cells"] and [dict(zip(("row", "col", "row_span", "col_span", "header", "text"), c)) for c in x["cells"]]))
+            yield pd.DataFrame(rows, columns=names).astype({"order": "int32", "level": "Int32", "page_no": "Int32", "ignored": bool})
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("json").alias("text")).mapInPandas(run, LAYOUT)
 
 
 def bbox_to_topleft(box: Column, page_height: Column) -> Column:
@@ -357,12 +415,12 @@ def _open_headings(elements: DataFrame, value: Column) -> tuple[DataFrame, list[
 def heading_tree(elements: DataFrame) -> DataFrame:
     """element_id, parent_id and children_ids of every element that is not ignored.
 
-    The parent is the nearest open heading, of a smaller level for headings.
+    A ``parent_id`` that the elements carry stays; else the parent is the nearest open heading, of a smaller level for headings.
     """
     rows, live = _open_headings(elements, F.col("element_id"))
     level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("level", F.lit(1))))
     own = F.when(F.col("type") == "heading", level).otherwise(7)
-    parent = F.coalesce(*(F.when(own > k, live[k - 1]["value"]) for k in range(6, 0, -1)))
+    parent = F.coalesce(*((F.col("parent_id"),) if "parent_id" in elements.columns else ()), *(F.when(own > k, live[k - 1]["value"]) for k in range(6, 0, -1)))
     nodes = rows.where("not ignored").select("doc_id", "element_id", "order", parent.alias("parent_id"))
     children = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("element_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "element_id"))), lambda x: x["element_id"]).alias("children_ids"))
     return nodes.join(children, ["doc_id", "element_id"], "left").select("doc_id", "element_id", "parent_id", F.coalesce("children_ids", F.array().cast("array<string>")).alias("children_ids"))

@@ -177,7 +177,7 @@ def kb_status(spark, sf_dir):
     return bookkeeping.kb_status(kbs.unionByName(spark.createDataFrame([("empty", "RUNNING")], "kb_id string, status string")), docs)
 
 
-@query("kb_stats", f"""WITH {KB_DOCS} SELECT kb_id, count(*) AS documents, CAST(count_if(status = 'COMPLETED') AS BIGINT) AS completed, CAST(count_if(status IN ({RUNNING})) AS BIGINT) AS processing,
+@query("kb_stats", f"""WITH {KB_DOCS} SELECT kb_id, count(*) AS documents, CAST(count_if(status = 'COMPLETED') AS BIGINT) AS completed, CAST(count_if(status IN ('PARSING', 'CHUNKING', 'EMBEDDING')) AS BIGINT) AS processing,
   CAST(count_if(status = 'FAILED') AS BIGINT) AS failed, CAST(sum(n_chars) AS BIGINT) AS total_bytes FROM kb_docs GROUP BY kb_id""")
 def kb_stats(spark, sf_dir):
     return bookkeeping.kb_stats(kb_docs(spark, sf_dir).select("kb_id", "status", F.to_json(F.struct(F.col("n_chars").alias("size_bytes"))).alias("info")))

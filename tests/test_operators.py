@@ -1,5 +1,7 @@
 """Golden cases of the operators, on small inline tables."""
 
+import json
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,27 @@ def test_html_blocks():
     assert parse.html_blocks(None) == []
 
 
+@pytest.mark.parametrize(
+    ("markdown", "want"),
+    [
+        ("# A\n\nb\nc\n\n- x\n- <y>", "<h1>A</h1>\n<p>b<br>c</p>\n<ul><li>x</li><li>&lt;y&gt;</li></ul>"),
+        ("1. x\n2. y", "<ol><li>x</li><li>y</li></ol>"),
+        ("| a | b |\n| --- | :---: |\n| 1 | 2 |", "<table>\n  <thead><tr><th>a</th><th>b</th></tr></thead>\n  <tbody>\n    <tr><td>1</td><td>2</td></tr>\n  </tbody>\n</table>"),
+        ('![t](u "x")', '<img src="u" alt="t">'), ("![t](u) more", "<p>![t](u) more</p>"), ("####### no", "<p>####### no</p>"), ("", ""),
+    ],
+)
+def test_markdown_as_html(spark, markdown, want):
+    assert spark.createDataFrame([(markdown,)], "t string").select(render.markdown_html(F.col("t")).alias("h")).first().h == want
+
+
+def test_pictures_and_fallbacks(spark):
+    rows = elements(spark, block("image", "a[b]", uri="u.png"), block("image", "", uri="v.png"), block("image", "no source"))
+    docs = spark.createDataFrame([("doc", "x", "y", "z"), ("own", " ", "# T", "z"), ("text", "", "", "z")], "doc_id string, html string, markdown string, text string")
+    html = {r.doc_id: r.html for r in render.render_html(rows, docs).collect()}
+    assert html == {"doc": '<figure><img src="u.png" alt="a[b]"><figcaption>a[b]</figcaption></figure>\n<img src="v.png" alt="">\n<p>no source</p>', "own": "<h1>T</h1>", "text": "<p>z</p>"}
+    assert {r.doc_id: r.markdown for r in render.render_markdown(rows, docs).collect()} == {"doc": "![a\\[b\\]](u.png)\n\n![](v.png)\n\nno source", "own": "# T", "text": "z"}
+
+
 @pytest.mark.parametrize(("numbers", "want"), [([3, 1, 2], [1, 2, 3]), ([1, 1, 2], [1, 2, 3]), ([None, 5], [1, 2])])
 def test_page_json_numbers(spark, numbers, want):
     pages = [(n, f"text {i}", None) for i, n in enumerate(numbers)]
@@ -91,9 +114,31 @@ def test_page_json_boxes(spark):
     assert [(r.type, r.content, r.level) for r in rows] == [("heading", "Title", 2), ("table", "tabl", None)]
 
 
-def test_layout_items():
-    text = '{"body": {"children": [{"$ref": "#/texts/1"}, {"$ref": "#/groups/0"}, {"$ref": "#/texts/1"}]}, "groups": [{"children": [{"$ref": "#/texts/0"}, {"$ref": "#/texts/2"}, {"$ref": "#/texts/9"}]}], "texts": [{"label": "checkbox_selected", "text": "done"}, {"label": "title", "text": "T"}, {"label": "page_footer", "text": "7"}]}'
-    assert parse.layout_items(text) == [("heading", "T", 1, "title"), ("list_item", "[x] done", None, "checkbox_selected"), ("page_footer", "7", None, "page_footer")]
+def test_layout_items(spark):
+    node = lambda label, **more: {"label": label, **more}
+    box = {"l": 1, "t": 90, "r": 5, "b": 80, "coord_origin": "BOTTOMLEFT"}
+    cell = lambda r, c, text, **more: {"start_row_offset_idx": r, "start_col_offset_idx": c, "text": text, **more}
+    data = {
+        "pages": {"1": {"page_no": 1, "size": {"height": 100, "width": 50}}},
+        "body": {"children": [{"$ref": r} for r in ("#/texts/1", "#/groups/0", "#/texts/1", "#/tables/0", "#/pictures/0", "#/texts/3", "#/texts/4", "#/texts/5", "#/tables/1", "#/texts/99", "#/odd/0")]},
+        "groups": [node("list", children=[{"$ref": "#/texts/0"}, {"$ref": "#/texts/2"}, {"$ref": "#/texts/9"}])],
+        "texts": [node("checkbox_selected", text="done"), node("title", text="T", prov=[{"page_no": 1, "bbox": box}]), node("list_item", text="a", marker="*"), node("page_footer", text="7"), node("field_key", text="key"), node("stamp", text="odd")],
+        "tables": [node("table", children=[{"$ref": "#/texts/4"}], data={"num_rows": 2, "num_cols": 2, "table_cells": [cell(0, 0, "a&b", col_span=2, column_header=True), cell(1, 1, "c")]}), node("document_index", data={"num_rows": 1, "num_cols": 1, "table_cells": [cell(0, 0, "i")]})],
+        "pictures": [node("picture", image={"uri": "u.png"}, children=[{"$ref": "#/texts/6"}])],
+    }
+    data["texts"].append(node("caption", text="fig"))
+    rows = parse.normalize_layout_json(spark.createDataFrame([("d", json.dumps(data)), ("none", None)], "doc_id string, json string")).orderBy("order").collect()
+    assert [(r.type, r.content, r.parent_id) for r in rows] == [
+        ("heading", "T", None), ("list", "", None), ("paragraph", "[x] done", "d_el_1"), ("list_item", "* a", "d_el_1"),
+        ("table", '<table>\n  <tr><th colspan="2">a&amp;b</th></tr>\n  <tr><td></td><td>c</td></tr>\n</table>', None), ("image", "", None), ("caption", "fig", "d_el_5"), ("page_footer", "7", None), ("paragraph", "key", None),
+        ("unknown", "odd", None), ("section_index", "<table>\n  <tr><td>i</td></tr>\n</table>", None),
+    ]
+    assert [r.ignored for r in rows] == [r.type in ("page_footer", "section_index") for r in rows]
+    assert (rows[0].level, rows[0].role, rows[0].page_no, rows[0].bbox) == (1, "title", 1, [1.0, 10.0, 5.0, 20.0]) and rows[5].asset_uri == "u.png" and rows[5].format == "asset_ref"
+    assert [tuple(c) for c in rows[4].cells] == [(0, 0, 1, 2, True, "a&b"), (1, 1, 1, 1, False, "c")]
+    tree = {r.element_id: r for r in parse.heading_tree(spark.createDataFrame(rows)).collect()}
+    assert tree["d_el_2"].parent_id == "d_el_1" and tree["d_el_8"].parent_id == "d_el_0" and tree["d_el_1"].children_ids == ["d_el_2", "d_el_3"]
+    assert set(parse.LAYOUT_TYPES) >= set(parse.LAYOUT_ROLES) and len(parse.LAYOUT_TYPES) == 33
 
 
 def test_breadcrumbs_and_merge(spark):
@@ -169,8 +214,9 @@ def test_table_grid(spark):
 def test_rendering(spark):
     rows = elements(spark, block("heading", "T", 2), block("caption", "fig"), block("equation", "x=1"), block("list_item", "- a"), block("code", "y"), block("paragraph", "<b>"), block("page_footer", "7", None, True))
     assert render.render_markdown(rows).first().markdown == "## T\n\n*fig*\n\n$$\nx=1\n$$\n\n- a\n\n```\ny\n```\n\n<b>"
-    assert "<h2>T</h2>" in render.render_html(rows).first().html and "<p>&lt;b&gt;</p>" in render.render_html(rows).first().html
-    assert render.pipe_table("<table><tr><th>a<th>b|c</tr><tr><td>1</td></tr></table>") == "| a | b\\|c |\n| --- | --- |\n| 1 |  |" or render.pipe_table("<table><tr><th>a</th><th>b|c</th></tr><tr><td>1</td></tr></table>") == "| a | b\\|c |\n| --- | --- |\n| 1 |  |"
+    assert render.render_html(rows).first().html == '<h2>T</h2>\n<p><em>fig</em></p>\n<pre><code class="language-latex">x=1</code></pre>\n<ul><li>a</li></ul>\n<pre><code>y</code></pre>\n<p>&lt;b&gt;</p>'
+    assert render.pipe_table("<table><tr><th>a<th>b|c</tr><tr><td>1</td></tr></table>") == render.pipe_table("<table><TR><th>a</th><th><b>b|c</b></th></tr>\n<tr><td> 1\n</td></tr></table>") == "| a | b\\|c |\n| --- | --- |\n| 1 |  |"
+    assert render.pipe_table("<table>no cell</table>") == "no cell"
     assert render.strip_tags("<p>a</p><img src=u alt=t><br><br><br><br>b") == "a\n![t](u)\n\nb"
 
 
