@@ -3,6 +3,8 @@
 UTF-8 bytes are folded to 128 symbols (symbol 0 pads and adds nothing). A filter of width w adds one weight per offset
 and symbol. For scoring, the weights of two neighbouring offsets are summed into one table over symbol pairs, so that all
 filters of widths 2 to 4 cost two table rows a byte.
+
+Training reads every window of a sample of whole documents, bounded in rows and in bytes.
 """
 
 from __future__ import annotations
@@ -22,23 +24,27 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[128:] = 1 + (_FOLD[128:] & 30)
 #: Windows convolved at once; keeps the intermediate table in cache.
 _AT_ONCE = 64
+#: Windows cut at once: what a task holds for a text of any length.
+CUT_AT_ONCE = 1024
 
 
-def cut_windows(texts: Texts, length: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the windows (padded with 0), their text numbers and their numbers of bytes.
+def windows_of(texts: Texts, length: int, stride: int, at_once: int = CUT_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Symbols of the windows (padded with 0), their text numbers and their numbers of bytes, ``at_once`` windows at a time.
 
     Windows start every ``stride`` bytes until the text is covered; an empty text has one window of padding.
     """
     sizes = np.diff(texts.offsets)
     n = np.maximum(1, -(-(sizes - (length - stride)) // stride))
-    doc = np.repeat(np.arange(texts.n), n)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    start = texts.offsets[doc] + number * stride
-    used = np.clip(texts.offsets[doc + 1] - start, 0, length)
-    at = start[:, None] + np.arange(length)
-    inside = np.arange(length) < used[:, None]
+    last = np.cumsum(n)
     data = texts.data if len(texts.data) else np.zeros(1, np.uint8)
-    return np.where(inside, _FOLD[data[np.minimum(at, len(data) - 1)]], 0), doc, used
+    for low in range(0, int(last[-1]) if len(n) else 0, at_once):
+        window = np.arange(low, min(low + at_once, int(last[-1])))
+        doc = np.searchsorted(last, window, "right")
+        start = texts.offsets[doc] + (window - (last - n)[doc]) * stride
+        used = np.clip(texts.offsets[doc + 1] - start, 0, length)
+        inside = np.arange(length) < used[:, None]
+        at = np.minimum(start[:, None] + np.arange(length), len(data) - 1)
+        yield np.where(inside, _FOLD[data[at]], 0), doc, used
 
 
 class ByteCNN:
@@ -64,8 +70,8 @@ class ByteCNN:
         pad[:, : x.shape[1]] = x
         pair = (pad[:, :-1] << 7) | pad[:, 1:]
         n = x.shape[1]
-        out = tables[0][pair[:, :n]]
-        out[:, :, self.filters :] += tables[1][pair[:, 2 : n + 2]]
+        out = np.take(tables[0], pair[:, :n], axis=0, mode="clip")
+        out[:, :, self.filters :] += np.take(tables[1], pair[:, 2 : n + 2], axis=0, mode="clip")
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -75,11 +81,11 @@ class ByteCNN:
             parts.append(np.maximum(pooled + self.bias, 0) @ self.out + self.out_bias)
         return np.concatenate(parts)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> "ByteCNN":
-        """Adam on the cross-entropy, each class weighing the same. Filters learn at the maximum's position alone."""
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> "ByteCNN":
+        """Adam on the cross-entropy; each class weighs the same, its windows as ``weight`` says. Filters learn at the maximum's position alone."""
         random = np.random.default_rng(seed)
-        counts = np.bincount(y, minlength=len(self.out_bias))
-        weight = (len(y) / (np.count_nonzero(counts) * np.maximum(counts, 1))).astype(np.float32)
+        classes = np.bincount(y, weights=weight, minlength=len(self.out_bias))
+        weight = (weight * len(y) / (np.count_nonzero(classes) * np.maximum(classes, 1e-9))[y]).astype(np.float32)
         names = ("weights", "bias", "out", "out_bias")
         first, second, step = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
         used = [k // self.filters for k in range(len(self.bias))]
@@ -92,11 +98,9 @@ class ByteCNN:
                 place = conv.argmax(axis=1)
                 pooled = np.take_along_axis(conv, place[:, None], 1)[:, 0] + self.bias
                 hidden = np.maximum(pooled, 0)
-                z = hidden @ self.out + self.out_bias
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
+                p = softmax(hidden @ self.out + self.out_bias)
                 p[np.arange(n), y[rows]] -= 1
-                p *= weight[y[rows], None] / n
+                p *= weight[rows, None] / n
                 back = (p @ self.out.T) * (pooled > 0)
                 grads = {"out": hidden.T @ p, "out_bias": p.sum(axis=0), "bias": back.sum(axis=0), "weights": np.zeros_like(self.weights)}
                 padded = np.pad(xs, ((0, 0), (0, 3)))
@@ -119,26 +123,45 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def training_windows(docs: DataFrame, labelled: DataFrame, max_rows: int, length: int, per_doc: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Window symbols, label numbers and labels of a bounded sample of ``labelled`` (doc_id, label).
+def _sample(docs: DataFrame, labelled: DataFrame, max_rows: int, max_bytes: int) -> list[tuple[object, str]]:
+    """(doc_id, label) of the first documents by the hash of doc_id, at most ``max_rows`` rows and ``max_bytes`` bytes of whole texts.
+
+    A text that would pass the bound is left out, whatever its length. At most max_rows rows of three short columns reach the driver.
+    """
+    first = labelled.select("doc_id", F.col("label").cast("string").alias("label")).where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).where("size > 0").groupBy("doc_id").agg(F.sum("size").alias("size"))
+    chosen, room = [], max_bytes
+    for r in sizes.join(F.broadcast(first), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect():
+        if r["size"] <= room:
+            chosen.append((r["doc_id"], r["label"]))
+            room -= r["size"]
+    return chosen
+
+
+def training_windows(docs: DataFrame, labelled: DataFrame, max_rows: int, max_bytes: int, length: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Symbols, label numbers and weights of all windows of a bounded sample of ``labelled`` (doc_id, label), and the labels.
 
-    The sample is the ``max_rows`` rows with the least hash of doc_id. A document gives ``per_doc`` windows at most, spread over
-    its whole length. At most max_rows * per_doc * length bytes reach the driver.
+    A window weighs its share of its document, so that each document counts alike. About max_bytes * length / stride bytes reach the driver.
     """
-    schema = pa.schema([("label", pa.string()), ("x", pa.binary())])
-    sample = labelled.select("doc_id", F.col("label").cast("string").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    schema = pa.schema([("label", pa.string()), ("weight", pa.float64()), ("x", pa.binary())])
+    chosen = _sample(docs, labelled, max_rows, max_bytes)
+    if not chosen:
+        return np.zeros((0, length), np.uint8), np.zeros(0, int), np.zeros(0), []
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, label string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
-            x, doc, used = cut_windows(texts, length, length)
-            bounds = np.searchsorted(doc, np.arange(texts.n + 1))
-            pick = [k for i in range(texts.n) for k in np.unique(np.linspace(bounds[i], bounds[i + 1] - 1, per_doc).astype(int)) if used[k]]
-            labels = batch.column("label").to_pylist()
-            yield record_batch(schema, [labels[doc[k]] for k in pick], [x[k].tobytes() for k in pick])
+            labels, covered = batch.column("label").to_pylist(), np.zeros(texts.n)
+            for _, doc, used in windows_of(texts, length, stride):
+                covered += np.bincount(doc, used, texts.n)
+            for x, doc, used in windows_of(texts, length, stride):
+                some = np.flatnonzero(used)
+                yield record_batch(schema, [labels[k] for k in doc[some]], used[some] / covered[doc[some]], [row.tobytes() for row in x[some]])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # max_rows rows of two short columns
-    table = rows.select("label", "text").mapInArrow(cut, "label string, x binary").toArrow()
-    pairs = sorted(zip(table["label"].to_pylist(), table["x"].to_pylist(), strict=True))  # whatever order tasks end in
-    labels = sorted({k for k, _ in pairs})
-    x = np.array([np.frombuffer(b, np.uint8) for _, b in pairs], np.uint8).reshape(-1, length)
-    return x, np.array([labels.index(k) for k, _ in pairs], int), labels
+    table = rows.select("label", "text").mapInArrow(cut, "label string, weight double, x binary").toArrow()
+    found = sorted(zip(table["label"].to_pylist(), table["x"].to_pylist(), table["weight"].to_pylist(), strict=True))  # whatever order tasks end in
+    labels = sorted({k for k, _, _ in found})
+    x = np.array([np.frombuffer(b, np.uint8) for _, b, _ in found], np.uint8).reshape(-1, length)
+    return x, np.array([labels.index(k) for k, _, _ in found], int), np.array([w for _, _, w in found]), labels

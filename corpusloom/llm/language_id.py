@@ -1,7 +1,9 @@
 """Language identification by a byte convolutional network over fixed-length windows of the whole text.
 
 Window probabilities are averaged by the bytes that the windows cover. Texts that are null or have no letter are ``und`` with
-score 0. With no training row every text is ``und``.
+score 0; the text's first language in order of name wins a tie. With no training row every text is ``und``. Repeated rows get a row each
+(as training rows of one doc_id they count each), null ids are allowed, an empty table gives no rows, and no column but doc_id and text is
+read. A task holds ``CUT_AT_ONCE`` windows of a text of any length.
 """
 
 from __future__ import annotations
@@ -13,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytecnn import ByteCNN, cut_windows, softmax, training_windows
+from .bytecnn import ByteCNN, softmax, training_windows, windows_of
 from .text import Texts, blocks, record_batch
 
 WINDOW = 512
-#: Bound of the training sample, in documents.
-MAX_ROWS = 6_000
+#: Bounds of the training sample, in documents and in bytes of their whole texts.
+MAX_ROWS, MAX_BYTES = 6_000, 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -35,25 +37,28 @@ class LanguageModel:
             letters[i] = any(map(str.isalpha, texts.bytes(i).decode()))
         if not self.net:
             return ["und"] * texts.n, np.zeros(texts.n)
-        x, doc, used = cut_windows(texts, WINDOW, WINDOW)
-        p = softmax(self.net.logits(x).astype(float)) * used[:, None]
-        total = np.stack([np.bincount(doc, weights=p[:, k], minlength=texts.n) for k in range(p.shape[1])], 1)
+        total = np.zeros((texts.n, len(self.languages)))
+        for x, doc, used in windows_of(texts, WINDOW, WINDOW):
+            p = softmax(self.net.logits(x).astype(float)) * used[:, None]
+            total += np.stack([np.bincount(doc, p[:, k], texts.n) for k in range(p.shape[1])], 1)
         total /= np.maximum(np.diff(texts.offsets), 1)[:, None]
         best = total.argmax(axis=1)
         return [self.languages[k] if ok else "und" for k, ok in zip(best, letters)], np.where(letters, np.clip(total[np.arange(texts.n), best], 0, 1), 0.0)
 
 
-def train(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
+def train(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> LanguageModel:
     """``labelled``: (doc_id, label) of the documents that may be learnt from."""
-    x, y, languages = training_windows(docs, labelled.where("label is not null"), max_rows, WINDOW, 2)
+    x, y, weight, languages = training_windows(docs, labelled, max_rows, max_bytes, WINDOW, WINDOW)
     if not languages:
         return LanguageModel(None, [])
-    # short pieces too, as many texts are short
+    # short pieces too, as many texts are short: of one window in two, a piece from its start
     random = np.random.default_rng(11)
-    short = x.copy()
+    some = np.flatnonzero(random.random(len(x)) < 0.5)
+    short = x[some]
     for row, keep in zip(short, random.integers(16, WINDOW, len(short))):
         row[keep:] = 0
-    return LanguageModel(ByteCNN(len(languages)).fit(np.concatenate([x, short]), np.concatenate([y, y]), epochs=6), languages)
+    net = ByteCNN(len(languages)).fit(np.concatenate([x, short]), np.concatenate([y, y[some]]), np.concatenate([weight, weight[some]]), epochs=4)
+    return LanguageModel(net, languages)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Filters are max-pooled within a chunk; the chunks' log-odds are averaged, weighted by their bytes, into one probability.
 Null and empty texts have one chunk of padding. With no training row, or one label alone, every score is the share of
-label 1 (0.5 if there is none).
+label 1 (0.5 if there is none). Repeated rows get a row each, ties equal scores, null ids are allowed, an empty table gives no rows, and no
+column but doc_id and text is read. A task holds ``CUT_AT_ONCE`` chunks of a text of any length.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytecnn import ByteCNN, cut_windows, training_windows
+from .bytecnn import ByteCNN, training_windows, windows_of
 from .text import Texts, blocks, record_batch
 
 CHUNK, STRIDE = 512, 256
-#: Bound of the training sample, in documents.
-MAX_ROWS = 8_000
+#: Bounds of the training sample, in documents and in bytes of their whole texts.
+MAX_ROWS, MAX_BYTES = 8_000, 6 << 20
 
 
 class QualityModel:
@@ -29,19 +30,21 @@ class QualityModel:
     def scores(self, texts: Texts) -> np.ndarray:
         if not self.net:
             return np.full(texts.n, self.constant)
-        x, doc, used = cut_windows(texts, CHUNK, STRIDE)
-        z = self.net.logits(x).astype(float)
-        weight = np.maximum(used, 1)
-        odds = np.bincount(doc, weights=(z[:, 1] - z[:, 0]) * weight, minlength=texts.n) / np.bincount(doc, weights=weight, minlength=texts.n)
+        odds, total = np.zeros(texts.n), np.zeros(texts.n)
+        for x, doc, used in windows_of(texts, CHUNK, STRIDE):
+            z, weight = self.net.logits(x).astype(float), np.maximum(used, 1)
+            odds += np.bincount(doc, (z[:, 1] - z[:, 0]) * weight, texts.n)
+            total += np.bincount(doc, weight, texts.n)
+        odds /= np.maximum(total, 1)
         return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
 
-def train(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS) -> QualityModel:
+def train(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> QualityModel:
     """``labelled``: (doc_id, label 0 or 1) of the documents that may be learnt from."""
-    x, y, labels = training_windows(docs, labelled.where("label in (0, 1)"), max_rows, CHUNK, 3)
+    x, y, weight, labels = training_windows(docs, labelled.where("label in (0, 1)"), max_rows, max_bytes, CHUNK, CHUNK)
     if len(labels) < 2:
         return QualityModel(None, float(labels[0]) if labels else 0.5)
-    return QualityModel(ByteCNN(2, filters=16).fit(x, y, epochs=8))
+    return QualityModel(ByteCNN(2, filters=16).fit(x, y, weight, epochs=6))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
