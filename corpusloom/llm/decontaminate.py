@@ -51,10 +51,8 @@ def _folded_words(texts: Texts) -> Words:
         text, first = "".join(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
     points = _code_points()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     sizes = 1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF)
-    folded = object.__new__(Texts)
-    folded.n, folded.offsets = texts.n, np.concatenate([[0], np.cumsum(sizes)])[first]
-    folded.data = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
-    return Words(folded, _SPACE)
+    data = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+    return Words(Texts.of(data, np.concatenate([[0], np.cumsum(sizes)])[first]), _SPACE)
 
 
 def item_shingles(items: DataFrame, width: int = SHINGLE) -> DataFrame:

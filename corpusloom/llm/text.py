@@ -62,13 +62,17 @@ class Texts:
             if lengths.sum() != len(self.data):
                 return self.__init__(column.fill_null(""))
 
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> "Texts":
+        out = object.__new__(cls)
+        out.n, out.offsets, out.data = len(offsets) - 1, offsets, data
+        return out
+
     def bytes(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
     def lower_ascii(self) -> "Texts":
-        out = object.__new__(Texts)
-        out.n, out.offsets, out.data = self.n, self.offsets, _LOWER[self.data]
-        return out
+        return Texts.of(_LOWER[self.data], self.offsets)
 
     def words(self) -> "Words":
         return Words(self, _SPACE)
