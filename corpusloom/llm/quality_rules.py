@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import materialize
@@ -41,9 +41,9 @@ _LETTER = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 #: Model entries that a task holds at once (12 bytes each, and 8 for each while they are sent).
 ENTRIES_AT_ONCE = 4_000_000
 #: Distinct runs that a counting task holds before it emits them.
-COUNTED_AT_ONCE = 3_000_000
+COUNTED_AT_ONCE = 1_500_000
 #: Bytes of text whose runs are worked on at once.
-CODES_AT_ONCE = 4 << 20
+CODES_AT_ONCE = 1 << 20
 #: Log-perplexity and deviations are binned to these widths for exact, order-independent quantiles and tail counts.
 BIN, DEVIATION_BIN = 0.0005, 0.05
 #: Deviations beyond this are counted as this.
@@ -52,6 +52,8 @@ FARTHEST = 40
 MIDDLE = "(m0 + m1 / greatest(word_chars, 1))"
 SPREAD = f"greatest(sqrt(v0 + v1 / greatest(word_chars, 1)), {BIN})"
 DEVIATION = f"(log_ppl - {MIDDLE}) / {SPREAD}"
+#: Rows of a few numbers that are broadcast; larger tables are joined as Spark sees fit.
+SMALL_ROWS = 50_000
 #: Documents that a length class needs to count in a fit.
 CLASS_DOCS = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -148,6 +150,12 @@ def continuation_counts(counts: DataFrame) -> DataFrame:
     return found.select("k", "lang", "code", "n")
 
 
+def _by_language_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A few numbers a language as a table, broadcast where it has at most ``SMALL_ROWS`` rows."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= SMALL_ROWS else table
+
+
 def discounts(levels: DataFrame) -> DataFrame:
     """d1, d2, d3 by order and language from the counts of counts 1 to 4; 0.5 where those are too few to tell. ``ORDER`` rows a language reach the driver."""
     n = [F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -155,7 +163,7 @@ def discounts(levels: DataFrame) -> DataFrame:
     known = F.expr("n1 > 0 and n2 > 0 and n3 > 0")
     d = [F.when(known, F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(0.5).alias(f"d{k}") for k in (1, 2, 3)]
     rows = levels.groupBy("k", "lang").agg(*n).select("k", "lang", *d).collect()
-    return levels.sparkSession.createDataFrame(rows, "k int, lang string, d1 double, d2 double, d3 double")
+    return _by_language_rows(levels.sparkSession, rows, "k int, lang string, d1 double, d2 double, d3 double")
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -354,7 +362,7 @@ def perplexity_bands(stats: DataFrame, false_share: float) -> DataFrame:
     spark = stats.sparkSession
     classes = length_classes(stats).orderBy("lang", "class").toPandas()
     fits = {lang: fit_lengths(own["x"].to_numpy(), own["n"].to_numpy(), *((np.stack(own["q"]) + 0.5) * BIN).T) for lang, own in classes.groupby("lang")}
-    fitted = spark.createDataFrame([(k, *v) for k, v in fits.items()], "lang string, m0 double, m1 double, v0 double, v1 double")
+    fitted = _by_language_rows(spark, [(k, *v) for k, v in fits.items()], "lang string, m0 double, m1 double, v0 double, v1 double")
     z = F.least(F.greatest(F.expr(DEVIATION), F.lit(-FARTHEST)), F.lit(FARTHEST))
     rows = stats.where("not base_failed and log_ppl is not null").join(fitted, "lang").groupBy("lang", F.floor(F.abs(z) / DEVIATION_BIN).alias("bin"), (z < 0).alias("below")).count().toPandas()
     bands = []
@@ -364,7 +372,7 @@ def perplexity_bands(stats: DataFrame, false_share: float) -> DataFrame:
             tail = own[own["below"] == side].sort_values("bin")
             ends.append(tail_bound(tail["bin"].to_numpy() * DEVIATION_BIN, tail["count"].to_numpy(), int(own["count"].sum()), false_share))
         bands.append((lang, *fits[lang], -ends[0], ends[1]))
-    return spark.createDataFrame(bands, "lang string, m0 double, m1 double, v0 double, v1 double, low double, high double")
+    return _by_language_rows(spark, bands, "lang string, m0 double, m1 double, v0 double, v1 double, low double, high double")
 
 
 def quality_rules(docs: DataFrame, false_share: float = 0.01) -> DataFrame:

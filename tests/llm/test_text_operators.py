@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash, substring_dedup, toxicity
+from corpusloom.llm import bytecnn, decontaminate, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash, substring_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, extra string"
@@ -451,6 +451,62 @@ def test_language_of_whole_texts(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def brute_logits(net, window):
+    """One window's class scores by loops over filters, places and offsets."""
+    fold = [b if b < 128 else 1 + (b & 30) for b in window]
+    hidden = []
+    for f in range(len(net.bias)):
+        width = bytecnn.WIDTHS[f // net.filters]
+        best = max(sum(float(net.weights[k, fold[at + k], f]) for k in range(width) if at + k < len(fold)) for at in range(len(fold)))
+        hidden.append(max(best + float(net.bias[f]), 0))
+    return [sum(h * float(net.out[f, c]) for f, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(len(net.out_bias))]
+
+
+def padded_windows(t, length, stride):
+    b = (t or "").encode()
+    for at in range(0, max(len(b) - (length - stride), 1), stride):
+        yield b[at : at + length] + bytes(length - len(b[at : at + length])), len(b[at : at + length])
+
+
+CNN_TEXTS = [None, "", " ", "é漢🙂", "a" * 511, "b" * 512, "c" * 513, "d e " * 200, "x", "x", "123 !!"]
+
+
+def test_language_scores_match_plain_loops(spark):
+    net = bytecnn.ByteCNN(3, filters=2, seed=3)
+    for r in language_id.identify(frame(spark, CNN_TEXTS), language_id.LanguageModel(net, ["a", "b", "c"])).collect():
+        t = CNN_TEXTS[r.doc_id]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = np.zeros(3)
+        for window, used in padded_windows(t, language_id.WINDOW, language_id.WINDOW):
+            e = np.exp(brute_logits(net, window))
+            total += used * e / e.sum()
+        total /= len(t.encode())
+        assert r.lang_pred == "abc"[total.argmax()] and r.score == pytest.approx(total.max(), abs=1e-5)
+
+
+def test_quality_scores_match_plain_loops(spark):
+    net = bytecnn.ByteCNN(2, filters=2, seed=4)
+    got = {r.doc_id: r.score for r in quality_cnn.score(frame(spark, CNN_TEXTS), quality_cnn.QualityModel(net)).collect()}
+    for i, t in enumerate(CNN_TEXTS):
+        odds, weight = 0.0, 0
+        for window, used in padded_windows(t, quality_cnn.CHUNK, quality_cnn.STRIDE):
+            z = brute_logits(net, window)
+            odds, weight = odds + (z[1] - z[0]) * max(used, 1), weight + max(used, 1)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-odds / weight)), abs=1e-5)
+
+
+def test_training_reads_whole_texts_of_a_bounded_sample(spark):
+    texts = ["abc" * 700, "de" * 300, None, "", "x" * 9000, "tail"]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, label int")
+    x, y, weight, names = bytecnn.training_windows(docs, labels, 10, 5000, 512, 512)
+    assert names == ["0", "1"] and len(x) == 5 + 2 + 1 and (x > 0).sum() == 2100 + 600 + 4  # the text of 9000 bytes passes the bound
+    assert weight[y == 0].sum() == pytest.approx(1) and weight[y == 1].sum() == pytest.approx(2)
+    assert len(bytecnn.training_windows(docs, labels, 10, 50_000, 512, 512)[0]) == 8 + 18
+
+
 def test_models_without_training_rows(spark, odd, empty):
     nobody = spark.createDataFrame([], "doc_id long, label int")
     assert {r.lang_pred for r in language_id.identify(odd, language_id.train(odd, nobody)).collect()} == {"und"}
@@ -498,6 +554,55 @@ def test_toxicity_sees_through_disguises():
     assert dict(zip(cases, total[:-2])) == cases and not total[-2:].any()
 
 
+def brute_total(lexicon, text):
+    """Weight of a folded text by trying every entry at every place and every reading of its signs."""
+    fits = lambda seen, entry: len(seen) == len(entry) and all(a == b or b in toxicity.READINGS.get(a, "") for a, b in zip(seen, entry))
+    exempt = [(at, at + len(p) + 1) for p in lexicon.exceptions for at in range(len(text)) if fits(text[at : at + len(p) + 2], f" {p} ")]
+    total = 0.0
+    for at in range(len(text)):
+        found = [w for e, w in lexicon.weights.items() if fits(text[at : at + len(e)], e)]
+        if found and not any(a <= at < b for a, b in exempt):
+            total += max(found)
+    return total
+
+
+def test_toxicity_totals_match_plain_loops():
+    import pyarrow as pa
+
+    from corpusloom.llm.text import Texts
+
+    random = np.random.default_rng(21)
+    lexicon = toxicity.Lexicon({" scum ": 2.5, " scu": 1.0, " idiot ": 3.0, " lid": 0.5, " bag ": 4.0})
+    parts = ["scum", "pond scum", "5cum", "sc\u0301um", "1d1ot", "!diot", "ba6", "trash bag", "!", "l1d", "scumbag", "漢字", "plain", "\U0001f642", "trash can bag"]
+    texts = ["", *(" ".join(random.choice(parts, int(random.integers(1, 40)))) for _ in range(60))]
+    folded = toxicity.fold(Texts(pa.array(texts)), signs=True)
+    total, words = lexicon.totals(Texts(pa.array(texts)))
+    for i, t in enumerate(texts):
+        own = toxicity._padded(folded, i)
+        assert total[i] == pytest.approx(brute_total(lexicon, own)) and words[i] == len(own.split())
+        assert lexicon.total(own, at_once=7) == pytest.approx(total[i])
+        assert toxicity.fold(Texts(pa.array([t])), True, at_once=11).bytes(0) == folded.bytes(i)
+
+
+def test_toxicity_learns_every_entry_and_harmless_pairs(spark):
+    random = np.random.default_rng(9)
+    plain = ["river", "stone", "green", "walks"]
+    say = lambda *more: " ".join([*random.choice(plain, 20), *more, *random.choice(plain, 3)])
+    texts = [say(f"scum{k}") for k in range(4) for _ in range(6)] + [say("nasty", "bug") for _ in range(30)] + [say("garden", "bug") for _ in range(9)] + [say("a") for _ in range(400)]
+    labels = [1] * 54 + [0] * 409
+    texts = [f"{t} n{i}" for i, t in enumerate(texts)]
+    docs = frame(spark, texts)
+    lexicon = toxicity.train(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, label int"))
+    holds = lambda entry, label: sum(entry in f" {t} " for t, x in zip(texts, labels) if x == label)
+    for entry in {f" {w}{end}" for t in texts for w in t.split() if len(w) >= 3 for end in (" ", "") if end or len(w) >= 4}:
+        if re.search(r"\d", entry) or not entry.endswith(" ") and len(entry) - 1 not in toxicity.PREFIXES:
+            continue
+        n, m = holds(entry, 1), holds(entry, 0)
+        odds = math.log((n + 0.5) / (54 - n + 0.5)) - math.log((m + 0.5) / (409 - m + 0.5))
+        assert (entry in lexicon.weights) == (n >= 5 and m * 54 <= 0.1 * n * 409 and odds >= 2), entry
+    assert "garden bug" in lexicon.exceptions and "nasty bug" not in lexicon.exceptions
+
+
 def test_toxicity_held_out(spark):
     random = np.random.default_rng(7)
     plain = ["river", "stone", "green", "walks", "over", "under", "table", "garden", "light"]
