@@ -3,15 +3,19 @@ documents but the one with the least doc_id.
 
 Seeds are winnowed anchors: of the 3-word grams of every 13-word window, the longest in bytes (then the least hash, then the
 first) is selected. The choice depends on the window's words alone, so a window that two documents share has the same
-anchor in both. Anchors found in one document only are dropped; others are extended both ways:
-
-* The windows of one anchor form a run, whose words (up to 8 more on each side) are hashed as a whole. If an earlier document
-  has the whole run, all of it is a repeat. Copies of any number meet here, one row each and no pairs.
-* Where an anchor has several different runs, the first document of each run compares single windows with the others.
-
-Overlapping windows unite to maximal repeats. Hashes have 64 bits. Null and empty texts have no word. ``doc_id`` names one
-text; repeated rows of a document get the same result each. Rows without doc_id are kept whole and nothing repeats them.
-Other columns are not read.
+anchor at the same place in both. Anchors found in one document only are dropped; each occurrence of the others is extended both ways over all
+windows that select it (up to 10 words on each side, a run):
+
+* Runs with equal words are one class. If an earlier document has the class, the whole run is a repeat. Copies of any number
+  meet here, one row each.
+* Where an anchor has several classes, the first document of each joins the anchor's first document. The match is extended from the anchor
+  to both sides, window by window, as far as the words agree.
+* Windows that do not agree with it are compared among themselves: the first document that has a window, at this anchor, has priority.
+
+No step makes pairs of occurrences. Overlapping matches unite to maximal repeats. Windows agree if their anchors (64 bits) and their
+words (another 64 bits) have equal hashes. Null and empty texts have no word. ``doc_id`` names one text; repeated rows of a document get the same
+result each. Rows without doc_id are kept whole and nothing repeats them. Ties do not occur: of equal windows that of the least doc_id stays.
+Texts of any length are handled; a task holds the words of one text. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ class Runs:
         self.length = length
         self.window = np.flatnonzero(words.doc[:n] == words.doc[length - 1 :]) if n > 0 else np.zeros(0, np.int64)
         if not len(self.window):
-            self.low = self.high = self.doc = np.zeros(0, np.int64)
+            self.low = self.high = self.doc = self.at = np.zeros(0, np.int64)
             self.anchor = np.zeros(0, np.uint64)
             return
         size = (words.end - words.start).astype(np.uint64)
@@ -55,7 +59,7 @@ class Runs:
         last = np.concatenate([first[1:], [len(at)]]) - 1
         #: first and last window of each run, as word numbers of the block
         self.low, self.high = self.window[first], self.window[last]
-        self.anchor, self.doc = gram[at[first]], words.doc[self.low]
+        self.at, self.anchor, self.doc = at[first], gram[at[first]], words.doc[self.low]
 
     def keyed(self, anchors: np.ndarray, doc: np.ndarray) -> np.ndarray:
         return anchors ^ mix(doc.astype(np.uint64) + np.uint64(1))
@@ -94,8 +98,8 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """Runs of the anchors in column ``shared``: their content hash, place, number of windows and the windows' hashes."""
-    schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("low", pa.int32()), ("n", pa.int32()), ("windows", pa.binary())])
+    """Runs of the anchors in column ``shared``: their content hash, place, number of windows, the anchor's place in them and the windows' hashes."""
+    schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("low", pa.int32()), ("n", pa.int32()), ("off", pa.int32()), ("windows", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
@@ -109,24 +113,33 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             low, high = runs.low[which], runs.high[which]
             windows = [h[a : b + 1].tobytes() for a, b in zip(low.tolist(), high.tolist())]
             place = (low - runs.words.first[runs.doc[which]]).astype(np.int32)
-            yield record_batch(schema, runs.anchor[which].view(np.int64), runs.content(which).view(np.int64), batch.column("doc_id").take(pa.array(runs.doc[which])), place, (high - low + 1).astype(np.int32), windows)
+            doc = batch.column("doc_id").take(pa.array(runs.doc[which]))
+            yield record_batch(schema, runs.anchor[which].view(np.int64), runs.content(which).view(np.int64), doc, place, (high - low + 1).astype(np.int32), (runs.at[which] - low).astype(np.int32), windows)
 
-    return docs.mapInArrow(run, "anchor long, run long, doc_id long, low int, n int, windows binary")
+    return docs.mapInArrow(run, "anchor long, run long, doc_id long, low int, n int, off int, windows binary")
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """(window, doc_id, low): one row per window of the given runs."""
-    schema = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("low", pa.int32())])
+def _extended(rows: DataFrame) -> DataFrame:
+    """(anchor, window, doc_id, low, agrees): every window of runs that are laid beside the first run of their anchor (first_doc, first_off,
+    first_windows), and whether an earlier document's window agrees with it."""
+    schema = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("low", pa.int32()), ("agrees", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            h = np.frombuffer(b"".join(batch.column("windows").to_pylist()), "<i8")
+            own, first = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i8") for c in ("windows", "first_windows"))
+            n, m = (np.array([len(x) // 8 for x in batch.column(c).to_pylist()], np.int64) for c in ("windows", "first_windows"))
             row = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            yield record_batch(schema, h, batch.column("doc_id").to_numpy()[row], (batch.column("low").to_numpy()[row] + step).astype(np.int32))
+            shift = (batch.column("first_off").to_numpy() - batch.column("off").to_numpy())[row]
+            beside = step + shift  # windows at the same distance from the anchor
+            inside = (beside >= 0) & (beside < m[row])
+            agrees = np.zeros(len(row), bool)
+            agrees[inside] = own[inside] == first[((np.cumsum(m) - m)[row] + beside)[inside]]
+            doc = batch.column("doc_id").to_numpy()
+            agrees &= (doc > batch.column("first_doc").to_numpy())[row]
+            yield record_batch(schema, batch.column("anchor").to_numpy()[row], own, doc[row], (batch.column("low").to_numpy()[row] + step).astype(np.int32), agrees)
 
-    return rows.select("doc_id", "low", "n", "windows").mapInArrow(run, "window long, doc_id long, low int")
+    return rows.mapInArrow(run, "anchor long, window long, doc_id long, low int, agrees boolean")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -140,16 +153,23 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = materialize(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "substring-shared")
     by_doc = materialize(found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared")), "substring-seeds")  # anchors of one document
     runs = materialize(_runs(docs.join(by_doc, "doc_id"), length), "substring-runs")
-    firsts = materialize(runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.min("anchor").alias("anchor")), "substring-firsts")
-    several = materialize(firsts.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor", F.lit(True).alias("several")), "substring-several")
-    firsts = materialize(firsts.join(several, "anchor", "left").select("run", "first", "several"), "substring-runs-first")
-    judged = runs.join(firsts, "run").where("doc_id > first or several").select("doc_id", "low", "n", (F.col("doc_id") > F.col("first")).alias("repeat"), F.when(F.col("doc_id") == F.col("first"), F.col("windows")).alias("windows"))
+    classes = materialize(runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("first")), "substring-classes")
+    several = materialize(classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min_by("run", F.struct("first", "run")).alias("first_run")).where("n > 1").select("anchor", "first_run"), "substring-several")
+    classes = materialize(classes.join(several, "anchor", "left"), "substring-runs-first")
+    first = F.col("doc_id") == F.col("first")
+    judged = runs.join(classes, ["anchor", "run"]).where(~first | F.col("first_run").isNotNull())
+    judged = judged.select("anchor", "doc_id", "low", "n", "off", (~first).alias("repeat"), (first & (F.col("run") == F.col("first_run"))).alias("is_first"), F.when(first, F.col("windows")).alias("windows"))
     judged = materialize(judged, "substring-judged")
     whole = judged.where("repeat").select("doc_id", "low", (F.col("n") + (length - 1)).alias("n"))
-    windows = materialize(_windows(judged.where("not repeat")), "substring-windows")
-    earliest = materialize(windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first"), "substring-windows-first")
-    single = windows.join(earliest, "window").where("doc_id > first").select("doc_id", "low", F.lit(length).alias("n"))
-    return whole.unionByName(single)
+    firsts = judged.where("is_first").groupBy("anchor").agg(F.min_by(F.struct("doc_id", "off", "windows"), "low").alias("f"))
+    firsts = materialize(firsts.select("anchor", F.col("f.doc_id").alias("first_doc"), F.col("f.off").alias("first_off"), F.col("f.windows").alias("first_windows")), "substring-firsts")
+    beside = judged.where("not repeat and not is_first").select("anchor", "doc_id", "low", "off", "windows").join(firsts, "anchor")
+    windows = materialize(_extended(beside), "substring-windows")
+    agreed = windows.where("agrees").select("doc_id", "low", F.lit(length).alias("n"))
+    rest = windows.where("not agrees")
+    earliest = materialize(rest.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "window", "first"), "substring-windows-first")
+    single = rest.join(earliest, ["anchor", "window"]).where("doc_id > first").select("doc_id", "low", F.lit(length).alias("n"))
+    return whole.unionByName(agreed).unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
