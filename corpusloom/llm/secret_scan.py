@@ -4,11 +4,14 @@ Every version of every path is a row (path, version, content). Its blob is the S
 row for each blob and rule version already scanned, findings or not; ``scan_versions`` scans only unseen pairs, whatever
 number of paths carries the blob, and joins findings back to all paths and versions.
 
-Null contents count as empty. Findings are code-point spans of the whole match.
+Null contents count as empty. Findings are code-point spans of the whole match; ties in the start are ordered as the rules are. Repeated
+rows get a row each. Contents of any length are handled, in time that grows with the power 1.5 of their number of matches. Empty tables give no rows.
+Masking keeps all columns, whatever their names; scanning returns the named keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,26 +63,45 @@ def blob_of(content: Column) -> Column:
     return F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cut(v: Column) -> Column:
+    """The array ``v`` in slices of about the square root of its size."""
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda k: F.slice(v, k * size + 1, size))
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of the long ``values`` those before it, reduced from 0 by ``op``: in groups of about the square root of their number,
+    since a fold copies what it has gathered at every step."""
+    zero = F.lit(0).cast("long")
+    grown = lambda xs, start: F.aggregate(xs, F.array(start), lambda found, x: F.concat(found, F.array(op(F.element_at(found, -1), x))))
+    bases = lambda groups: grown(F.transform(groups, lambda g: F.aggregate(g, zero, op)), zero)
+    inside = lambda groups: F.zip_with(groups, F.slice(bases(groups), F.lit(1), F.size(groups)), lambda g, base: grown(F.slice(g, F.lit(1), F.size(g) - 1), base))
+    none = F.array().cast("array<bigint>")
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(_cut(v), lambda groups: F.flatten(inside(groups)))).otherwise(none))
+
+
 def find_spans(content: Column, rule: Rule) -> Column:
     """Spans of a rule's matches, from the lengths of the matches and of the gaps between them."""
-    pattern = F.lit(rule.pattern)
-    matches = F.regexp_extract_all(content, pattern, F.lit(0))
-    lengths = F.transform(matches, lambda m: F.length(m).cast("long"))
-    gaps = F.transform(F.split(content, rule.pattern, -1), lambda g: F.length(g).cast("long"))
-    judged = F.transform(F.regexp_extract_all(content, pattern, F.lit(rule.group)), lambda g: F.length(g)) if rule.at_least > 1 else lengths
-    kind = "array<struct<kind:string,start:long,end:long>>"
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("spans"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + x["length"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), end.alias("end"))
-        spans = F.when(x["judged"] >= rule.at_least, F.concat(s["spans"], F.array(span))).otherwise(s["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+    sizes = lambda texts: F.transform(texts, lambda x: F.length(x).cast("long"))
+    matches = F.regexp_extract_all(content, F.lit(rule.pattern), F.lit(0))
+    gaps = sizes(F.split(content, rule.pattern, -1))  # one more than matches
+    kept = sizes(F.regexp_extract_all(content, F.lit(rule.pattern), F.lit(rule.group))) if rule.at_least > 1 else F.lit(None).cast("array<bigint>")
+    span = lambda a, n: F.struct(F.lit(rule.kind).alias("kind"), a.alias("start"), (a + n).alias("end"))
+
+    def spans(p: Column) -> Column:
+        pairs = F.zip_with(p["lengths"], F.slice(p["gaps"], F.lit(1), F.size(p["lengths"])), lambda n, g: g + n)
+        starts = F.zip_with(_before(pairs, lambda a, b: a + b), F.slice(p["gaps"], F.lit(1), F.size(p["lengths"])), lambda a, g: a + g)
+        found = F.zip_with(starts, p["lengths"], span)
+        return _let(found, lambda x: F.filter(x, lambda _, k: F.get(p["kept"], k) >= rule.at_least)) if rule.at_least > 1 else found
 
-    parts = F.transform(F.sequence(F.lit(1), F.size(matches)), lambda i: F.struct(F.element_at(gaps, i).alias("gap"), F.element_at(lengths, i).alias("length"), F.element_at(judged, i).alias("judged")))
-    found = F.aggregate(parts, state, step, lambda s: s["spans"])
-    return F.when(content.rlike(rule.pattern), found).otherwise(F.array().cast(kind))
+    kind = "array<struct<kind:string,start:long,end:long>>"
+    found = _let(F.struct(sizes(matches).alias("lengths"), gaps.alias("gaps"), kept.alias("kept")), spans)
+    return F.when(content.rlike(rule.pattern), found.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def scan_new(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -134,13 +156,16 @@ def spans_text(findings: Column) -> Column:
 
 def redact(content: Column, findings: Column, mask: str = "[SECRET]") -> Column:
     """``content`` with every span masked; overlapping spans are masked as one."""
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(content, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-        return F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], gap, F.lit(mask)).alias("out"))).otherwise(
-            F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))
-        )
-
-    rest = lambda s: F.concat(s["out"], F.substring(content, (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return F.when(F.size(findings) > 0, F.aggregate(findings, state, step, rest)).otherwise(content)
+    ends = F.transform(findings, lambda x: x["end"])
+    part = lambda text, low, high: F.substring(text, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+    places = F.zip_with(findings, _before(ends, lambda a, b: F.greatest(a, b)), lambda x, seen: F.struct(seen.alias("seen"), x["start"].alias("start")))
+
+    def stretch(group: Column) -> Column:  # of the content, so that no place is sought from its very start
+        base = F.get(group, F.lit(0))["seen"]
+        own = F.struct(base.alias("base"), part(content, base, F.element_at(group, -1)["start"]).alias("text"))
+        one = lambda c, x: F.when(x["start"] >= x["seen"], F.concat(part(c["text"], x["seen"] - c["base"], x["start"] - c["base"]), F.lit(mask))).otherwise("")
+        return _let(own, lambda c: F.array_join(F.transform(group, lambda x: one(c, x)), ""))
+
+    parts = _let(places, lambda p: F.transform(_cut(p), stretch))
+    masked = F.concat(F.array_join(parts, ""), F.substring(content, (F.array_max(ends) + 1).cast("int"), F.lit(2**31 - 1)))
+    return F.when(F.size(findings) > 0, masked).otherwise(content)
