@@ -27,6 +27,8 @@ from .text import blocks, record_batch
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Shingles hashed at once, whatever the length of the text.
+SHINGLES_AT_ONCE = 1 << 16
 #: Bits of the three blocks.
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 
@@ -45,10 +47,13 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(width, len(words))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1)
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-    ones = np.add.reduce(bits, axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    n, starts, ends = len(starts) - k + 1, starts.tolist(), ends.tolist()
+    ones = np.zeros(64, np.int64)
+    for at in range(0, n, SHINGLES_AT_ONCE):
+        upto = min(at + SHINGLES_AT_ONCE, n)
+        h = np.fromiter((digest(joined[starts[i] : ends[i + k - 1]], SEED) for i in range(at, upto)), np.uint64, upto - at)
+        ones += np.add.reduce(np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64), axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
