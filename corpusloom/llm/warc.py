@@ -1,16 +1,19 @@
-"""Not-modified revisits of web archives: an as-of join by canonical URL to the latest earlier full response.
+"""Not-modified revisit resolution of web archives: an as-of join by canonical URL to the latest earlier full response.
 
 Records: record_id, url, ts (timestamp), kind ('response' or 'revisit'), status, headers (map of lower-case names), payload_digest.
-A revisit (304) takes the payload of the last response of its canonical URL that is not later. Validators are then checked: where
-both records carry an ETag they must agree (weak comparison), else the Last-Modified dates must; a revisit without common
+A full response has status 200; other responses (errors, redirects, partial content) store no body to revisit. A revisit takes the
+payload of the last full response of its canonical URL that is not later; where its headers name ``warc-refers-to-target-uri``, of that URL.
+Validators are then checked: under the profile identical-payload-digest (``warc-profile``) the digests must agree; else, where both
+records carry an ETag, these must (weak comparison), else the Last-Modified dates must; a revisit without common
 validators is not confirmed. Headers that a 304 may update replace those of the response.
 
-One URL may hold a third of all records. Records are grouped by URL and time bucket, where the last response of each
-bucket is found by a partial aggregate; only these few rows per URL are ordered across buckets, so no task holds all records
-of a URL as long as they spread over time.
+One URL may hold a third of all records, in one hour too. The last response of each URL and hour, and of each second of an hour,
+is found by partial aggregates; only these rows, 3,600 for an hour at most, are ordered across hours and seconds. One task orders the
+records of one URL and second.
 
-Null URLs or timestamps resolve nothing ('no-response'). Ties in time go to responses first, then to the greater
-record_id. Empty tables give no rows; extra columns are kept unless they clash with the result's names.
+Null URLs or timestamps resolve nothing ('no-response'), nor does a null status make a full response. Ties in time go to responses first,
+then to the greater record_id. Repeated rows get a row each. Empty tables give no rows. Extra columns of the revisits are kept, but for those that
+clash with the result's names. No text is held but the headers.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 #: Headers that a 304 response may not change: they describe the stored body.
 BODY_HEADERS = ("content-length", "content-encoding", "content-type", "content-range", "transfer-encoding", "content-md5")
 BUCKET_SECONDS = 3600
+INPUT = ("record_id", "url", "ts", "kind", "status", "headers", "payload_digest")
+RESULT = ("record_id", "canonical_url", "ts", "response_id", "verdict", "payload_digest", "headers", "status")
 
 
 def canonical_url(url: Column) -> Column:
@@ -40,6 +45,15 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def _last_before(full: DataFrame, wanted: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+    """For each wanted ``by`` of the keys ``within``: the last full response of an earlier one."""
+    keys = [*within, by]
+    last = full.groupBy(*keys).agg(F.max_by("response", F.struct("ts", "record_id")).alias("last"))
+    places = last.join(wanted.select(*keys).distinct().withColumn("wanted", F.lit(True)), keys, "full")
+    upto = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return places.withColumn(name, F.last("last", ignorenulls=True).over(upto)).where("wanted").select(*keys, name)
+
+
 def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """One row per revisit: record_id, canonical_url, ts, response_id, verdict, payload_digest, merged headers and status.
 
@@ -47,24 +61,30 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     the stored status are given where it is 'resolved'.
     """
     response = F.struct("ts", "record_id", "status", "headers", "payload_digest")
+    seconds = F.unix_timestamp("ts")
+    revisit, named = F.col("kind") == "revisit", F.col("headers")["warc-refers-to-target-uri"]
+    taken = {c.lower() for c in (*INPUT, *RESULT)}
+    extra = F.struct(*(c for c in records.columns if c.lower() not in taken), F.lit(0).alias("_none"))
     rows = records.select(
-        "record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "headers", F.floor(F.unix_timestamp("ts") / bucket_seconds).alias("bucket"),
-        F.when(F.col("kind") == "response", response).alias("response"),
+        "record_id", canonical_url(F.when(revisit, F.coalesce(named, "url")).otherwise(F.col("url"))).alias("canonical_url"), "ts", "kind", "headers", "payload_digest", F.floor(seconds / bucket_seconds).alias("bucket"),
+        seconds.alias("second"), F.when((F.col("kind") == "response") & (F.col("status") == 200), response).alias("response"), F.when(revisit, extra).alias("_extra"),
     )
-    last = rows.where("response is not null and canonical_url is not null and ts is not null").groupBy("canonical_url", "bucket").agg(F.max_by("response", F.struct("ts", "record_id")).alias("last"))
-    upto = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = rows.where("kind = 'revisit' and canonical_url is not null and ts is not null").select("canonical_url", "bucket").distinct()
-    buckets = last.join(wanted, ["canonical_url", "bucket"], "full")
-    before = buckets.withColumn("before", F.last("last", ignorenulls=True).over(upto)).join(wanted, ["canonical_url", "bucket"], "left_semi").select("canonical_url", "bucket", "before")
+    usable = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
+    full, wanted = rows.where(F.col("response").isNotNull() & usable), rows.where(revisit & usable)
+    before = _last_before(full, wanted, ["canonical_url"], "bucket", "before")
+    earlier = _last_before(full, wanted, ["canonical_url", "bucket"], "second", "earlier")
     # records without URL or time stand alone
-    alone = F.when(F.col("canonical_url").isNull() | F.col("ts").isNull(), F.col("record_id").cast("string"))
-    within = Window.partitionBy("canonical_url", "bucket", alone).orderBy("ts", F.col("kind") == "revisit", "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumn("inside", F.last("response", ignorenulls=True).over(within)).where("kind = 'revisit'").drop("response", "kind")
-    found = inside.join(before, ["canonical_url", "bucket"], "left").withColumn("response", F.when(F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(), F.coalesce("inside", "before")))
+    alone = F.when(~usable, F.col("record_id").cast("string"))
+    within = Window.partitionBy("canonical_url", "second", alone).orderBy("ts", F.col("kind") == "revisit", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("inside", F.last("response", ignorenulls=True).over(within)).where(revisit).drop("response", "kind")
+    found = inside.join(earlier, ["canonical_url", "bucket", "second"], "left").join(before, ["canonical_url", "bucket"], "left")
+    found = found.withColumn("response", F.when(usable, F.coalesce("inside", "earlier", "before")))
     tag, old_tag = F.col("headers")["etag"], F.col("response.headers")["etag"]
     date, old_date = F.col("headers")["last-modified"], F.col("response.headers")["last-modified"]
+    same_payload = F.when(F.col("payload_digest") == F.col("response.payload_digest"), "resolved").otherwise("validators-differ")
     verdict = (
         F.when(F.col("response").isNull(), "no-response")
+        .when(F.coalesce(F.col("headers")["warc-profile"].contains("identical-payload-digest"), F.lit(False)), same_payload)
         .when(tag.isNotNull() & old_tag.isNotNull(), F.when(_weak(tag) == _weak(old_tag), "resolved").otherwise("validators-differ"))
         .when(date.isNotNull() & old_date.isNotNull(), F.when(date == old_date, "resolved").otherwise("validators-differ"))
         .otherwise("unconfirmed")
@@ -76,8 +96,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     found = found.withColumn("update", update)
     return found.select(
         "record_id", "canonical_url", "ts", F.col("response.record_id").alias("response_id"), "verdict", F.when(ok, F.col("response.payload_digest")).alias("payload_digest"),
-        F.when(ok, F.map_concat(kept, "update")).alias("headers"), F.when(ok, F.col("response.status")).alias("status"),
-    )
+        F.when(ok, F.map_concat(kept, "update")).alias("headers"), F.when(ok, F.col("response.status")).alias("status"), "_extra.*",
+    ).drop("_none")
 
 
 def records_from_pages(pages: DataFrame) -> DataFrame:
