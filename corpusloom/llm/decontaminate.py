@@ -1,13 +1,15 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Items are partitioned by their number of distinct shingles into classes of doubling size. A class keeps the bottom-k
+Items are partitioned by their number of distinct shingles into classes of doubling size, each with an index of its own. A class keeps the bottom-k
 MinHash values of its items with k = floor((1 - t) * largest size) + 1. An item of which a share t or more lies in a
 document has at most floor((1 - t) * size) shingles elsewhere, so at least one of its k values is a shingle of that
 document: the search misses nothing, whatever the document's length. Each candidate is then verified by the containment of all
 its distinct shingles (64-bit hashes).
 
 Words are maximal runs of Unicode letters and digits after lower-casing, so quotes, dashes and spaces of any script separate them.
-Items under five words are one shingle of their own length; null, empty or wordless items match nothing.
+Items under five words are one shingle of their own length; null, empty or wordless items match nothing. Repeated rows of either table
+give a row for each pair of rows; ids may be null, but ``decontaminate`` drops by doc_id and keeps rows without one. A containment equal to the
+threshold counts. Texts of any length are handled; a task holds the words of one text. No other column is read, whatever its name.
 """
 
 from __future__ import annotations
@@ -83,24 +85,24 @@ class ItemIndex:
         self.items = table["item_id"].to_pylist()
         self.shingles = [np.array(x, np.int64).view(np.uint64) for x in table["shingles"].to_pylist()]
         widths = table["width"].to_pylist()
-        self.by_width = {}
-        for w in sorted(set(widths)):
+        #: by shingle width and size class: sorted sketch values, their items, and a bitmap that passes over most other values
+        self.classes = {}
+        kinds = [(w, (len(own) - 1).bit_length()) for w, own in zip(widths, self.shingles, strict=True)]
+        for w, size in sorted(set(kinds)):
             keys, owners = [], []
-            for i in (i for i, x in enumerate(widths) if x == w):
-                size = len(self.shingles[i])
-                largest = 1 << (size - 1).bit_length()  # of the item's size class
-                k = min(size, int((1 - threshold) * largest + 1e-9) + 1)
+            for i in (i for i, x in enumerate(kinds) if x == (w, size)):
+                k = min(len(self.shingles[i]), int((1 - threshold) * (1 << size) + 1e-9) + 1)
                 keys.append(np.sort(self.shingles[i])[:k])
                 owners.append(np.full(k, i))
             keys, owners = np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(keys, kind="stable")
-            maybe = np.zeros(1 << 22, bool)
+            maybe = np.zeros(1 << max(16, min(24, 4 + len(keys).bit_length())), bool)
             maybe[keys & np.uint64(len(maybe) - 1)] = True
-            self.by_width[w] = keys[order], owners[order], maybe
+            self.classes[w, size] = keys[order], owners[order], maybe
 
-    def candidates(self, w: int, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Distinct (document, item number) pairs that share a sketch value."""
-        keys, owners, maybe = self.by_width[w]
+    def candidates(self, kind: tuple[int, int], h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Distinct (document, item number) pairs that share a sketch value of one class."""
+        keys, owners, maybe = self.classes[kind]
         at = np.flatnonzero(maybe[h & np.uint64(len(maybe) - 1)])
         low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
         n = high - low
@@ -111,10 +113,10 @@ class ItemIndex:
         """(document, item number, shared, size) of the verified matches."""
         words = _folded_words(texts)
         hashes = words.hashes()
-        for w in self.by_width:
+        for w in sorted({w for w, _ in self.classes}):
             at, h = words.windows(hashes, w)
             doc = words.doc[at]
-            pairs = self.candidates(w, h, doc)
+            pairs = np.concatenate([self.candidates(kind, h, doc) for kind in self.classes if kind[0] == w])
             for d in np.unique(pairs[:, 0]):
                 low, high = np.searchsorted(doc, [d, d + 1])
                 own = np.unique(h[low:high])
@@ -148,7 +150,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, item
                     d, i, shared, size = map(list, zip(*rows, strict=True))
                     yield record_batch(schema, batch.column("doc_id").take(pa.array(d)), [index.value.items[x] for x in i], shared, size)
 
-        part = columns.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_shingles long")
+        part = materialize(columns.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_shingles long"), "contaminated-pairs")
+        index.destroy()  # the driver and the executors hold one block at a time
         found = part if found is None else found.unionByName(part)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
