@@ -1,7 +1,12 @@
 """Corpus pipeline: quality rules, near-duplicates, benchmark decontamination, secret scans, packing.
 
 Each stage reads what the one before kept. All but the last return the columns of ``documents``; the last returns packed pieces.
-Extra columns pass through. ``STAGES`` names the stages in their order.
+Extra columns pass through under any name. ``STAGES`` names the stages in their order.
+
+Odd rows: a row without doc_id cannot be told from others in any later stage or packed piece, so the first stage drops it. Of rows
+that share a doc_id the first stage judges each by its own text and language, and the second keeps one, whichever it meets first among those
+whose fingerprint stays. Null and empty texts fail the counting rules. Ties between near-duplicates go to the least doc_id. A table without ``n_chars``
+gets none. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,15 +26,22 @@ def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counting rules or the perplexity bands reject go."""
-    rejected = materialize(quality_rules.quality_rules(docs).where("not kept").select("doc_id").distinct(), "rejected")
-    return _only(docs, rejected, "left_anti")
+    """Documents that the counting rules or the perplexity bands reject go, as do rows without doc_id."""
+    judged = quality_rules.quality_rules(docs.where("doc_id is not null"))
+    rejected = materialize(judged.where("not kept").select(F.col("doc_id").alias("rejected_doc_id"), F.col("lang").alias("rejected_lang"), F.col("digest").alias("rejected_digest")).distinct(), "rejected")
+    same = (docs["doc_id"] == rejected["rejected_doc_id"]) & (F.coalesce(docs["lang"], F.lit("")) == rejected["rejected_lang"])
+    same &= F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))) == rejected["rejected_digest"]
+    return docs.where(docs["doc_id"].isNotNull()).join(rejected, same, "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least doc_id."""
-    others = simhash.near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return _only(docs, materialize(others, "near-duplicates"), "left_anti")
+    """One document of each group of near-duplicates stays, that with the least doc_id; of its repeated rows one stays."""
+    found = materialize(simhash.near_duplicates(docs), "near-duplicates")
+    by_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    by_id = materialize(by_id.where("doc_id != component_id or rows > 1"), "near-duplicate-ids")
+    once = _only(docs, by_id, "left_anti")
+    repeated = _only(docs, by_id.where("doc_id = component_id"))
+    return once.unionByName(repeated.dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +52,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; n_chars follows where a text changed."""
-    masked = secret_scan.mask_column(docs.withColumn("n_chars_before", F.length("text")))
-    size = F.when(F.length("text").eqNullSafe(F.col("n_chars_before")), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return masked.select(*(size.alias(c) if c == "n_chars" else c for c in docs.columns))
+    sizes = [c for c in docs.columns if c.lower() == "n_chars"]
+    if not sizes:
+        return secret_scan.mask_column(docs)
+    before = "n_chars_before"
+    while before in {c.lower() for c in docs.columns}:
+        before += "_"
+    masked = secret_scan.mask_column(docs.withColumn(before, F.length("text")))
+    size = F.when(F.length("text").eqNullSafe(F.col(before)), F.col(sizes[0])).otherwise(F.length("text")).cast(docs.schema[sizes[0]].dataType)
+    return masked.select(*(size.alias(c) if c == sizes[0] else F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -278,7 +278,7 @@ def document_stats(docs: DataFrame, entries: DataFrame, at_once: int = ENTRIES_A
                     if lang in shared.value.arrays:
                         total[which[passed[which]]] = -shared.value.totals(lang, texts, which[passed[which]])
                 chars = texts.per_text(((texts.data & 0xC0) != 0x80) & ~_SPACE[texts.data])
-                digest = [hashlib.blake2b(texts.data[a:b], digest_size=16).digest() for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist())]
+                digest = [hashlib.md5(texts.data[a:b], usedforsecurity=False).digest() for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist())]
                 ppl = pa.array(total, mask=~(passed & (np.diff(texts.offsets) >= ORDER)))
                 yield record_batch(schema, batch.column("doc_id"), batch.column("lang"), digest, [number] * texts.n, words.count, chars, texts.per_text(_SYMBOL[texts.data]), _dup_lines(texts), repeats, texts.per_text(_LETTER[texts.data]), ppl)
 
@@ -287,7 +287,7 @@ def document_stats(docs: DataFrame, entries: DataFrame, at_once: int = ENTRIES_A
     copies = F.count_if(F.col("number") == 0)  # the first reading of a language has number 0
     one = found.groupBy("doc_id", "lang", "digest").agg(*(F.first(c).alias(c) for c in (*COUNTS, "letters")), copies.alias("copies"), (F.sum("total") / copies).alias("total"))
     ppl = F.round(F.col("total") / F.greatest("letters", F.lit(1)), 12).alias("log_ppl")
-    return one.select("doc_id", "lang", *COUNTS, ppl, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    return one.select("doc_id", "lang", "digest", *COUNTS, ppl, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
 
 
 def _dup_lines(texts: Texts) -> np.ndarray:
@@ -376,7 +376,7 @@ def perplexity_bands(stats: DataFrame, false_share: float) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, false_share: float = 0.01) -> DataFrame:
-    """One row per document: its counts, ``base_failed``, ``log_ppl``, the band's ``middle`` at its length with its extent below
+    """One row per document: its language ('' for none) and the MD5 of its text, its counts, ``base_failed``, ``log_ppl``, the band's ``middle`` at its length with its extent below
     (``half_below``) and above (``half``), and the verdict ``kept``.
 
     ``kept`` is false where the counting rules fail or the log-perplexity lies outside the language's band. Texts under
@@ -388,4 +388,4 @@ def quality_rules(docs: DataFrame, false_share: float = 0.01) -> DataFrame:
     bands = perplexity_bands(stats, false_share)
     inside = F.expr(f"log_ppl is null or m0 is null or ({DEVIATION} > low and {DEVIATION} < high)")
     judged = stats.join(bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
-    return judged.select(*(c for c in stats.columns if c != "lang"), F.expr(f"{MIDDLE} as middle"), F.expr(f"-low * {SPREAD} as half_below"), F.expr(f"high * {SPREAD} as half"), "kept")
+    return judged.select(*stats.columns, F.expr(f"{MIDDLE} as middle"), F.expr(f"-low * {SPREAD} as half_below"), F.expr(f"high * {SPREAD} as half"), "kept")

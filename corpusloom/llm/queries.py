@@ -74,7 +74,7 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_documents(spark, sf_dir))
+    return quality_rules.quality_rules(_documents(spark, sf_dir)).drop("lang", "digest")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Every operator on tables with repeated rows, null ids, clashing column names and nothing at all."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,7 +60,59 @@ def test_pipeline_keeps_columns(spark, odd, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     spark.createDataFrame([(0, "a b c d e f g h")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, empty = odd, odd.limit(0)
-    for _, stage in pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == odd.columns and stage(spark, empty, str(tmp_path)).count() == 0
-    assert docs.count() >= 0
+        if name == "quality_rules":  # rows without doc_id, and null, empty and one-word texts are gone
+            assert ids(docs) == [1, 1, 2]
+            docs = docs.cache()
+    assert ids(docs) == [1]
+
+
+def test_pipeline_rules_for_odd_rows(spark, tmp_path, monkeypatch):
+    """Rows of one doc_id are judged by their own texts, secrets are masked without n_chars, and clashing names are kept."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["n_chars_before", "N_CHARS_BEFORE_", "rejected_doc_id", "listed_doc_id", "scanned_blob", "digest"]
+    rows = [(1, TEXT), (1, "short"), (2, TEXT + " password = abcdefghijklmnop"), (2, TEXT + " password = abcdefghijklmnop"), (None, TEXT)]
+    wide = "lang string, m0 double, m1 double, v0 double, v1 double, low double, high double"
+    monkeypatch.setattr(quality_rules, "perplexity_bands", lambda stats, share: spark.createDataFrame([("en", 0.0, 0.0, 1.0, 0.0, -math.inf, math.inf)], wide))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), **{c: F.lit(7) for c in names}})
+    kept = pipeline.quality(spark, docs, str(tmp_path)).cache()
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, TEXT), (2, rows[2][1]), (2, rows[2][1])]
+    unlike = kept.where("doc_id = 2").cache()
+    once = pipeline.near_duplicates(spark, unlike, str(tmp_path)).cache()
+    assert [r.text for r in once.collect()] == [rows[2][1]]
+    for given in (once, once.withColumn("n_chars", F.length("text"))):
+        masked = pipeline.secrets(spark, given, str(tmp_path))
+        row = masked.first()
+        assert masked.columns == given.columns and row.text == TEXT + " [SECRET]" and row.n_chars_before == 7
+        assert "n_chars" not in given.columns or row.n_chars == len(row.text)
+
+
+def test_one_group_of_copies_holds_a_third_of_all_rows(spark):
+    """And one bucket, URL and hour: each row still has its result."""
+    from test_text_operators import brute_components, brute_fingerprint, removed_by_brute_force
+
+    texts = [TEXT] * 40 + [TEXT + f" end{i}" for i in range(20)] + [" ".join(f"u{i}w{k}" for k in range(30)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(7)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(docs).collect()}
+    assert got == removed_by_brute_force(texts)
+    prints = [brute_fingerprint(t) for t in texts]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == brute_components(range(len(texts)), prints)
+
+
+def test_long_texts(spark):
+    """Texts over the size of a block, in the operators that cut them."""
+    long = " ".join(f"word{i * 7919 % 99991}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, "tail " + long[: len(long) // 2]), (3, "password=abcdefghijklmnop " + "z" * 3_000_000)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    words = {i: len((r or "").split()) for i, r in docs.select("doc_id", "text").collect()}
+    assert {r.doc_id: r.n_words for r in substring_dedup.digests(docs).collect()} == words
+    assert {r.doc_id: r.n_words for r in quality_rules.quality_rules(docs).collect()} == words
+    assert simhash.near_duplicates(docs).count() == 3
+    masked = {r.doc_id: r.text for r in secret_scan.mask_column(docs).collect()}
+    assert masked[1] == long and masked[3].startswith("[SECRET] zzz")
+    item = " ".join(long.split()[390_000:390_020])
+    hits = decontaminate.contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in hits.collect()) == [1, 2]  # the words come again after 99,991
+    lexicon = toxicity.Lexicon({" zzz": 1.0, " word5 ": 2.0})
+    assert {r.doc_id: r.weight for r in toxicity.score(docs, lexicon).collect()} == {1: 2.0 * long.split().count("word5"), 2: 2.0 * long[: len(long) // 2].split().count("word5"), 3: 1.0}

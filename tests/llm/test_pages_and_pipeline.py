@@ -19,7 +19,7 @@ def brute_force(rows):
     weak = lambda t: t.removeprefix("W/")
     out = {}
     for r in (r for r in rows if r[3] == "revisit"):
-        same = [s for s in rows if s[3] == "response" and r[1] and s[1] and r[2] and s[2] and s[1].rstrip("/") == r[1].rstrip("/") and s[2] <= r[2]]
+        same = [s for s in rows if s[3] == "response" and s[4] == 200 and r[1] and s[1] and r[2] and s[2] and s[1].rstrip("/") == r[1].rstrip("/") and s[2] <= r[2]]
         if not same:
             out[r[0]] = (None, "no-response", None)
             continue
@@ -40,12 +40,25 @@ def test_revisits_match_brute_force(spark):
     rows += [(10, "http://a/x", at(1), "revisit", 304, {"etag": 'W/"1"', "content-length": "0", "date": "d"}, None), (11, "http://a/x", at(5), "revisit", 304, {"etag": '"3"'}, None), (12, "http://a/x", at(90), "revisit", 304, {"etag": '"2"'}, None)]
     rows += [(13, "http://a/x", at(-1), "revisit", 304, {}, None), (14, None, at(9), "revisit", 304, {}, None), (15, "http://a/x", None, "revisit", 304, {}, None), (16, "http://a/x", at(9), "revisit", 304, {"last-modified": "x"}, None), (17, None, at(9), "response", 200, {}, "d"), (18, "http://b", at(9), "revisit", 304, None, None)]
     many = [(100 + k, "http://hot/", at(k / 7), "response" if k % 5 == 0 else "revisit", 200, {"etag": f'"{k // 10}"'}, f"p{k}") for k in range(300)]
+    rows += [(4, "http://a/x", at(6), "response", 404, {"etag": '"4"'}, "d4"), (5, "http://a/x", at(6), "response", None, {"etag": '"4"'}, "d5"), (19, "http://a/x", at(7), "revisit", 304, {"etag": '"4"'}, None)]
+    # a third of all records in one URL and hour, many in one second
+    many += [(1000 + k, "http://hot/", at(50 + k // 4 / 3600), "response" if k % 7 == 0 else "revisit", 200, {"etag": f'"{k // 20}"'}, f"q{k}") for k in range(600)]
     for given in (rows, rows + many, rows + rows[:1]):
         found = warc.resolve_revisits(spark.createDataFrame(given, RECORD).withColumn("extra", F.lit(1)).repartition(4)).collect()
         assert {r.record_id: (r.response_id, r.verdict, r.headers) for r in found} == brute_force(given)
+        assert len(found) == sum(r[3] == "revisit" for r in given) and all(r.extra == 1 for r in found)
     assert warc.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
 
 
+def test_profiles_and_named_targets(spark):
+    same = {"warc-profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+    rows = [(1, "http://a/", at(0), "response", 200, {"etag": '"1"'}, "d1"), (2, "http://a/", at(1), "revisit", 200, {**same, "etag": '"2"'}, "d1"), (3, "http://a/", at(1), "revisit", 200, same, "d2"), (4, "http://b/", at(1), "revisit", 304, {"warc-refers-to-target-uri": "https://www.a", "etag": '"1"'}, None)]
+    table = spark.createDataFrame(rows, RECORD).withColumns({"Verdict": F.lit("mine"), "bucket": F.lit(5), "second": F.lit(6)})
+    found = warc.resolve_revisits(table)
+    assert {r.record_id: (r.response_id, r.verdict, r.bucket, r.second) for r in found.collect()} == {2: (1, "resolved", 5, 6), 3: (1, "validators-differ", 5, 6), 4: (1, "resolved", 5, 6)}
+    assert found.columns == [*warc.RESULT, "bucket", "second"]
+
+
 @pytest.mark.parametrize(("url", "want"), [("HTTP://WWW.Example.COM:80/a/?b=2&a=1#top", "example.com/a?a=1&b=2"), ("https://example.com:443", "example.com"), ("https://e.com/x?utm_source=f&ref=z", "e.com/x"), ("", ""), (None, None)])
 def test_canonical_url(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(warc.canonical_url(F.col("u")).alias("c")).first().c == want
