@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
-def ordered_fold(rows: DataFrame, key: str, order: str, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def ordered_fold(rows: DataFrame, key: str, order: str, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType) -> DataFrame:
     """Apply ``step`` to the rows of each key in order.
 
     One shuffle by key and one sort; the groups of a batch are cut from the sorted stream, and a group that spans batches is

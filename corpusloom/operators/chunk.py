@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,24 +68,29 @@ def merge_micro(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataF
     """
 
     def step(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in rows.to_dict("records"):
-            crumbs = list(r["breadcrumb"])
-            level = None if pd.isna(r["level"]) else int(r["level"])
-            pages = [r["page_id"]] if r["page_id"] else []
-            last = out[-1] if out else None
-            if (
-                last and last["kind"] in MERGEABLE and r["type"] in MERGEABLE and last["breadcrumb"] == crumbs and last["level"] == level
-                and not (last["page_ids"] and pages and last["page_ids"][-1] != pages[0]) and len(last["text"]) + 1 + len(r["raw_text"]) <= config.merge_max_chars
-            ):
-                last["text"] = last["text"].rstrip() + "\n" + r["raw_text"].strip()
-                last["type"] = "merged"
-                last["page_ids"] = list(dict.fromkeys(last["page_ids"] + pages))
-                for name, value in (("element_ids", r["element_id"]), ("orders", int(r["order"])), ("types", r["type"])):
-                    last[name].append(value)
+        out: list[list] = []
+        kind = level = page = crumbs = None
+        size = 0
+        for ident, order, type_, lev, page_id, crumb, raw, text in zip(*(rows[c].tolist() for c in ("element_id", "order", "type", "level", "page_id", "breadcrumb", "raw_text", "text"))):
+            lev, crumb = None if pd.isna(lev) else int(lev), list(crumb)
+            fits = kind in MERGEABLE and type_ in MERGEABLE and crumbs == crumb and level == lev and (not page or not page_id or page == page_id) and size + 1 + len(raw) <= config.merge_max_chars
+            if fits:
+                last = out[-1]
+                last[0] = last[0].rstrip() + "\n" + raw.strip()
+                last[1] = "merged"
+                for values, value in zip(last[3:6], (ident, order, type_)):
+                    values.append(value)
+                if page_id and page_id not in last[6]:
+                    last[6].append(page_id)
+                page = page_id or page
             else:
-                out.append({"doc_id": r["doc_id"], "block": len(out), "text": r["text"], "type": r["type"], "kind": r["type"], "level": level, "breadcrumb": crumbs, "element_ids": [r["element_id"]], "orders": [int(r["order"])], "types": [r["type"]], "page_ids": pages})
-        return pd.DataFrame(out)[["doc_id", "block", "text", "type", "breadcrumb", "element_ids", "orders", "types", "page_ids"]]
+                out.append([text, type_, crumb, [ident], [order], [type_], [page_id] if page_id else []])
+                kind, level, crumbs, page = type_, lev, crumb, page_id
+            size = len(out[-1][0])
+        found = pd.DataFrame(out, columns=["text", "type", "breadcrumb", "element_ids", "orders", "types", "page_ids"])
+        found.insert(0, "block", np.arange(len(found), dtype=np.int32))
+        found.insert(0, "doc_id", rows["doc_id"].iloc[0])
+        return found
 
     rows = blocks.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("order", F.col("order").cast("int"))
     return ordered_fold(rows, "doc_id", "order", step, _MERGED)
@@ -145,10 +151,24 @@ def chunk_navigation(chunks: DataFrame) -> DataFrame:
     return linked.join(flags, ["doc_id", "chunk_id"], "left").withColumns({"first_on_page": F.coalesce("first_on_page", off), "last_on_page": F.coalesce("last_on_page", off)})
 
 
-def chunk_metadata(chunks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Range of source elements, distinct pages in first-seen order and distinct source types."""
-    numbers = F.transform(F.array_distinct("page_ids"), lambda p: F.regexp_extract(p, r"(\d+)$", 1).cast("int"))
-    return chunks.select("doc_id", "chunk_id", F.array_min("orders").alias("element_order_start"), F.array_max("orders").alias("element_order_end"), F.array_distinct("page_ids").alias("page_ids"), numbers.alias("page_numbers"), F.array_distinct("types").alias("source_types"))
+def chunk_metadata(chunks: DataFrame, pages: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
+    """Range of source elements, distinct pages in first-seen order with their numbers, distinct source types and the elements' boxes.
+
+    ``pages`` (doc_id, page_id, page_no) gives the page numbers; without it they are read off the ids. ``elements`` (doc_id, order, bbox) gives the boxes.
+    """
+    ids = F.array_distinct("page_ids")
+    rows = chunks.select("doc_id", "chunk_id", "orders", F.array_min("orders").alias("element_order_start"), F.array_max("orders").alias("element_order_end"), ids.alias("page_ids"), F.array_distinct("types").alias("source_types"))
+    if pages is None:
+        rows = rows.withColumn("page_numbers", F.transform("page_ids", lambda p: F.regexp_extract(p, r"(\d+)$", 1).cast("int")))
+    else:
+        of_doc = pages.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("page_id", "page_no"))).alias("_numbers"))  # pages of one document
+        known = F.transform("page_ids", lambda p: F.col("_numbers")[p])
+        rows = rows.join(of_doc, "doc_id", "left").withColumn("page_numbers", F.array_distinct(F.filter(known, lambda n: n.isNotNull()))).drop("_numbers")
+    if elements is not None:
+        placed = chunks.select("doc_id", "chunk_id", F.posexplode("orders").alias("_k", "order")).join(elements.where("bbox is not null").select("doc_id", "order", "bbox"), ["doc_id", "order"])
+        boxes = placed.groupBy("doc_id", "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "bbox"))), lambda x: x["bbox"]).alias("source_bboxes"))
+        rows = rows.join(boxes, ["doc_id", "chunk_id"], "left").withColumn("source_bboxes", F.coalesce("source_bboxes", F.array().cast(boxes.schema["source_bboxes"].dataType)))
+    return rows.drop("orders")
 
 
 def page_chunk(pages: DataFrame, elements: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.ordered import ordered_fold
 from corpusloom.functions.split import PLAIN_SEPARATORS, estimate_tokens, split_text
-from corpusloom.sources.shared import stored
 
 # Fixed values
 MAX_CONTEXT_CHARS, MAX_CHUNKS, MAX_BATCH_TOKENS = 16_000, 10, 2048
@@ -126,24 +125,27 @@ def pack_budget(window: Column, prompt: Column, output: Column) -> Column:
     return F.when((before > 0) & (left > 0), left).cast("long")
 
 
+def _within(text: str, budget: int) -> list[str]:
+    """The text, or its parts, each within the budget of estimated tokens where separators allow."""
+    if estimate_tokens(text) <= budget:
+        return [text]
+    parts = split_text(text, budget * 4, int(budget * 0.4), PLAIN_SEPARATORS)
+    return [x for p in parts for x in ([p] if estimate_tokens(p) <= budget else split_text(p, int(budget * 2.8), 0, PLAIN_SEPARATORS))]
+
+
 def repack_texts(texts: list[str], budget: int) -> list[str]:
     """Texts cut to the budget (in estimated tokens) and packed greedily with a blank line between."""
-    small: list[str] = []
-    for t in texts:
-        if estimate_tokens(t) <= budget:
-            small.append(t)
-            continue
-        for part in split_text(t, budget * 4, int(budget * 0.4), PLAIN_SEPARATORS):
-            small += [part] if estimate_tokens(part) <= budget else split_text(part, int(budget * 2.8), 0, PLAIN_SEPARATORS)
-    packs, now, filled, gap = [], [], 0, estimate_tokens("\n\n")
-    for t in small:
-        n = estimate_tokens(t)
-        if now and filled + n + gap > budget:
-            packs.append("\n\n".join(now))
-            now, filled = [], 0
-        filled += n + (gap if now else 0)
-        now.append(t)
-    return packs + (["\n\n".join(now)] if now else [])
+    packs: list[list[str]] = []
+    room, gap = 0, estimate_tokens("\n\n")
+    for part in (x for t in texts for x in _within(t, budget)):
+        need = estimate_tokens(part)
+        if packs and need + gap <= room:
+            packs[-1].append(part)
+            room -= need + gap
+        else:
+            packs.append([part])
+            room = budget - need
+    return ["\n\n".join(p) for p in packs]
 
 
 def repack(texts: DataFrame, budget: int) -> DataFrame:
@@ -162,28 +164,30 @@ def first_sentence(text: str) -> str:
     return text.split(". ")[0][:200]
 
 
+def reduce_texts(texts: list[str], budget: int, summarise: Callable[[str], str], max_depth: int) -> tuple[str | None, int]:
+    """The summary of one document's texts and the level it was reached at; None if a level does not shrink or ``max_depth`` is passed."""
+    for depth in range(max_depth):
+        blocks = repack_texts(texts, budget)
+        texts = [summarise(b) for b in blocks]
+        if len(blocks) == 1:
+            return texts[0], depth
+        if sum(map(len, texts)) >= sum(map(len, blocks)):
+            return None, depth
+    return None, max_depth
+
+
 def tree_reduce(texts: DataFrame, budget: int, summarise: Callable[[str], str] = first_sentence, max_depth: int = 20) -> DataFrame:
     """(doc_id, summary, depth): blocks of every document summarised level by level until one is left.
 
-    One job a level over all documents that are not finished; each level is written to the shared folder. Documents whose summaries do not shrink, or that pass ``max_depth``, give a null summary.
+    All levels of a document run where its texts are: one shuffle and one sort for any depth.
     """
-    @F.pandas_udf("string")
-    def model(blocks: pd.Series) -> pd.Series:
-        return blocks.map(summarise)
 
-    done, level = None, texts
-    for depth in range(max_depth):
-        blocks = repack(level, budget).withColumn("summary", model("content"))
-        size = Window.partitionBy("doc_id")
-        blocks = blocks.withColumns({"n": F.count("*").over(size), "grown": F.sum(F.length("summary")).over(size) >= F.sum(F.length("content")).over(size)})
-        blocks = stored(blocks, "tree-level")
-        over = (F.col("n") == 1) | F.col("grown")
-        ended = blocks.where(over).groupBy("doc_id").agg(F.max(F.when(F.col("n") == 1, F.col("summary"))).alias("summary"), F.lit(depth).alias("depth"))
-        done = ended if done is None else done.unionByName(ended)
-        level = blocks.where(~over).select("doc_id", F.col("block").alias("order"), F.col("summary").alias("content"))
-        if level.isEmpty():
-            return done
-    return done.unionByName(level.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("summary"), F.lit(max_depth).alias("depth")))
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        summary, depth = reduce_texts(rows["content"].tolist(), budget, summarise, max_depth)
+        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "summary": [summary], "depth": [depth]}).astype({"depth": "int32"})
+
+    rows = texts.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("order").cast("int").alias("order"), "content")
+    return ordered_fold(rows, "doc_id", "order", step, "doc_id string, summary string, depth int")
 
 
 def session_gate(attachments: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values
 MIN_CHARS, MIN_ALNUM = 200, 120
+JUDGED_CHARS = 6000
 
 
 def substantive_chunks(chunks: DataFrame) -> DataFrame:
@@ -49,13 +51,19 @@ def hit_at_k(ranked: DataFrame, rank: str = "gold_rank") -> DataFrame:
     return ranked.groupBy("config").agg(*(_hit(r, k).alias(f"hit_{k}") for k in (1, 3, 5)), F.avg(F.coalesce(1.0 / r, F.lit(0.0))).alias("mrr"), F.count("*").alias("n_cases"))
 
 
+def judge_context(contexts: Column, limit: int = JUDGED_CHARS) -> Column:
+    """What a judge of faithfulness reads: the contexts up to ``limit`` characters."""
+    joined = F.array_join(contexts, "\n\n")
+    return F.substring(F.when(F.coalesce(joined, F.lit("")) == "", "(no context retrieved)").otherwise(joined), 1, limit)
+
+
 def judge_score(reply: Column) -> Column:
     """Score of a judge's JSON reply between 0 and 1; 0 where it has none."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.get_json_object(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "$.score").try_cast("double"), F.lit(0.0))))
 
 
 def sweep_scorecard(configs: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per configuration; those without results are error rows. results: config, gold_rank, correctness, faithfulness, latency_sec."""
+    """One row per configuration with all its columns (such as its ingest seconds); those without results are error rows. results: config, gold_rank, correctness, faithfulness, latency_sec."""
     r = F.col("gold_rank")
     agg = results.groupBy("config").agg(*(_hit(r, k).alias(f"hit_{k}") for k in (1, 3, 5)), F.avg(F.coalesce(1.0 / r, F.lit(0.0))).alias("mrr"), F.avg("correctness").alias("correctness"), F.avg("faithfulness").alias("faithfulness"), F.avg("latency_sec").alias("mean_latency_sec"))
     return configs.join(agg, "config", "left").withColumn("error", F.when(F.col("mrr").isNull(), "no results"))

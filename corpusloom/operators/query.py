@@ -51,9 +51,11 @@ def visible_text(contents: pd.Series) -> pd.Series:
 def history_window(turns: DataFrame, at_least: int = 2) -> DataFrame:
     """For each conversation's latest turn the earlier ones as "role: text" lines, and whether a rewrite is due."""
     role = F.coalesce(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))[F.lower("role")], F.lit("user"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    lines = turns.withColumns({"history": F.array_join(F.collect_list(F.concat(role, F.lit(": "), "text")).over(before), "\n"), "n": F.count("*").over(before) + 1, "back": F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))})
-    return lines.where("back = 1").select("conv_id", "turn", "history", (F.col("n") >= at_least).alias("rewrite"))
+    line = F.concat(role, F.lit(": "), "text")
+    turns_ = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    lines = turns.groupBy("conv_id").agg(turns_.alias("_l"))  # one list a conversation
+    earlier = F.transform(F.slice("_l", F.lit(1), F.size("_l") - 1), lambda x: x["line"])
+    return lines.select("conv_id", F.element_at("_l", -1)["turn"].alias("turn"), F.array_join(earlier, "\n").alias("history"), (F.size("_l") >= at_least).alias("rewrite"))
 
 
 def clean_expansions(reply: Column, original: Column, n: int) -> Column:

@@ -43,11 +43,16 @@ def hybrid_fuse(dense: DataFrame, sparse: DataFrame, keys: list[str], k: float =
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id"))).drop("_d", "_s")
 
 
-def fan_out(requests: DataFrame, kbs: DataFrame, variations: DataFrame) -> DataFrame:
+def fan_out(kbs: DataFrame, variations: DataFrame) -> DataFrame:
     """Every (knowledge base, query variation) of a request, numbered in that order. Both lists are a request's own."""
     return kbs.join(variations, "request_id").withColumn("task", F.row_number().over(Window.partitionBy("request_id").orderBy("kb_pos", "query_pos")) - 1)
 
 
+def without_failed(hits: DataFrame, failures: DataFrame) -> DataFrame:
+    """Hits of the searches that worked: those of a failed (request_id, kb_pos, query_pos) are dropped, the request's others stay."""
+    return hits.join(failures.select("request_id", "kb_pos", "query_pos").distinct(), ["request_id", "kb_pos", "query_pos"], "left_anti")
+
+
 def dedup_chunks(hits: DataFrame) -> DataFrame:
     """Of equal chunk_ids in a request the first in (kb_pos, query_pos, rank), found by a partial aggregate."""
     rest = [c for c in hits.columns if c not in ("request_id", "chunk_id")]

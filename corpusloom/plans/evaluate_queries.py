@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import model
 from corpusloom.operators import evaluate
 from corpusloom.sources import files
+from corpusloom.sources.shared import shared_folder
 from corpusloom.streaming import jobs
 
 from .projections import LINES, STATUSES, lines
@@ -27,20 +28,21 @@ def even_sample(spark, sf_dir):
     return evaluate.even_sample(lines(spark, sf_dir), "doc_id", "order", 3).select("doc_id", F.col("order").cast("long").alias("order"))
 
 
-@query("parse_model_json")
+@query("parse_model_json", """WITH w AS (SELECT item_id, length(text) AS n, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark)
+SELECT item_id, array_to_string(w[1:5], ' ') AS question, array_to_string(w[6:9], ' ') AS answer FROM w WHERE n % 4 <> 0 AND len(w) > 5""")
 def parse_model_json(spark, sf_dir):
     rows = model.model_map(table(spark, sf_dir, "benchmark"), "text", model.echo_json)
     return evaluate.parse_model_json(rows).select("item_id", "question", "answer")
 
 
-GOLD = "cases AS (SELECT item_id AS case_id, 'd' || (item_id % 13) AS gold_doc FROM benchmark), hits AS (SELECT event_type AS config, b.item_id AS case_id, event_id % 40 + 1 AS rank, 'd' || (event_id % 17) AS doc_id FROM events JOIN benchmark b ON b.item_id = event_id % 40), g AS (SELECT config, case_id, min(rank) AS gold_rank FROM hits JOIN cases USING (case_id) WHERE doc_id = gold_doc GROUP BY ALL), ranked AS (SELECT config, case_id, gold_doc, gold_rank FROM (SELECT DISTINCT config FROM hits) CROSS JOIN cases LEFT JOIN g USING (config, case_id))"
+GOLD = "cases AS (SELECT item_id AS case_id, 'd' || (item_id % 13) AS gold_doc FROM benchmark), hits AS (SELECT event_type AS config, b.item_id AS case_id, event_id % 40 + 1 AS rank, 'd' || (event_id % 17) AS doc_id FROM events JOIN benchmark b ON b.item_id = event_id % (SELECT count(*) FROM benchmark)), g AS (SELECT config, case_id, min(rank) AS gold_rank FROM hits JOIN cases USING (case_id) WHERE doc_id = gold_doc GROUP BY ALL), ranked AS (SELECT config, case_id, gold_doc, gold_rank FROM (SELECT DISTINCT config FROM hits) CROSS JOIN cases LEFT JOIN g USING (config, case_id))"
 
 
 def _ranked(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     cases = items.select(F.col("item_id").alias("case_id"), F.concat(F.lit("d"), (F.col("item_id") % 13).cast("string")).alias("gold_doc"))
     e = F.col("event_id")
-    hits = table(spark, sf_dir, "events").select(F.col("event_type").alias("config"), (e % 40).alias("case_id"), (e % 40 + 1).alias("rank"), F.concat(F.lit("d"), (e % 17).cast("string")).alias("doc_id"))
+    hits = table(spark, sf_dir, "events").select(F.col("event_type").alias("config"), (e % items.count()).alias("case_id"), (e % 40 + 1).alias("rank"), F.concat(F.lit("d"), (e % 17).cast("string")).alias("doc_id"))
     return evaluate.doc_rank(hits.join(items.select(F.col("item_id").alias("case_id")), "case_id", "left_semi"), cases)
 
 
@@ -57,17 +59,18 @@ def hit_at_k(spark, sf_dir):
     return evaluate.hit_at_k(_ranked(spark, sf_dir))
 
 
-@query("judge_scores", "SELECT item_id, CAST(least(1.0, (length(text) % 13) / 10) AS DOUBLE) AS score FROM benchmark")
+@query("judge_scores", "SELECT doc_id, CAST(least(1.0, (least(length(text), 6000) % 13) / 10) AS DOUBLE) AS score FROM documents")
 def judge_scores(spark, sf_dir):
-    rows = model.model_map(table(spark, sf_dir, "benchmark"), "text", model.echo_json)
-    return rows.select("item_id", evaluate.judge_score(F.col("reply")).alias("score"))
+    """The judge reads each text as a context, up to its limit."""
+    contexts = table(spark, sf_dir, "documents").select("doc_id", evaluate.judge_context(F.array("text")).alias("context"))
+    return model.model_map(contexts, "context", model.echo_json).select("doc_id", evaluate.judge_score(F.col("reply")).alias("score"))
 
 
-@query("sweep_scorecard", f"""WITH {GOLD}, c AS (SELECT DISTINCT config FROM hits UNION ALL SELECT 'broken'), a AS (SELECT config, {HIT}, avg(case_id % 3 / 2) AS correctness, avg(case_id % 4 / 3) AS faithfulness, avg(case_id::DOUBLE) AS mean_latency_sec FROM ranked GROUP BY config)
+@query("sweep_scorecard", f"""WITH {GOLD}, c AS (SELECT DISTINCT config, CAST(length(config) AS DOUBLE) AS ingest_sec FROM hits UNION ALL SELECT 'broken', 6), a AS (SELECT config, {HIT}, avg(case_id % 3 / 2) AS correctness, avg(case_id % 4 / 3) AS faithfulness, avg(case_id::DOUBLE) AS mean_latency_sec FROM ranked GROUP BY config)
 SELECT *, CASE WHEN mrr IS NULL THEN 'no results' END AS error FROM c LEFT JOIN a USING (config)""")
 def sweep_scorecard(spark, sf_dir):
     ranked = _ranked(spark, sf_dir)
-    configs = ranked.select("config").distinct().unionByName(spark.createDataFrame([("broken",)], "config string"))
+    configs = ranked.select("config").distinct().unionByName(spark.createDataFrame([("broken",)], "config string")).withColumn("ingest_sec", F.length("config").cast("double"))
     c = F.col("case_id")
     return evaluate.sweep_scorecard(configs, ranked.withColumns({"correctness": c % 3 / 2, "faithfulness": c % 4 / 3, "latency_sec": c.cast("double")}))
 
@@ -87,14 +90,14 @@ def normalize_answers(spark, sf_dir):
     return evaluate.normalize_answers(rows).withColumn("contexts", F.array_join("contexts", "|"))
 
 
-@query("model_map", "SELECT item_id, length(text) AS n FROM benchmark")
+@query("model_map", "SELECT item_id, reverse(text) AS reply FROM benchmark")
 def model_map(spark, sf_dir):
-    return model.model_map(table(spark, sf_dir, "benchmark"), "text", lambda p: [x[::-1] for x in p]).select("item_id", F.length("reply").cast("long").alias("n"))
+    return model.model_map(table(spark, sf_dir, "benchmark"), "text", lambda p: [x[::-1] for x in p]).select("item_id", "reply")
 
 
 @query("decode_text", "SELECT doc_id, text FROM documents")
 def decode_text(spark, sf_dir):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.col("text").cast("binary"))
+    raw = F.when((F.col("doc_id") % 2 == 1) & F.col("text").rlike(r"^[\x00-\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     return table(spark, sf_dir, "documents").select("doc_id", files.decode_text(raw).alias("text"))
 
 
@@ -120,7 +123,13 @@ def wipe_kb(spark, sf_dir):
 @query("stream_session_expiry", """WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id AS thread_id, min(ts) AS opened_at, max(ts) + INTERVAL 2 HOUR AS expires_at, count(*) AS uploads FROM s GROUP BY user_id, k""")
 def session_expiry(spark, sf_dir):
-    return jobs.session_expiry(table(spark, sf_dir, "events").select(F.col("user_id").alias("thread_id"), "ts"))
+    """The stream runs to the end of the table and gives all sessions, open ones too."""
+    output = shared_folder(spark, "sessions")
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]").select(F.col("user_id").alias("thread_id"), "ts")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(output)
+    stream = jobs.session_expiry(rows).writeStream.outputMode("complete").option("checkpointLocation", shared_folder(spark, "sessions-state")).trigger(availableNow=True).foreachBatch(write).start()
+    stream.awaitTermination()
+    return spark.read.parquet(output)
 
 
 KINDS = ", ".join(f"'{s}'" for s in STATUSES)

@@ -17,13 +17,11 @@ def passages_for_questions(spark: SparkSession, sf_dir: str, limit: int = 5) ->
     """(request_id, final_rank, chunk_id, score, page_content) for every benchmark text as a question."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     elements = parse.parse_plain_text(docs)
-    pages = parse.assign_pages(elements)
-    elements = elements.join(pages, ["doc_id", "order"]).withColumn("page_id", F.concat("doc_id", F.lit("_page_"), F.col("page_no").cast("string")))
-    elements = stored(elements, "elements")
+    elements = stored(parse.with_pages(elements), "elements")
     chunks = stored(chunk.semantic_chunk(elements), "chunks")
     tokens = chunks.select("chunk_id", vectors.bm25_tokens(F.col("page_content")).alias("tokens"))
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), vectors.bm25_tokens(F.col("text")).alias("tokens"))
-    hits = vectors.sparse_topk(vectors.bm25_doc_weights(tokens), vectors.bm25_query_weights(questions), limit * 4)
+    hits = vectors.sparse_topk_scan(tokens, vectors.bm25_query_weights(questions), limit * 4)
     hits = hits.join(chunks.select("chunk_id", "doc_id", "page_ids"), "chunk_id").withColumnRenamed("query_id", "request_id").withColumns({"kb_pos": F.lit(0), "query_pos": F.lit(0)})
     found = retrieval.search(hits, parse.page_text(elements).withColumnRenamed("text", "content"), limit)
     return found.select("request_id", "final_rank", "chunk_id", "score", "page_content")

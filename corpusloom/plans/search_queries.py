@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import model
 from corpusloom.operators import context, parse, query as q, retrieval, vectors
 
-from .projections import LINES, lines
+from .projections import ELEMENTS, LINES, elements, lines
 from .registry import query, table
 
 TOKENS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9à-öø-ÿœß]+'), lambda x: x <> '')"
@@ -36,9 +36,10 @@ def bm25_tokens(spark, sf_dir):
     return _line_chunks(spark, sf_dir).select("chunk_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("stable_token_id", f"WITH {CHUNKS} SELECT DISTINCT unnest(tokens) AS term FROM chunks")
+@query("stable_token_id")
 def stable_token_id(spark, sf_dir):
-    return vectors.term_ids(_line_chunks(spark, sf_dir).select(F.explode("tokens").alias("term"))).where("term_id between 0 and 4294967295").select("term")
+    """(term, term_id); SQL has no BLAKE2b, so tests/test_queries.py hashes every term again."""
+    return vectors.term_ids(_line_chunks(spark, sf_dir).select(F.explode("tokens").alias("term")))
 
 
 @query("bm25_doc_weights", f"WITH {POSTINGS} SELECT chunk_id, term, tf, CAST(weight AS DOUBLE) AS weight FROM postings")
@@ -61,21 +62,32 @@ SPARSE = POSTINGS + """, scored AS (SELECT query_id, chunk_id, round(sum(weight
 sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM scored) WHERE rank <= 10)"""
 
 
-def _sparse(spark, sf_dir, k=10):
+@query("sparse_topk", f"WITH {SPARSE} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM sparse")
+def sparse_topk(spark, sf_dir):
+    chunks = _line_chunks(spark, sf_dir)
+    questions = vectors.query_idf(chunks, vectors.bm25_query_weights(_benchmark_queries(spark, sf_dir)))
+    return vectors.sparse_topk_scan(chunks, questions, 10).withColumn("score", F.round("score", 6))
+
+
+@query("sparse_topk_postings", f"WITH {SPARSE} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM sparse")
+def sparse_topk_postings(spark, sf_dir):
+    """The same search over stored weights."""
     chunks = _line_chunks(spark, sf_dir)
     postings = vectors.bm25_doc_weights(chunks)
-    return vectors.sparse_topk(postings, vectors.bm25_query_weights(_benchmark_queries(spark, sf_dir)), k, vectors.corpus_idf(postings, chunks))
+    found = vectors.sparse_topk(postings, vectors.bm25_query_weights(_benchmark_queries(spark, sf_dir)), 10, vectors.corpus_idf(postings, chunks))
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("sparse_topk", f"WITH {SPARSE} SELECT query_id, rank, round(score, 6) AS score FROM sparse")
-def sparse_topk(spark, sf_dir):
-    return _sparse(spark, sf_dir).select("query_id", "rank", F.round("score", 6).alias("score"))
+HASHED = "CAST('0x' || left(md5(w), 15) AS BIGINT)"
 
 
-@query("embed_chunks", f"WITH {CHUNKS} SELECT chunk_id, 64 AS dim FROM chunks")
+@query("embed_chunks", f"""WITH {CHUNKS}, words AS (SELECT chunk_id, unnest(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '')) AS w FROM chunks), hashed AS (SELECT chunk_id, {HASHED} AS h FROM words),
+  sums AS (SELECT chunk_id, h % 64 AS dim, sum(CASE WHEN h // 64 % 2 = 1 THEN 1 ELSE -1 END) AS v FROM hashed GROUP BY ALL)
+  SELECT chunk_id, string_agg(dim || ':' || CAST(v AS INT), ',' ORDER BY dim) AS embedding FROM sums WHERE v <> 0 GROUP BY chunk_id""")
 def embed_chunks(spark, sf_dir):
-    rows = vectors.embed_chunks(_line_chunks(spark, sf_dir).select("chunk_id", F.col("content").alias("page_content")))
-    return rows.select("chunk_id", F.size("embedding").alias("dim"))
+    rows = vectors.embed_chunks(_line_chunks(spark, sf_dir).select("chunk_id", F.col("content").alias("page_content")), vectors.hashed_counts)
+    parts = F.filter(F.transform("embedding", lambda x, i: F.when(x != 0, F.concat_ws(":", i, x.cast("int")))), lambda x: x.isNotNull())
+    return rows.select("chunk_id", F.array_join(parts, ",").alias("embedding")).where("embedding != ''")
 
 
 def _vectors(spark, sf_dir):
@@ -141,14 +153,15 @@ def resolve_search(spark, sf_dir):
     return retrieval.resolve_search(requests, kbs)
 
 
-HITS = """hits AS (SELECT event_id, user_id AS request_id, CAST(event_id % 2 AS INT) AS kb_pos, CAST(event_id % 3 AS INT) AS query_pos, event_id AS rank, 'c' || (event_id % 97) AS chunk_id, 'd' || (event_id % 13) AS doc_id,
+HITS = """hits AS (SELECT event_id, user_id AS request_id, CAST(event_id % 2 AS INT) AS kb_pos, CAST(event_id % 3 AS INT) AS query_pos, event_id AS rank, 'c' || (event_id % 97) AS chunk_id, 'd' || (event_id % (SELECT count(*) FROM documents)) AS doc_id,
   round(value % 1, 3) AS score, 'page_' || (event_id % 11) AS p1, 'page_' || (event_id % 5) AS p2 FROM events)"""
 
 
 def _hits(spark, sf_dir):
     e = F.col("event_id")
     s = lambda prefix, n: F.concat(F.lit(prefix), (e % n).cast("string"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), (e % 2).cast("int").alias("kb_pos"), (e % 3).cast("int").alias("query_pos"), e.alias("rank"), s("c", 97).alias("chunk_id"), s("d", 13).alias("doc_id"), F.round(F.col("value") % 1, 3).alias("score"), F.array(s("page_", 11), s("page_", 5)).alias("page_ids"))
+    n = table(spark, sf_dir, "documents").count()
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), (e % 2).cast("int").alias("kb_pos"), (e % 3).cast("int").alias("query_pos"), e.alias("rank"), s("c", 97).alias("chunk_id"), s("d", n).alias("doc_id"), F.round(F.col("value") % 1, 3).alias("score"), F.array(s("page_", 11), s("page_", 5)).alias("page_ids"))
 
 
 UNIQUE = HITS + ", uniq AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY request_id, chunk_id ORDER BY kb_pos, query_pos, rank) = 1), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, kb_pos, query_pos, rank) AS INT) AS position FROM uniq)"
@@ -178,15 +191,16 @@ def page_dedup(spark, sf_dir):
     return retrieval.page_dedup(ranked, 5).select("request_id", "chunk_id", "position", "final_rank")
 
 
-PAGE_ROWS = "pages_ AS (SELECT 'd' || (doc_id % 13) AS doc_id, 'page_' || (doc_id // 13 % 8) AS page_id, min(left(text, 30)) AS content FROM documents WHERE doc_id < 500 GROUP BY ALL)"
+PAGE_ROWS = ELEMENTS.removeprefix(LINES).removeprefix(", ") + """, pages_ AS (SELECT 'd' || doc_id AS doc_id, page_id, string_agg(content, chr(10) || chr(10) ORDER BY ord) AS content FROM elements_ WHERE NOT ignored GROUP BY ALL)"""
 
 
 def _page_rows(spark, sf_dir):
-    d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").where("doc_id < 500").groupBy(F.concat(F.lit("d"), (d % 13).cast("string")).alias("doc_id"), F.concat(F.lit("page_"), (F.floor(d / 13) % 8).cast("string")).alias("page_id")).agg(F.min(F.substring("text", 1, 30)).alias("content"))
+    """The whole text of every page of every document."""
+    rows = elements(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    return parse.page_text(rows).withColumnRenamed("text", "content")
 
 
-ENRICH = f"""{PAGE_ROWS}, alone AS (SELECT page_id, arg_min(content, doc_id) AS content FROM pages_ GROUP BY page_id), refs AS (SELECT u.*, unnest([p1, p2]) AS page_id, generate_subscripts([p1, p2], 1) AS k FROM uniq u),
+ENRICH = f"""{LINES}, {PAGE_ROWS}, alone AS (SELECT page_id, arg_min(content, doc_id) AS content FROM pages_ GROUP BY page_id), refs AS (SELECT u.*, unnest([p1, p2]) AS page_id, generate_subscripts([p1, p2], 1) AS k FROM uniq u),
 enriched AS (SELECT request_id, chunk_id, string_agg(coalesce(e.content, a.content), chr(10) || chr(10) ORDER BY k) AS page_content FROM refs r LEFT JOIN pages_ e ON e.doc_id = r.doc_id AND e.page_id = r.page_id LEFT JOIN alone a ON a.page_id = r.page_id GROUP BY ALL)"""
 
 
@@ -216,7 +230,7 @@ def fan_out(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     kbs = turns.select(F.col("conv_id").alias("request_id")).distinct().select("request_id", F.posexplode(F.array(F.lit("src1"), F.lit("src2"))).alias("kb_pos", "kb_id"))
     variations = turns.where("role = 'user'").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("query_pos"), F.col("text").alias("query"))
-    return retrieval.fan_out(requests=None, kbs=kbs, variations=variations).select("request_id", "kb_id", "query", "task")
+    return retrieval.fan_out(kbs, variations).select("request_id", "kb_id", "query", "task")
 
 
 def _text_hits(spark, sf_dir):
@@ -246,10 +260,13 @@ def last_user_query(spark, sf_dir):
     return q.last_user_query(table(spark, sf_dir, "conversations"))
 
 
-@query("visible_text", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE text || 'end' END AS text FROM conversations")
+@query("visible_text", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || 'end' ELSE 'a' || text || 'b' END AS text FROM conversations")
 def visible_text(spark, sf_dir):
-    blocks = F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hm").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("end").alias("text")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", q.visible_text(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.to_json(blocks))).alias("text"))
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    flat = F.to_json(F.array(part("thinking", F.lit("hm")), part("text", F.col("text")), part("text", F.lit("end"))))
+    inner = F.array(part("reasoning", F.lit("why")), part("text", F.col("text")))
+    nested = F.to_json(F.array(F.struct(F.lit("a").alias("text"), F.array().cast("array<struct<type:string,text:string>>").alias("content")), F.struct(F.lit(None).cast("string").alias("text"), inner.alias("content")), F.struct(F.lit("b").alias("text"), F.lit(None).cast("array<struct<type:string,text:string>>").alias("content"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", q.visible_text(F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, flat).otherwise(nested)).alias("text"))
 
 
 @query("history_window", """WITH n AS (SELECT *, string_agg(role || ': ' || text, chr(10)) OVER w AS h, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations
@@ -258,9 +275,9 @@ def history_window(spark, sf_dir):
     return q.history_window(table(spark, sf_dir, "conversations"))
 
 
-@query("clean_expansions", """WITH x AS (SELECT conv_id, turn, left(split_part(text, chr(10), 1), 20) AS o FROM conversations) SELECT conv_id, turn, array_to_string(CASE WHEN turn % 2 = 0 THEN [trim(o), 'alpha', 'beta'] ELSE ['alpha', 'beta', trim(o)] END, '|') AS queries FROM x""")
+@query("clean_expansions", """WITH x AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS o FROM conversations) SELECT conv_id, turn, array_to_string(CASE WHEN turn % 2 = 0 THEN [trim(o), 'alpha', 'beta'] ELSE ['alpha', 'beta', trim(o)] END, '|') AS queries FROM x""")
 def clean_expansions(spark, sf_dir):
-    head = F.trim(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 20))
+    head = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))
     reply = F.when(F.col("turn") % 2 == 0, F.lit("1. alpha\n\n - beta\n3) alpha")).otherwise(F.concat(F.lit("1. alpha\n* beta\n"), head))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(q.clean_expansions(reply, head, 3), "|").alias("queries"))
 
@@ -268,22 +285,22 @@ def clean_expansions(spark, sf_dir):
 DICTIONARY = [("the", ["la", "der"]), ("of", ["de"]), ("la", ["le"])]
 
 
-@query("synonym_expand")
+@query("synonym_expand", r"""SELECT item_id, text AS query, regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', 'the (la, der)', 'gi'), '\bof\b', 'of (de)', 'gi'), '\bla\b', 'la (le)', 'gi') AS expanded FROM benchmark""")
 def synonym_expand(spark, sf_dir):
     return q.synonym_expand(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")), DICTIONARY)
 
 
 def _entries(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark")
-    return rows.select(F.col("item_id").alias("id"), F.concat(F.lit("k"), (F.col("item_id") % 7).cast("string")).alias("keyword"), F.substring("text", 1, 25).alias("synonym"))
+    return rows.select(F.col("item_id").alias("id"), F.concat(F.lit("k"), (F.col("item_id") % 7).cast("string")).alias("keyword"), F.col("text").alias("synonym"))
 
 
-@query("build_synonym_map", "SELECT 'k' || (item_id % 7) AS keyword, min(item_id) AS first_id, string_agg(left(text, 25), '|' ORDER BY item_id) AS synonyms FROM benchmark GROUP BY 1")
+@query("build_synonym_map", "SELECT 'k' || (item_id % 7) AS keyword, min(item_id) AS first_id, string_agg(text, '|' ORDER BY item_id) AS synonyms FROM benchmark GROUP BY 1")
 def build_synonym_map(spark, sf_dir):
     return q.build_synonym_map(_entries(spark, sf_dir)).withColumn("synonyms", F.array_join("synonyms", "|"))
 
 
-@query("synonym_search", "WITH e AS (SELECT 'k' || (item_id % 7) AS keyword, list(left(text, 25)) AS s FROM benchmark GROUP BY 1) SELECT keyword FROM e WHERE contains(keyword, 'the') OR len(list_filter(s, lambda x: contains(' ' || lower(x) || ' ', ' the '))) > 0")
+@query("synonym_search", "WITH e AS (SELECT 'k' || (item_id % 7) AS keyword, list(text) AS s FROM benchmark GROUP BY 1) SELECT keyword FROM e WHERE contains(keyword, 'the') OR len(list_filter(s, lambda x: contains(' ' || lower(x) || ' ', ' the '))) > 0")
 def synonym_search(spark, sf_dir):
     entries = q.build_synonym_map(_entries(spark, sf_dir)).withColumn("description", F.lit(None).cast("string"))
     return q.synonym_search(entries, "The").select("keyword")
@@ -305,11 +322,13 @@ def reference_rows(spark, sf_dir):
     return context.reference_rows(hits).select("request_id", "chunk_id", "index", "source", "page")
 
 
-@query("format_context")
+@query("format_context", f"""WITH {PAGE_WALK}, {LINES}, {PAGE_ROWS}, texts AS (SELECT doc_id, min(content) AS content FROM pages_ GROUP BY doc_id),
+n AS (SELECT w.request_id, w.chunk_id, u.doc_id, u.score, t.content, row_number() OVER (PARTITION BY w.request_id ORDER BY w.kept) AS i FROM walk w JOIN uniq u USING (request_id, chunk_id) JOIN texts t ON t.doc_id = u.doc_id WHERE took)
+SELECT request_id, string_agg('[' || i || '] kb=kb doc=' || doc_id || ' chunk=' || chunk_id || ' score=' || format('{{:.4f}}', score) || chr(10) || content, chr(10) || chr(10) ORDER BY i) AS context FROM n GROUP BY request_id""")
 def format_context(spark, sf_dir):
     none = F.lit(None).cast("string")
     hits = _ranked_hits(spark, sf_dir).join(_page_rows(spark, sf_dir).groupBy("doc_id").agg(F.min("content").alias("content")), "doc_id").select("request_id", "final_rank", F.lit("kb").alias("kb_id"), "doc_id", "chunk_id", "score", F.lit(None).cast("double").alias("rerank_score"), none.alias("source"), none.alias("page"), none.alias("page_content"), "content")
-    return context.format_context(hits, 200)
+    return context.format_context(hits, 1_000_000)
 
 
 BATCHES = f"""RECURSIVE {UNIQUE}, t AS (SELECT request_id, position, score, length(chunk_id) * 200 AS n FROM ranked WHERE position <= 10), walk AS (
@@ -333,7 +352,8 @@ def compress_plan(spark, sf_dir):
     return context.compress_plan(_batched(spark, sf_dir))
 
 
-@query("compress_apply")
+@query("compress_apply", f"""WITH {BATCHES}, b AS (SELECT w.request_id, w.batch, max(w.score) OVER (PARTITION BY w.request_id, w.batch) AS s, r.chunk_id FROM walk w JOIN ranked r USING (request_id, position))
+SELECT CAST(request_id AS VARCHAR) AS request_id, batch, chunk_id, CASE WHEN s >= 0.8 THEN 'text of' ELSE 'text' END AS content, NULL AS original_chunks FROM b""")
 def compress_apply(spark, sf_dir):
     rows = _batched(spark, sf_dir)
     lists = rows.groupBy("request_id", "batch").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))).alias("l"), F.max("score").alias("s"))
@@ -351,9 +371,14 @@ def repack(spark, sf_dir):
     return context.repack(lines(spark, sf_dir), 200)
 
 
-@query("tree_reduce", "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents")
+def _opening(block):
+    return block.split("\n\n")[0][:100].strip()
+
+
+@query("tree_reduce", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, trim(left(content, 100)) AS summary FROM lines_ WHERE ord = 0")
 def tree_reduce(spark, sf_dir):
-    return context.tree_reduce(lines(spark, sf_dir), 200).select("doc_id")
+    """Every level keeps the opening of each block, so that the root is the document's own opening."""
+    return context.tree_reduce(lines(spark, sf_dir), 200, _opening).select("doc_id", "summary")
 
 
 @query("session_gate", """WITH a AS (SELECT conv_id AS thread_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'PENDING' WHEN (conv_id + turn) % 3 = 0 OR conv_id % 11 = 3 THEN 'FAILED' ELSE 'COMPLETED' END AS status, 'f' || turn AS filename FROM conversations),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bookkeeping, chunk, context, evaluate, parse, query as q, retrieval, vectors
+from corpusloom.operators import bookkeeping, chunk, context, evaluate, parse, retrieval, vectors
 from corpusloom.sources import files
 from corpusloom.sources.shared import shared_folder
+from corpusloom.streaming import jobs
 
 from .evaluate_queries import GOLD, _ranked
 from .projections import LINES, lines
@@ -60,20 +61,34 @@ def doc_chunks(spark, sf_dir):
     return bookkeeping.doc_chunks(lines(spark, sf_dir).withColumnRenamed("content", "page_content")).withColumn("texts", F.array_join("texts", "|"))
 
 
-@query("stream_ingest", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM lines_ GROUP BY doc_id")
+def _stream(spark, sf_dir, name, columns=None):
+    """A stream of the files of a table; one that is a single file is given to the stream by a pattern."""
+    path = f"{sf_dir}/{name}.parque[t]"
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(path)
+
+
+@query("stream_ingest", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, string_agg(content, '' ORDER BY ord) AS text FROM lines_ GROUP BY doc_id")
 def stream_ingest(spark, sf_dir):
-    """The chain that the stream runs on every micro-batch, over the whole table."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    found = parse.parse_plain_text(docs)
-    paged = found.join(parse.assign_pages(found), ["doc_id", "order"]).withColumn("page_id", F.concat(F.lit("page_"), F.col("page_no").cast("string")))
-    return chunk.semantic_chunk(paged).select("doc_id").distinct()
+    """The stream runs to the end of the table; the chunks of a document in order hold its whole text but for white space."""
+
+    def process(batch):
+        return chunk.semantic_chunk(parse.with_pages(parse.parse_plain_text(batch.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text")))), chunk.ChunkConfig(chunk_size=10_000_000))
+
+    files_ = _stream(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_hash"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
+    output = shared_folder(spark, "stream-chunks")
+    jobs.stream_ingest(files_, process, output, shared_folder(spark, "stream-state")).awaitTermination()
+    parts = F.array_sort(F.collect_list(F.struct("order", "page_content")))
+    rows = spark.read.parquet(output).groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["page_content"]), "").alias("text"))
+    return rows.select("doc_id", "text")
 
 
-@query("stream_synonyms", "SELECT conv_id, turn, 'x ' || conv_id || ' (y)' AS expanded FROM conversations WHERE role = 'user'")
+@query("stream_synonyms", r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\bthe\b', 'the (la)', 'gi'), '\bof\b', 'of (de)', 'gi') AS expanded FROM conversations WHERE role = 'user'")
 def stream_synonyms(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("x "), F.col("conv_id").cast("string"), F.lit(" KEY")).alias("query"))
-    expanded = q.synonym_expand(turns, [("KEY", ["y"])])
-    return expanded.select("conv_id", "turn", F.regexp_replace("expanded", "KEY ", "").alias("expanded"))
+    """The stream of all user turns, expanded with a dictionary that each micro-batch reads anew."""
+    turns = _stream(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+    output = shared_folder(spark, "stream-synonyms")
+    jobs.stream_synonyms(turns, lambda _: [("the", ["la"]), ("of", ["de"])], output, shared_folder(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(output).select("conv_id", "turn", "expanded")
 
 
 @query("tokenizer_udf", "SELECT doc_id, len(string_split(text, ' ')) AS n_tokens FROM documents")
@@ -94,17 +109,19 @@ def term_id_udf(spark, sf_dir):
     return _benchmark_queries(spark, sf_dir).select(F.explode("tokens").alias("term")).distinct().select("term", mapper("term").alias("term_id"))
 
 
-@query("parser_udf", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(string_split(text, chr(10))) AS n FROM documents")
+@query("parser_udf", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(string_split(text, chr(10))) AS n, text FROM documents")
 def parser_udf(spark, sf_dir):
     rows = parse.parse_with(table(spark, sf_dir, "documents"), "text", lambda t: [("paragraph", "text", x, None, False) for x in t.split("\n")])
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("order", "content"))), lambda x: x["content"])
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(texts, "\n").alias("text"))
 
 
-@query("compress_udf", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS request_id, 'c' || doc_id AS chunk_id, string_agg(content, chr(10) || chr(10) ORDER BY ord) AS content FROM lines_ WHERE ord < 2 GROUP BY doc_id HAVING count(*) = 2")
+@query("compress_udf", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS request_id, 'c' || doc_id || ':0' AS chunk_id, string_agg(content, chr(10) || chr(10) ORDER BY ord) AS content FROM lines_ GROUP BY doc_id")
 def compress_udf(spark, sf_dir):
-    two = lines(spark, sf_dir).where("order < 2").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "content"))), lambda x: x["content"]).alias("contents")).where(F.size("contents") == 2)
+    """All lines of a document as one batch, merged by the plug-in into its first chunk."""
     d = F.col("doc_id").cast("string")
-    batches = two.select(d.alias("request_id"), F.lit(0).alias("batch"), F.lit(0.3).alias("target_ratio"), F.array(F.concat(F.lit("c"), d), F.lit("other")).alias("ids"), "contents")
+    sorted_ = F.array_sort(F.collect_list(F.struct("order", "content")))
+    batches = lines(spark, sf_dir).groupBy("doc_id").agg(sorted_.alias("l")).select(d.alias("request_id"), F.lit(0).alias("batch"), F.lit(0.3).alias("target_ratio"), F.transform("l", lambda x: F.concat(F.lit("c"), d, F.lit(":"), x["order"].cast("string"))).alias("ids"), F.transform("l", lambda x: x["content"]).alias("contents"))
     return context.compress_apply(batches, lambda texts, ratio: "\n\n".join(texts)).select("request_id", "chunk_id", "content")
 
 

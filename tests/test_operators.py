@@ -1,5 +1,6 @@
 """Golden cases of the operators, on small inline tables."""
 
+import hashlib
 import json
 
 import pandas as pd
@@ -205,6 +206,21 @@ def test_page_packing(spark):
     assert [r.page_no for r in parse.assign_pages(rows, 70).orderBy("order").collect()] == [1, 1, 2, 3, 3]
 
 
+def test_paging_keeps_the_elements(spark):
+    rows = elements(spark, *(block("paragraph", "x" * n, n if n > 40 else None, uri=None) for n in (30, 30, 90, 10, 50)))
+    paged = parse.with_pages(rows.drop("page_id"), 70).orderBy("order").collect()
+    assert [(r.page_no, r.page_id, len(r.content), r.level) for r in paged] == [(1, "doc_page_1", 30, None), (1, "doc_page_1", 30, None), (2, "doc_page_2", 90, 90), (3, "doc_page_3", 10, None), (3, "doc_page_3", 50, 50)]
+
+
+def test_chunk_pages_and_boxes(spark):
+    chunks = spark.createDataFrame([("d", "c1", [0, 1], ["p9", "p8", "p9"], ["text", "text"]), ("d", "c2", [2], ["p7"], ["table"])], "doc_id string, chunk_id string, orders array<int>, page_ids array<string>, types array<string>")
+    pages = spark.createDataFrame([("d", "p9", 1), ("d", "p8", 2)], "doc_id string, page_id string, page_no int")
+    boxes = spark.createDataFrame([("d", 0, [1.0, 2.0, 3.0, 4.0]), ("d", 1, None), ("d", 2, None)], "doc_id string, order int, bbox array<double>")
+    got = {r.chunk_id: (r.page_numbers, r.source_bboxes, r.element_order_end, r.source_types) for r in chunk.chunk_metadata(chunks, pages, boxes).collect()}
+    assert got == {"c1": ([1, 2], [[1.0, 2.0, 3.0, 4.0]], 1, ["text"]), "c2": ([], [], 2, ["table"])}
+    assert {r.chunk_id: r.page_numbers for r in chunk.chunk_metadata(chunks).collect()} == {"c1": [9, 8], "c2": [7]}
+
+
 def test_table_grid(spark):
     cells = spark.createDataFrame([("t", 2, 2, 0, 0, 1, 2, True, "a&b"), ("t", 2, 2, 1, 1, 1, 1, False, "c"), ("t", 2, 2, 9, 9, 1, 1, False, "out")], "table_id string, n_rows int, n_cols int, row int, col int, row_span int, col_span int, header boolean, text string")
     row = parse.table_grid_html(cells).first()
@@ -225,6 +241,28 @@ def test_bm25_weight(spark):
     assert vectors.bm25_doc_weights(chunks, avg_length=100.0).first().weight == pytest.approx(2.38379, abs=1e-4)
 
 
+def test_colliding_term_ids_add_up(spark):
+    postings = spark.createDataFrame([("c", "a", 1.0), ("c", "b", 2.0), ("d", "b", 4.0), ("d", "z", 1.0)], "chunk_id string, term string, weight double")
+    ids = {t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=4).digest(), "big") for t in "abz"}
+    got = {r.chunk_id: (r.indices, r["values"]) for r in vectors.bm25_doc_vectors(postings).collect()}
+    want = {"c": {ids["a"]: 1.0, ids["b"]: 2.0}, "d": {ids["b"]: 4.0, ids["z"]: 1.0}}
+    assert got == {k: (sorted(v), [v[i] for i in sorted(v)]) for k, v in want.items()}
+
+
+def test_scan_equals_postings(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(f"c{i}", [r.choice("abcdefgh") for _ in range(r.randint(0, 30))]) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, tokens array<string>").repartition(5)
+    queries = vectors.bm25_query_weights(spark.createDataFrame([(i, [r.choice("abcdefghxyz") for _ in range(4)]) for i in range(9)], "query_id long, tokens array<string>"))
+    postings = vectors.bm25_doc_weights(chunks)
+    plain = sorted(map(tuple, vectors.sparse_topk(postings, queries, 7).select("query_id", "chunk_id", "rank", "score").collect()))
+    assert sorted(map(tuple, vectors.sparse_topk_scan(chunks, queries, 7).select("query_id", "chunk_id", "rank", "score").collect())) == plain and len(plain) == 63
+    idf = sorted(map(tuple, vectors.sparse_topk(postings, queries, 7, vectors.corpus_idf(postings, chunks)).select("query_id", "chunk_id", "rank").collect()))
+    assert sorted(map(tuple, vectors.sparse_topk_scan(chunks, vectors.query_idf(chunks, queries), 7).select("query_id", "chunk_id", "rank").collect())) == idf
+
+
 def test_similarities(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     get = lambda m: [r.s for r in rows.select(vectors.vector_similarity(F.col("a"), F.col("b"), m).alias("s")).collect()]
@@ -246,6 +284,12 @@ def test_dedup_keeps_the_first(spark):
     assert [r.score for r in retrieval.dedup_chunks(hits).collect()] == [0.1]
 
 
+def test_failed_searches_are_dropped(spark):
+    hits = spark.createDataFrame([("r", kb, q, 1, f"c{kb}{q}", "d", ["p"], 0.9) for kb in (0, 1) for q in (0, 1)], HIT)
+    failed = spark.createDataFrame([("r", 1, 0), ("r", 1, 0), ("other", 0, 0)], "request_id string, kb_pos int, query_pos int")
+    assert {r.chunk_id for r in retrieval.without_failed(hits, failed).collect()} == {"c00", "c01", "c11"}
+
+
 def test_page_dedup(spark):
     hits = spark.createDataFrame([("r", 0, 0, i, f"chunk_{i}", "d", pages, 1.0 - i / 10) for i, pages in enumerate([["p1"], ["p1"], ["p2"], ["p1", "p2"], ["p2", "p3"], None], 1)], HIT)
     ids = lambda n: [r.chunk_id for r in retrieval.page_dedup(retrieval.rank_by_score(hits), n).orderBy("final_rank").collect()]
@@ -270,6 +314,20 @@ def test_kb_status_table(spark):
     assert got == {str(i): want for i, (_, _, want) in enumerate(KB_CASES)}
 
 
+def test_overview_and_counts(spark):
+    kbs = spark.createDataFrame([("READY", "m"), ("COMPLETED", "n"), ("RUNNING", "m"), ("FAILED", ""), ("READY", None)], "status string, model string")
+    assert tuple(bookkeeping.kb_overview(kbs).first()) == (5, 3, 2)
+    docs = spark.createDataFrame([("k", s, '{"size_bytes": 3}') for s in ("QUEUED", "PARSING", "CHUNKING", "EMBEDDING", "DELETING", "FAILED", "COMPLETED", "READY")], "kb_id string, status string, info string")
+    row = bookkeeping.kb_stats(docs).first()
+    assert (row.documents, row.completed, row.processing, row.failed, row.total_bytes) == (8, 1, 3, 1, 24)
+
+
+def test_judges_read_a_bounded_context(spark):
+    rows = spark.createDataFrame([(["a" * 4000, "b" * 4000],), ([],), (None,)], "c array<string>")
+    got = [r.t for r in rows.select(evaluate.judge_context(F.col("c")).alias("t")).collect()]
+    assert got == ["a" * 4000 + "\n\n" + "b" * 1998, "(no context retrieved)", "(no context retrieved)"]
+
+
 def test_upsert_actions(spark):
     current = spark.createDataFrame([("k", "a", "1", "COMPLETED"), ("k", "b", "1", "FAILED"), ("k", "c", "1", "COMPLETED"), ("k", "d", "1", "READY")], "kb_id string, name string, file_hash string, status string")
     incoming = spark.createDataFrame([("k", "a", "1"), ("k", "b", "1"), ("k", "c", "2"), ("k", "e", "1")], "kb_id string, name string, file_hash string")
