@@ -6,7 +6,9 @@ the start of the piece and emitted. At the end of the task the open windows are
 is left over. Leftovers of ``MERGED`` tasks are merged the same way, and what then remains is cut into sequences whose
 lengths are powers of two, which need no padding.
 
-Null and empty texts are documents of the end id alone.
+Null and empty texts are documents of the end id alone. Repeated rows and rows without doc_id are packed each, as documents of their own. Windows
+of equal room are taken in the order they were opened. A text of any length is cut into pieces of full windows; a task holds its ids (4 bytes a token) and
+its words. An empty table gives no rows. No column but doc_id and text is read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -114,7 +114,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links.
 
     Equal fingerprints are one node, so a group of exact copies of any size costs one row per task and node. Repeated
-    rows keep their number. An empty table gives no rows.
+    rows keep their number. Null, empty and wordless texts have fingerprint zero and are linked like any other. Rows without doc_id take part and get
+    the number of their component, null if no document in it has one. A text of any length is hashed in bounded groups of shingles. An empty table
+    gives no rows. No column but doc_id and text is read, so others may have any name.
     """
     prints = materialize(fingerprints(docs), "simhash-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
