@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fill_in_middle, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash, substring_dedup, toxicity, warc
+from . import conversation_repair, decontaminate, exact_dedup, fill_in_middle, language_id, packing, quality_cnn, quality_rules, secret_scan, simhash, substring_dedup, toxicity, warc
 from .staging import materialize
 
 
@@ -89,6 +89,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.digests(conversations, conversation_repair.Repair(conversation_repair.damaged(conversations)))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.transform(_documents(spark, sf_dir))
     restored = fill_in_middle.restore(F.col("output"), F.col("form"))
@@ -147,6 +152,62 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY content)
 """
 
+def _conversation_repair_sql() -> str:
+    """The grammar's four states row by row; a state is its least cost in six digits with the audit behind it, so that the least string is the best."""
+    add = lambda state, cost, op: f"lpad((left({state}, 6)::BIGINT + {cost})::VARCHAR, 6, '0') || substr({state}, 7) || {op}"
+    put = lambda state, letter, before="": add(state, f"CASE WHEN must_go THEN NULL ELSE stay + (initial <> '{letter}')::BIGINT + {5 * len(before)} END", f"CASE WHEN initial = '{letter}' THEN '{before}K' ELSE '{before}R' END")
+    drop = lambda state: add(state, 2, "'D'")
+    return rf"""
+WITH RECURSIVE src AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, row_number() OVER () AS rn, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), crc AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+    lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295::BIGINT) % 20 AS kind
+  FROM src
+), damaged AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, rn, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM crc WHERE kind <> 0
+), placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text), rn, copy) AS pos FROM damaged),
+judged AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault
+  FROM placed
+), turns AS (
+  SELECT *, fault IN (1, 2) AS must_go, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS stay,
+         coalesce(lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM judged
+), states AS (
+  SELECT conv, 0::BIGINT AS pos, '000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM (SELECT DISTINCT conv FROM src)
+  UNION ALL
+  SELECT s.conv, t.pos, {drop("s0")}, least({drop("s1")}, CASE WHEN initial = 's' THEN {put("s0", "s")} END),
+         least({drop("s2")}, {put("s0", "u")}, {put("s1", "u")}, {put("s3", "u")}, {put("s2", "u", "I")}),
+         least({drop("s3")}, {put("s2", "a")}, {put("s0", "a", "I")}, {put("s1", "a", "I")}, {put("s3", "a", "I")})
+  FROM states s JOIN turns t ON t.conv = s.conv AND t.pos = s.pos + 1
+), ended AS (
+  SELECT conv, least(s0, s3, {add("s2", 5, "'I'")}, {add("s1", 10, "'II'")}) AS best FROM states QUALIFY row_number() OVER (PARTITION BY conv ORDER BY pos DESC) = 1
+), audits AS (SELECT conv, left(best, 6)::BIGINT AS cost, substr(best, 7) AS audit FROM ended),
+ops AS (SELECT conv, audit, unnest(string_split(audit, '')) AS op, generate_subscripts(string_split(audit, ''), 1) AS place FROM audits WHERE audit <> ''),
+numbered AS (
+  SELECT *, count(*) FILTER (op <> 'I') OVER w AS pos, count(*) FILTER (op <> 'D') OVER (PARTITION BY conv) - count(*) FILTER (op <> 'D') OVER w AS behind
+  FROM ops WINDOW w AS (PARTITION BY conv ORDER BY place)
+), repaired AS (
+  SELECT n.conv, string_agg(CASE WHEN op = 'K' THEN t.role WHEN behind % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY place) AS body
+  FROM numbered n LEFT JOIN turns t ON t.conv = n.conv AND t.pos = n.pos WHERE op <> 'D' GROUP BY n.conv
+), sums AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM turns GROUP BY conv
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations) o JOIN audits USING (conv) LEFT JOIN sums USING (conv) LEFT JOIN repaired USING (conv)
+"""
+
+
 FILL_IN_MIDDLE_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
@@ -169,4 +230,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_revisits": WARC_SQL, "op11_exact_dedup": EXACT_DEDUP_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
+    return {"op8_warc_revisits": WARC_SQL, "op11_exact_dedup": EXACT_DEDUP_SQL, "op12_conversation_repair": _conversation_repair_sql(), "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
