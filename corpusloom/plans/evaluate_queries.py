@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import model
-from corpusloom.operators import evaluate
+from corpusloom.operators import evaluate, sweep, vectors
+from corpusloom.operators.chunk import ChunkConfig
 from corpusloom.sources import files
-from corpusloom.sources.shared import shared_folder
+from corpusloom.sources.shared import shared_folder, stored
 from corpusloom.streaming import jobs
 
 from .projections import LINES, STATUSES, lines
 from .registry import query, table
+from .search_queries import TOKENS
 
 
 def _line_rows(spark, sf_dir):
@@ -35,15 +37,45 @@ def parse_model_json(spark, sf_dir):
     return evaluate.parse_model_json(rows).select("item_id", "question", "answer")
 
 
-GOLD = "cases AS (SELECT item_id AS case_id, 'd' || (item_id % 13) AS gold_doc FROM benchmark), hits AS (SELECT event_type AS config, b.item_id AS case_id, event_id % 40 + 1 AS rank, 'd' || (event_id % 17) AS doc_id FROM events JOIN benchmark b ON b.item_id = event_id % (SELECT count(*) FROM benchmark)), g AS (SELECT config, case_id, min(rank) AS gold_rank FROM hits JOIN cases USING (case_id) WHERE doc_id = gold_doc GROUP BY ALL), ranked AS (SELECT config, case_id, gold_doc, gold_rank FROM (SELECT DISTINCT config FROM hits) CROSS JOIN cases LEFT JOIN g USING (config, case_id))"
+#: Three ways of chunking that SQL can express too: the lines, seven lines at a time, whole documents.
+GOLD = LINES + """, cut AS (
+  SELECT 'line' AS config, doc_id, doc_id || ':' || ord AS chunk_id, content FROM lines_
+  UNION ALL SELECT 'page', doc_id, doc_id || ':p' || (ord // 7), string_agg(content, ' ' ORDER BY ord) FROM lines_ GROUP BY doc_id, ord // 7
+  UNION ALL SELECT 'document', doc_id, doc_id || ':d', text FROM documents
+), chunks AS (SELECT config, doc_id, chunk_id, """ + TOKENS.format("content") + """ AS tokens FROM cut),
+questions AS (SELECT item_id AS case_id, """ + TOKENS.format("text") + """ AS tokens FROM benchmark),
+tf AS (SELECT config, chunk_id, len(tokens) AS n, unnest(tokens) AS term FROM chunks),
+postings AS (SELECT config, chunk_id, n, term, count(*) * 2.5 / (count(*) + 1.5 * (0.25 + 0.75 * n / 300.0)) AS weight FROM tf GROUP BY config, chunk_id, n, term),
+qterms AS (SELECT DISTINCT case_id, unnest(tokens) AS term FROM questions),
+idf AS (SELECT p.config, term, ln((any_value(t.n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM postings p JOIN (SELECT config, count(*) AS n FROM chunks GROUP BY config) t USING (config) GROUP BY p.config, term),
+scored AS (SELECT p.config, case_id, chunk_id, round(sum(weight * idf), 9) AS score, count(*) AS n_terms FROM postings p JOIN qterms USING (term) JOIN idf i ON i.config = p.config AND i.term = p.term GROUP BY ALL),
+hits AS (SELECT h.*, c.doc_id, c.tokens FROM (SELECT *, row_number() OVER (PARTITION BY config, case_id ORDER BY score DESC, chunk_id) AS rank FROM scored) h JOIN chunks c USING (config, chunk_id) WHERE rank <= 20),
+gold AS (SELECT item_id AS case_id, min(doc_id) AS gold_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '' GROUP BY item_id),
+cases AS (SELECT case_id, gold_doc FROM questions LEFT JOIN gold USING (case_id)),
+g AS (SELECT config, case_id, min(rank) AS gold_rank FROM hits JOIN cases USING (case_id) WHERE doc_id = gold_doc GROUP BY ALL),
+ranked AS (SELECT config, case_id, gold_doc, gold_rank FROM (SELECT DISTINCT config FROM hits) CROSS JOIN cases LEFT JOIN g USING (config, case_id))"""
+
+
+def _searched(spark, sf_dir):
+    """Chunks of each configuration, the cases with their gold documents, and the 20 best hits."""
+    docs, line = table(spark, sf_dir, "documents").select("doc_id", "text"), lines(spark, sf_dir)
+    tokens = vectors.bm25_tokens(F.col("content")).alias("tokens")
+    ident = lambda *parts: F.concat(F.col("doc_id").cast("string"), *parts).alias("chunk_id")
+    page = F.floor(F.col("order") / 7)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "content"))), lambda x: x["content"]), " ").alias("content")
+    chunks = line.select(F.lit("line").alias("config"), "doc_id", ident(F.lit(":"), F.col("order").cast("string")), tokens)
+    pages = line.groupBy("doc_id", page.alias("_page")).agg(joined)
+    chunks = chunks.unionByName(pages.select(F.lit("page").alias("config"), "doc_id", ident(F.lit(":p"), F.col("_page").cast("string")), tokens))
+    chunks = stored(chunks.unionByName(docs.withColumnRenamed("text", "content").select(F.lit("document").alias("config"), "doc_id", ident(F.lit(":d")), tokens)), "sweep-chunks")
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"))
+    cases = cases.join(sweep.gold_documents(docs, cases), "case_id", "left").select("case_id", "gold_doc", vectors.bm25_tokens(F.col("passage")).alias("tokens"))
+    cases = stored(cases, "sweep-cases")
+    return chunks, cases, stored(sweep.search_configurations(chunks, cases, 20), "sweep-hits")
 
 
 def _ranked(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    cases = items.select(F.col("item_id").alias("case_id"), F.concat(F.lit("d"), (F.col("item_id") % 13).cast("string")).alias("gold_doc"))
-    e = F.col("event_id")
-    hits = table(spark, sf_dir, "events").select(F.col("event_type").alias("config"), (e % items.count()).alias("case_id"), (e % 40 + 1).alias("rank"), F.concat(F.lit("d"), (e % 17).cast("string")).alias("doc_id"))
-    return evaluate.doc_rank(hits.join(items.select(F.col("item_id").alias("case_id")), "case_id", "left_semi"), cases)
+    chunks, cases, hits = _searched(spark, sf_dir)
+    return evaluate.doc_rank(hits.join(chunks.select("config", "chunk_id", "doc_id"), ["config", "chunk_id"]), cases.select("case_id", "gold_doc"))
 
 
 @query("doc_rank", f"WITH {GOLD} SELECT * FROM ranked")
@@ -66,13 +98,28 @@ def judge_scores(spark, sf_dir):
     return model.model_map(contexts, "context", model.echo_json).select("doc_id", evaluate.judge_score(F.col("reply")).alias("score"))
 
 
-@query("sweep_scorecard", f"""WITH {GOLD}, c AS (SELECT DISTINCT config, CAST(length(config) AS DOUBLE) AS ingest_sec FROM hits UNION ALL SELECT 'broken', 6), a AS (SELECT config, {HIT}, avg(case_id % 3 / 2) AS correctness, avg(case_id % 4 / 3) AS faithfulness, avg(case_id::DOUBLE) AS mean_latency_sec FROM ranked GROUP BY config)
+@query("sweep_scorecard", f"""WITH {GOLD}, recall AS (
+  SELECT config, case_id, len(list_intersect(any_value(q.tokens), any_value(h.tokens) FILTER (rank = 1))) / any_value(len(list_distinct(q.tokens))) AS correctness,
+         len(list_intersect(any_value(q.tokens), flatten(list(h.tokens)))) / any_value(len(list_distinct(q.tokens))) AS faithfulness
+  FROM hits h JOIN questions q USING (case_id) WHERE rank <= 5 GROUP BY config, case_id
+), a AS (SELECT config, {HIT}, avg(coalesce(correctness, 0)) AS correctness, avg(coalesce(faithfulness, 0)) AS faithfulness FROM ranked LEFT JOIN recall USING (config, case_id) GROUP BY config),
+c AS (SELECT config, count(*) AS n_chunks FROM chunks GROUP BY config UNION ALL SELECT 'never ingested', 0)
 SELECT *, CASE WHEN mrr IS NULL THEN 'no results' END AS error FROM c LEFT JOIN a USING (config)""")
 def sweep_scorecard(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
-    configs = ranked.select("config").distinct().unionByName(spark.createDataFrame([("broken",)], "config string")).withColumn("ingest_sec", F.length("config").cast("double"))
-    c = F.col("case_id")
-    return evaluate.sweep_scorecard(configs, ranked.withColumns({"correctness": c % 3 / 2, "faithfulness": c % 4 / 3, "latency_sec": c.cast("double")}))
+    """Scorecard without the measured seconds; ``configuration_sweep`` has them."""
+    chunks, cases, hits = _searched(spark, sf_dir)
+    configs = chunks.groupBy("config").agg(F.count("*").alias("n_chunks")).unionByName(spark.createDataFrame([("never ingested", 0)], "config string, n_chunks long"))
+    scored = sweep.results(chunks, hits, cases).withColumn("latency_sec", F.lit(0.0))
+    return evaluate.sweep_scorecard(configs, scored).drop("mean_latency_sec")
+
+
+@query("configuration_sweep")
+def configuration_sweep(spark, sf_dir):
+    """Documents as paragraphs, chunked in four sizes and searched for every benchmark text; one configuration cannot be ingested."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.regexp_replace("text", "\n", "\n\n").alias("passage"))
+    sizes = {"small": (200, 20), "medium": (450, 50), "large": (900, 100), "no overlap": (450, 0), "broken": (100, 100)}
+    return sweep.run(docs, cases, {name: ChunkConfig(chunk_size=size, chunk_overlap=overlap) for name, (size, overlap) in sizes.items()})
 
 
 @query("metric_summary", "SELECT 'quality' AS name, avg(coalesce(quality, 0)) AS mean_score, count(*) AS n FROM labels WHERE doc_id % 5 <> 0 UNION ALL SELECT 'toxic', avg(CASE WHEN doc_id % 2 = 0 THEN toxic ELSE 0 END), count(*) FROM labels WHERE doc_id % 5 <> 0")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -408,3 +409,28 @@ def test_numbers_of_one_large_group(spark):
     for _, own in got.groupby("small"):
         own = own.sort_values("o")
         assert list(own["row_number"]) == list(range(1, len(own) + 1))
+
+
+def test_query_sets_in_several_blocks(spark, monkeypatch):
+    """Blocks of queries and of passages give what one block gives, with ties, repeated passages and queries without hits."""
+    from corpusloom.operators import sweep, vectors
+
+    pick = random.Random(4)
+    texts = [" ".join(pick.choices("a b c d e f g h i j".split(), k=pick.randrange(1, 12))) for _ in range(300)]
+    chunks = spark.createDataFrame([(f"c{k:03d}", t.split(), "xy"[k % 2]) for k, t in enumerate(texts)], "chunk_id string, tokens array<string>, config string").repartition(3)
+    questions = spark.createDataFrame([(q, w, float(q % 3 + 1), g) for g in "xy" for q in range(25) for w in {"abcdefghij"[q % 10], "abcdefghij"[q * 7 % 10], "zz"}], "query_id long, term string, weight double, config string")
+    one = questions.where("config = 'x'").drop("config")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want, grouped = rows(vectors.sparse_topk_scan(chunks, one, 3)), rows(vectors.sparse_topk_scan(chunks, questions, 3, group="config"))
+    assert want == rows(vectors.sparse_topk(vectors.bm25_doc_weights(chunks), one, 3).select("query_id", "chunk_id", "score", "rank"))
+    by_group = [(g, *r) for g in "xy" for r in rows(vectors.sparse_topk_scan(chunks.where(f"config = '{g}'"), one, 3))]
+    assert grouped == sorted(by_group)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (7, None)], "doc_id long, text string")
+    cases = spark.createDataFrame([(k, t[2:9]) for k, t in enumerate(texts[::10])] + [(90, "no such"), (91, ""), (92, texts[20][2:9])], "case_id long, passage string")
+    gold = {(c.case_id, min(k for k, t in enumerate(texts) if c.passage in t)) for c in cases.collect() if c.passage and any(c.passage in t for t in texts)}
+    assert set(rows(sweep.gold_documents(docs, cases))) == gold
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(vectors, "CHUNKS_AT_ONCE", 16)
+    monkeypatch.setattr(sweep, "PASSAGE_CHARS", 50)
+    assert rows(vectors.sparse_topk_scan(chunks, one, 3)) == want and rows(vectors.sparse_topk_scan(chunks, questions, 3, group="config")) == grouped
+    assert set(rows(sweep.gold_documents(docs, cases))) == gold

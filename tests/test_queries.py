@@ -52,7 +52,7 @@ def test_query(spark, db, name):
 #: Queries that SQL cannot express, and what checks their rows.
 WITHOUT_SQL = {
     "flagship": "test_flagship_by_plain_loops", "semantic_chunk": "test_flagship_by_plain_loops", "recursive_split": "test_recursive_split_covers_texts", "repack": "test_repack_covers_texts", "stable_token_id": "test_term_ids",
-    "parse_html": "test_html_keeps_all_text", "html_to_text": "test_html_keeps_all_text", "parse_markdown": "test_markdown_keeps_all_lines",
+    "configuration_sweep": "test_configuration_sweep_by_plain_loops", "parse_html": "test_html_keeps_all_text", "html_to_text": "test_html_keeps_all_text", "parse_markdown": "test_markdown_keeps_all_lines",
 }
 
 
@@ -99,6 +99,36 @@ def test_flagship_by_plain_loops(spark):
     assert got == want
 
 
+def test_configuration_sweep_by_plain_loops(spark):
+    """Each configuration by itself: chunks of all documents, term statistics of its own, BM25 of every chunk, rank of the least document that holds the passage."""
+    found = {r.config: r for r in registry.QUERIES["configuration_sweep"](spark, DATA).collect()}
+    assert found["broken"].error == "overlap is not under the chunk size" and found["broken"].mrr is None
+    tokens = lambda t: re.findall(r"[^\W_]+", t.lower())
+    docs = documents()
+    items = {r["item_id"]: r["text"] for r in pq.read_table(f"{DATA}/benchmark.parquet").to_pylist()}
+    gold = {i: min((d for d, t in docs.items() if x in t), default=None) for i, x in items.items()}
+    for config, (size, overlap) in {"small": (200, 20), "medium": (450, 50), "large": (900, 100), "no overlap": (450, 0)}.items():
+        chunks = []
+        for doc, text in docs.items():
+            pieces = [p for part in paragraphs(text) for p in (split_text(part, size, overlap) if len(part) > size else [part])]
+            chunks += [(f"{doc}:chunk:{k + 1:04d}", doc, p, Counter(w := tokens(p)), len(w)) for k, p in enumerate(pieces)]
+        df = Counter(t for *_, tf, _ in chunks for t in tf)
+        idf = {t: math.log((len(chunks) - n + 0.5) / (n + 0.5) + 1) for t, n in df.items()}
+        ranks, first, shown = [], [], []
+        for item, text in items.items():
+            terms = set(tokens(text))
+            scores = [(round(sum(tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * n / 300)) * idf[t] for t in sorted(terms & tf.keys())), 9), ident, doc, tf) for ident, doc, _, tf, n in chunks]
+            best = sorted((x for x in scores if x[0] > 0), key=lambda x: (-x[0], x[1]))[:20]
+            ranks.append(next((k for k, x in enumerate(best, 1) if x[2] == gold[item]), None))
+            recall = lambda hits: len(terms & {t for x in hits for t in x[3]}) / len(terms)  # noqa: B023, E731
+            first.append(recall(best[:1]))
+            shown.append(recall(best[:5]))
+        row, mean = found[config], lambda xs: sum(xs) / len(xs)
+        assert (row.n_chunks, row.error) == (len(chunks), None) and row.split_sec > 0 and row.ingest_sec > 0 and row.mean_latency_sec > 0
+        want = [mean([len(c[2]) for c in chunks]), *(mean([r is not None and r <= k for r in ranks]) for k in (1, 3, 5)), mean([1 / r if r else 0 for r in ranks]), mean(first), mean(shown)]
+        assert [row.mean_chars, row.hit_1, row.hit_3, row.hit_5, row.mrr, row.correctness, row.faithfulness] == pytest.approx(want)
+
+
 def test_recursive_split_covers_texts(spark):
     found = {}
     for r in registry.QUERIES["recursive_split"](spark, DATA).collect():
