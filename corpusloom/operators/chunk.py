@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -131,23 +131,18 @@ def semantic_chunk(elements: DataFrame, config: ChunkConfig = ChunkConfig(), pre
     else:
         prefix, budget, many = F.lit(""), F.lit(config.chunk_size), recursive_split(F.col("text"), config.chunk_size, config.chunk_overlap)
     blocks = blocks.where(F.trim("text") != "").withColumns({"_parts": F.when(F.length("text") > budget, many).otherwise(F.array(F.trim("text"))), "_prefix": prefix})
-    return _numbered(blocks, [])
-
-
-def _numbered(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """The ``_parts`` of every block as chunks, numbered within their document (and ``keys``)."""
     rows = blocks.select("*", F.posexplode("_parts").alias("part_index", "_part")).withColumn("part_count", F.size("_parts"))
-    order = F.row_number().over(Window.partitionBy(*keys, "doc_id").orderBy("block", "part_index"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "part_index"))
     return rows.select(
-        *keys, F.format_string("%s:chunk:%04d", "doc_id", order).alias("chunk_id"), "doc_id", order.alias("order"), F.concat("_prefix", "_part").alias("page_content"), "type", "breadcrumb",
-        "element_ids", "orders", "types", "page_ids", "part_index", "part_count", (F.col("part_count") > 1).alias("is_split"), *(c for c in ("split_sec",) if c in blocks.columns),
+        F.format_string("%s:chunk:%04d", "doc_id", order).alias("chunk_id"), "doc_id", order.alias("order"), F.concat("_prefix", "_part").alias("page_content"), "type", "breadcrumb",
+        "element_ids", "orders", "types", "page_ids", "part_index", "part_count", (F.col("part_count") > 1).alias("is_split"),
     )
 
 
-def chunk_configurations(elements: DataFrame, configs: dict[str, ChunkConfig]) -> DataFrame:
-    """semantic_chunk under several configurations in one pass: ``config`` is a column, and split_sec the task seconds that a chunk's block took to split.
+def split_configurations(blocks: DataFrame, configs: dict[str, ChunkConfig]) -> DataFrame:
+    """Merged blocks cut under several sizes and overlaps in one pass over them, without a shuffle: config, chunk_id, doc_id, page_content, split_sec.
 
-    Elements are read, given their breadcrumbs and merged once for all configurations that agree on this; only the splitting is done for each.
+    A chunk is named by its block and part, which sort as the chunks do; split_sec are the task seconds that its block took, shared among its chunks.
     """
 
     @F.pandas_udf("parts array<string>, seconds double")
@@ -156,20 +151,13 @@ def chunk_configurations(elements: DataFrame, configs: dict[str, ChunkConfig]) -
         for text, size, overlap in zip(texts, sizes, overlaps):
             start = time.perf_counter()
             parts = split_keeping_images(text, int(size), int(overlap)) if len(text) > size else [text.strip()]
-            rows.append((parts, time.perf_counter() - start))
+            rows.append((parts, (time.perf_counter() - start) / max(1, len(parts))))
         return pd.DataFrame(rows, columns=["parts", "seconds"])
 
-    shared: dict[ChunkConfig, list[tuple[str, ChunkConfig]]] = {}
-    for name, c in configs.items():
-        shared.setdefault(replace(c, chunk_size=0, chunk_overlap=0), []).append((name, c))
-    found = None
-    for like, members in shared.items():
-        blocks = merge_micro(breadcrumb(elements, like), like).where(F.trim("text") != "")
-        each = F.array(*(F.struct(F.lit(name).alias("config"), F.lit(c.chunk_size).alias("size"), F.lit(c.chunk_overlap).alias("overlap")) for name, c in members))
-        blocks = blocks.withColumn("_c", F.explode(each)).withColumn("_s", split("text", "_c.size", "_c.overlap"))
-        rows = _numbered(blocks.withColumns({"config": F.col("_c.config"), "_parts": F.col("_s.parts"), "_prefix": F.lit(""), "split_sec": F.col("_s.seconds") / F.greatest(F.size("_s.parts"), F.lit(1))}), ["config"])
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    each = F.array(*(F.struct(F.lit(name).alias("config"), F.lit(c.chunk_size).alias("size"), F.lit(c.chunk_overlap).alias("overlap")) for name, c in configs.items()))
+    rows = blocks.where(F.trim("text") != "").select("doc_id", "block", "text", F.explode(each).alias("_c")).withColumn("_s", split("text", "_c.size", "_c.overlap"))
+    rows = rows.select("_c.config", "doc_id", "block", F.col("_s.seconds").alias("split_sec"), F.posexplode("_s.parts").alias("_k", "page_content"))
+    return rows.select("config", F.format_string("%s:chunk:%06d:%04d", "doc_id", "block", "_k").alias("chunk_id"), "doc_id", "page_content", "split_sec")
 
 
 def chunk_navigation(chunks: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from . import chunk, evaluate, parse, vectors
 
 #: Characters of passages that one automaton looks for.
 PASSAGE_CHARS = 16 << 20
+#: Hits that are sent to the chunks; more are joined with them.
+HITS_SENT = 200_000
 
 
 def gold_documents(docs: DataFrame, cases: DataFrame) -> DataFrame:
@@ -72,11 +74,13 @@ def token_recall(tokens: Column, contexts: Column) -> Column:
 def results(chunks: DataFrame, hits: DataFrame, cases: DataFrame, shown: int = 5) -> DataFrame:
     """A row for each configuration and case: gold_rank, correctness (of the best hit) and faithfulness (of the first ``shown``).
 
-    chunks: config, chunk_id, doc_id, tokens. cases: case_id, gold_doc, tokens.
+    chunks: config, chunk_id, tokens. hits: config, case_id, rank, chunk_id, doc_id. cases: case_id, gold_doc, tokens. The hits shown go to the chunks, as long
+    as there are not too many; chunks are not moved.
     """
-    placed = hits.join(chunks.select("config", "chunk_id", "doc_id", F.col("tokens").alias("_t")), ["config", "chunk_id"])
-    ranked = evaluate.doc_rank(placed, cases.select("case_id", "gold_doc"))
-    shown_ = placed.where(F.col("rank") <= shown).groupBy("config", "case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_t"))), lambda x: x["_t"]).alias("_c"))
+    ranked = evaluate.doc_rank(hits, cases.select("case_id", "gold_doc"))
+    best = hits.where(F.col("rank") <= shown).select("config", "case_id", "rank", "chunk_id")
+    best = F.broadcast(best) if best.count() <= HITS_SENT else best
+    shown_ = chunks.select("config", "chunk_id", "tokens").join(best, ["config", "chunk_id"]).groupBy("config", "case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tokens"))), lambda x: x["tokens"]).alias("_c"))
     rows = ranked.join(shown_, ["config", "case_id"], "left").join(cases.select("case_id", "tokens"), "case_id")
     context = F.coalesce("_c", F.array().cast("array<array<string>>"))
     return rows.select("config", "case_id", "gold_doc", "gold_rank", token_recall(F.col("tokens"), F.slice(context, 1, 1)).alias("correctness"), token_recall(F.col("tokens"), context).alias("faithfulness"))
@@ -92,8 +96,8 @@ def invalid(config: chunk.ChunkConfig) -> str | None:
 def run(docs: DataFrame, cases: DataFrame, configs: dict[str, chunk.ChunkConfig], k: int = 20) -> DataFrame:
     """Scorecard of the configurations: what they made, how they ranked the gold documents and how long it took; an error for those that failed.
 
-    docs: doc_id, text. cases: case_id, passage (also the question). ingest_sec is the wall-clock of the one job that chunks for all configurations, split_sec a
-    configuration's own task seconds, mean_latency_sec the search's wall-clock for each case and configuration.
+    docs: doc_id, text. cases: case_id, passage (also the question). Configurations differ in size and overlap; blocks are made once, with the other settings of the first, and kept, while
+    chunks are cut from them whenever they are read. ingest_sec is the wall-clock of chunking for all configurations, split_sec a configuration's own task seconds, mean_latency_sec the search's wall-clock for each case and configuration.
     """
     spark = docs.sparkSession
     good = {name: c for name, c in configs.items() if not invalid(c)}
@@ -101,14 +105,14 @@ def run(docs: DataFrame, cases: DataFrame, configs: dict[str, chunk.ChunkConfig]
     cases = cases.join(gold_documents(docs, cases), "case_id", "left").withColumn("tokens", vectors.bm25_tokens(F.col("passage")))
     cases = stored(cases.select(F.col("case_id").cast("long").alias("case_id"), "gold_doc", "tokens"), "sweep-cases")
     start = time.time()
-    elements = stored(parse.with_pages(parse.parse_plain_text(docs)), "sweep-elements")
-    made = chunk.chunk_configurations(elements, good)
-    made = made.select("config", "chunk_id", "doc_id", F.length("page_content").alias("n_chars"), "split_sec", vectors.bm25_tokens(F.col("page_content")).alias("tokens"))
-    chunks = stored(made.withColumn("doc_id", F.col("doc_id").cast("long")), "sweep-chunks")
+    like = next(iter(good.values()), chunk.ChunkConfig())
+    blocks = stored(chunk.merge_micro(chunk.breadcrumb(parse.with_pages(parse.parse_plain_text(docs)), like), like).select("doc_id", "block", "text"), "sweep-blocks")
+    made = chunk.split_configurations(blocks, good)
+    stats = stored(made.groupBy("config").agg(F.count("*").alias("n_chunks"), F.avg(F.length("page_content")).alias("mean_chars"), F.sum("split_sec").alias("split_sec")), "sweep-chunks")
     ingest_sec, start = time.time() - start, time.time()
-    hits = stored(search_configurations(chunks, cases, k), "sweep-hits")
+    chunks = made.select("config", "chunk_id", vectors.bm25_tokens(F.col("page_content")).alias("tokens"))
+    hits = stored(search_configurations(chunks, cases, k).withColumn("doc_id", F.substring_index("chunk_id", ":chunk:", 1).cast("long")), "sweep-hits")
     latency = (time.time() - start) / max(1, len(good) * cases.count())
-    stats = chunks.groupBy("config").agg(F.count("*").alias("n_chunks"), F.avg("n_chars").alias("mean_chars"), F.sum("split_sec").alias("split_sec"))
     described = known.join(F.broadcast(stats), "config", "left").withColumn("ingest_sec", F.when(F.col("failed").isNull(), ingest_sec))  # a row for each configuration
     scored = results(chunks, hits, cases).withColumn("latency_sec", F.lit(latency))
     return evaluate.sweep_scorecard(described, scored).withColumn("error", F.coalesce("failed", "error")).drop("failed")

@@ -11,7 +11,7 @@ from corpusloom.sources import files
 from corpusloom.sources.shared import shared_folder, stored
 from corpusloom.streaming import jobs
 
-from .projections import LINES, STATUSES, lines
+from .projections import LINES, lines
 from .registry import query, table
 from .search_queries import TOKENS
 
@@ -57,25 +57,26 @@ ranked AS (SELECT config, case_id, gold_doc, gold_rank FROM (SELECT DISTINCT con
 
 
 def _searched(spark, sf_dir):
-    """Chunks of each configuration, the cases with their gold documents, and the 20 best hits."""
-    docs, line = table(spark, sf_dir, "documents").select("doc_id", "text"), lines(spark, sf_dir)
-    tokens = vectors.bm25_tokens(F.col("content")).alias("tokens")
-    ident = lambda *parts: F.concat(F.col("doc_id").cast("string"), *parts).alias("chunk_id")
-    page = F.floor(F.col("order") / 7)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "content"))), lambda x: x["content"]), " ").alias("content")
-    chunks = line.select(F.lit("line").alias("config"), "doc_id", ident(F.lit(":"), F.col("order").cast("string")), tokens)
-    pages = line.groupBy("doc_id", page.alias("_page")).agg(joined)
-    chunks = chunks.unionByName(pages.select(F.lit("page").alias("config"), "doc_id", ident(F.lit(":p"), F.col("_page").cast("string")), tokens))
-    chunks = stored(chunks.unionByName(docs.withColumnRenamed("text", "content").select(F.lit("document").alias("config"), "doc_id", ident(F.lit(":d")), tokens)), "sweep-chunks")
+    """Chunks of each configuration, the cases with their gold documents, and the 20 best hits. Chunks are cut anew for each reading, within the rows of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    line = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    some = lambda at, content: F.struct(at.alias("at"), content.alias("content"))
+    of = lambda config, found: F.transform(found, lambda x: F.struct(F.lit(config).alias("config"), F.concat(F.lit(":"), x["at"]).alias("at"), x["content"].alias("content")))
+    starts = F.when(F.size("line") > 0, F.sequence(F.lit(0), F.size("line") - 1, F.lit(7))).otherwise(F.array().cast("array<int>"))
+    pages = F.transform(starts, lambda i: some(F.concat(F.lit("p"), F.floor(i / 7).cast("string")), F.array_join(F.slice("line", i + 1, 7), " ")))
+    every = F.concat(of("line", F.transform("line", lambda x, i: some(i.cast("string"), x))), of("page", pages), of("document", F.array(some(F.lit("d"), F.col("text")))))
+    chunks = docs.withColumn("line", line).select("doc_id", F.explode(every).alias("c"))
+    chunks = chunks.select("c.config", "doc_id", F.concat(F.col("doc_id").cast("string"), "c.at").alias("chunk_id"), vectors.bm25_tokens(F.col("c.content")).alias("tokens"))
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"))
     cases = cases.join(sweep.gold_documents(docs, cases), "case_id", "left").select("case_id", "gold_doc", vectors.bm25_tokens(F.col("passage")).alias("tokens"))
     cases = stored(cases, "sweep-cases")
-    return chunks, cases, stored(sweep.search_configurations(chunks, cases, 20), "sweep-hits")
+    hits = sweep.search_configurations(chunks, cases, 20).withColumn("doc_id", F.split("chunk_id", ":")[0].cast("long"))
+    return chunks, cases, stored(hits, "sweep-hits")
 
 
 def _ranked(spark, sf_dir):
-    chunks, cases, hits = _searched(spark, sf_dir)
-    return evaluate.doc_rank(hits.join(chunks.select("config", "chunk_id", "doc_id"), ["config", "chunk_id"]), cases.select("case_id", "gold_doc"))
+    _, cases, hits = _searched(spark, sf_dir)
+    return evaluate.doc_rank(hits, cases.select("case_id", "gold_doc"))
 
 
 @query("doc_rank", f"WITH {GOLD} SELECT * FROM ranked")
@@ -179,11 +180,34 @@ def session_expiry(spark, sf_dir):
     return spark.read.parquet(output)
 
 
-KINDS = ", ".join(f"'{s}'" for s in STATUSES)
-
-
 @query("stream_stuck", """WITH n AS (SELECT user_id AS doc_id, ts, event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, (SELECT max(ts) FROM events) AS now FROM events)
 SELECT doc_id, ts AS silent_since, event_type AS status FROM n WHERE epoch(coalesce(nxt, now)) - epoch(ts) > CASE WHEN event_type = 'view' THEN 300 ELSE 900 END AND event_type IN ('view', 'click', 'error')""")
+def stuck_stream(spark, sf_dir):
+    """The stream itself: all beats first, in any order; then a closing row lifts the watermark to the table's latest time, and what has fallen due by then is reported."""
+    delay, output, closing, state = "40 days", shared_folder(spark, "stuck"), shared_folder(spark, "closing"), shared_folder(spark, "stuck-state")
+    events = table(spark, sf_dir, "events")
+    beat = [F.col("user_id").alias("doc_id"), F.col("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("status")]
+    last = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr(f"interval {delay}")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("event_type"))
+    last.limit(0).write.parquet(closing)
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    def run() -> None:
+        rows = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").select(beat)
+        rows = rows.unionByName(spark.readStream.schema(last.schema).parquet(closing).select(beat))
+        with jobs.timed_state(spark):
+            found = jobs.stuck_stream(rows, delay, queued=("view",), active=("click", "error"))
+            found.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+    run()
+    for _ in range(2):  # one lifts the watermark, which holds from the next batch on
+        last.write.mode("append").parquet(closing)
+        run()
+    return spark.read.parquet(output).drop("batch")
+
+
+@query("stuck_events", f"""WITH n AS (SELECT user_id AS doc_id, ts, event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, (SELECT max(ts) FROM events) AS now FROM events)
+SELECT doc_id, ts AS silent_since, event_type AS status FROM n WHERE epoch(coalesce(nxt, now)) - epoch(ts) > CASE WHEN event_type = 'view' THEN 300 ELSE 900 END AND event_type IN ('view', 'click', 'error')""")
 def stuck_events(spark, sf_dir):
+    """The batch twin of stream_stuck."""
     beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
     return jobs.stuck_events(beats, queued=("view",), active=("click", "error"))

@@ -67,19 +67,26 @@ def _stream(spark, sf_dir, name, columns=None):
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(path)
 
 
-@query("stream_ingest", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, string_agg(content, '' ORDER BY ord) AS text FROM lines_ GROUP BY doc_id")
-def stream_ingest(spark, sf_dir):
-    """The stream runs to the end of the table; the chunks of a document in order hold its whole text but for white space."""
+def _stages(config):
+    """Parsing, chunking and embedding as stages of ingest."""
+    return [
+        ("parsed", lambda files_: jobs.unkeyed(parse.with_pages(parse.parse_plain_text(jobs.keyed(files_.select("doc_id", "content_hash", F.regexp_replace("text", "\n", "\n\n").alias("text"))))))),
+        ("chunked", lambda rows: jobs.unkeyed(chunk.semantic_chunk(jobs.keyed(rows), config))),
+        ("embedded", lambda rows: jobs.unkeyed(vectors.embed_chunks(rows), "chunk_id")),
+    ]
 
-    def process(batch):
-        return chunk.semantic_chunk(parse.with_pages(parse.parse_plain_text(batch.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text")))), chunk.ChunkConfig(chunk_size=10_000_000))
 
-    files_ = _stream(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_hash"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
-    output = shared_folder(spark, "stream-chunks")
-    jobs.stream_ingest(files_, process, output, shared_folder(spark, "stream-state")).awaitTermination()
+@query("stream_ingest", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(string_agg(content, '' ORDER BY ord), '\\s+', '', 'g') AS text, true AS embedded, 1 AS versions FROM lines_ GROUP BY doc_id")
+def stream_ingest(spark, sf_dir):
+    """The stream runs to the end of the table, and a second stream brings every file again, which the ledger stops; the chunks of a document in order hold its whole text but for white space."""
+    files_ = _stream(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_hash"))
+    root = shared_folder(spark, "ingest")
+    for _ in range(2):
+        jobs.stream_ingest(files_, _stages(chunk.ChunkConfig(chunk_overlap=0)), root, shared_folder(spark, "stream-state")).awaitTermination()
+    chunks = jobs.stage_rows(spark, root, "chunked").join(jobs.stage_rows(spark, root, "embedded").select("chunk_id", "embedding"), "chunk_id", "left")
     parts = F.array_sort(F.collect_list(F.struct("order", "page_content")))
-    rows = spark.read.parquet(output).groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["page_content"]), "").alias("text"))
-    return rows.select("doc_id", "text")
+    text = F.regexp_replace(F.array_join(F.transform(parts, lambda x: x["page_content"]), ""), r"\s+", "").alias("text")
+    return chunks.groupBy("doc_id").agg(text, F.bool_and(F.col("embedding").isNotNull()).alias("embedded"), F.countDistinct("content_hash").cast("int").alias("versions"))
 
 
 @query("stream_synonyms", r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\bthe\b', 'the (la)', 'gi'), '\bof\b', 'of (de)', 'gi') AS expanded FROM conversations WHERE role = 'user'")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from corpusloom.operators.query import synonym_expand
+from corpusloom.sources.shared import stored
 
 SESSION = "2 hours"
 # Fixed values, in seconds
@@ -36,39 +37,148 @@ def stuck_events(beats: DataFrame, queued: tuple[str, ...] = ("QUEUED",), active
     return rows.where(silent > limit).select("doc_id", F.col("ts").alias("silent_since"), "status")
 
 
-def stuck_stream(beats: DataFrame, watermark: str, queued: tuple[str, ...] = ("QUEUED",), active: tuple[str, ...] = ("PARSING", "CHUNKING", "EMBEDDING")) -> DataFrame:
-    """The same on a stream: a document's last beat is held in state, and an event-time timer reports it when the limit passes."""
+class _Silences(StatefulProcessor):
+    """Beats of a document that cannot be judged yet. Those up to the watermark have all arrived; an event-time timer wakes the state when one falls due.
+
+    What is judged leaves the state, so a document that is not heard of any more keeps none.
+    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at, status = state.get
-            state.remove()
-            yield pd.DataFrame({"doc_id": [key[0]], "silent_since": [pd.Timestamp(at, unit="us")], "status": [status]})
+    def __init__(self, queued: tuple[str, ...], active: tuple[str, ...]):
+        self.limits = dict.fromkeys(active, ACTIVE_LIMIT) | dict.fromkeys(queued, QUEUED_LIMIT)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "at long, seq long, status string")
+
+    def _due(self, beat: tuple[int, int, str]) -> int:
+        """Millisecond from which a silence after the beat is too long; a beat without a limit is done with at once."""
+        limit = self.limits.get(beat[2])
+        return beat[0] // 1000 if limit is None else (beat[0] // 1_000_000 + limit + 1) * 1000
+
+    def _judge(self, key: tuple, beats: list[tuple[int, int, str]], watermark: int) -> Iterator[pd.DataFrame]:
+        beats.sort()
+        stuck, left = [], []
+        for beat, after in zip(beats, [*beats[1:], None]):
+            if after and after[0] // 1000 <= watermark:
+                if self.limits.get(beat[2]) and after[0] // 1_000_000 - beat[0] // 1_000_000 > self.limits[beat[2]]:
+                    stuck.append(beat)
+            elif self._due(beat) <= watermark:
+                if beat[2] in self.limits:
+                    stuck.append(beat)
+            else:
+                left.append(beat)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if left:
+            self.pending.put(left)
+            self.handle.registerTimer(max(min(map(self._due, left)) - 1, watermark))  # a timer fires once the watermark has passed it
+        else:
+            self.pending.clear()
+        if stuck:
+            yield pd.DataFrame({"doc_id": key[0], "at": [b[0] for b in stuck], "status": [b[2] for b in stuck]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):  # closing rows; a filter would run before the watermark sees them
             return
-        beats = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        last = beats.iloc[-1]
-        at, status = int(last["ts"].value // 1000), last["status"]
-        if state.exists and state.get[0] > at:
-            at, status = state.get
-        state.update((at, status))
-        limit = QUEUED_LIMIT if status in queued else ACTIVE_LIMIT if status in active else None
-        if limit:
-            state.setTimeoutTimestamp(max(at // 1000 + limit * 1000, state.getCurrentWatermarkMs() + 1))
+        new = [r for f in rows for r in zip(f["at"].tolist(), f["seq"].tolist(), f["status"].tolist())]
+        yield from self._judge(key, [*map(tuple, self.pending.get()), *new], max(timerValues.getCurrentWatermarkInMs(), 0))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._judge(key, [*map(tuple, self.pending.get())], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def stuck_stream(beats: DataFrame, watermark: str, queued: tuple[str, ...] = ("QUEUED",), active: tuple[str, ...] = ("PARSING", "CHUNKING", "EMBEDDING")) -> DataFrame:
+    """stuck_events on a stream: each silence is reported once the watermark has passed its limit, in whatever order beats came within the watermark's delay.
+
+    It needs a state store with timers: start it under ``timed_state``. Rows with a null doc_id only move the watermark.
+    """
+    rows = beats.withColumns({"at": F.unix_micros(F.col("ts").cast("timestamp")), "ts": F.col("ts").cast("timestamp")}).withWatermark("ts", watermark)
+    kind = f"doc_id {beats.schema['doc_id'].dataType.simpleString()}, at long, status string"
+    found = rows.groupBy("doc_id").transformWithStateInPandas(_Silences(queued, active), kind, "Append", "EventTime")
+    return found.select("doc_id", F.timestamp_micros("at").cast(beats.schema["ts"].dataType).alias("silent_since"), "status")
+
+
+@contextmanager
+def timed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which timers need."""
+    option, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(option, None)
+    spark.conf.set(option, rocks)
+    try:
+        yield
+    finally:
+        spark.conf.unset(option) if before is None else spark.conf.set(option, before)
 
-    return beats.withWatermark("ts", watermark).groupBy("doc_id").applyInPandasWithState(step, "doc_id long, silent_since timestamp, status string", "at long, status string", "append", GroupStateTimeout.EventTimeTimeout)
 
+#: A stage of ingest: its name, and what makes its rows (doc_id, content_hash, ...) of the rows of the stage before.
+Stage = tuple[str, Callable[[DataFrame], DataFrame]]
+LEDGER = "doc_id string, content_hash string, stage string, run string"
 
-def stream_ingest(files: DataFrame, process: Callable[[DataFrame], DataFrame], output: str, checkpoint: str, watermark: str = "1 hour") -> StreamingQuery:
-    """Run ``process`` (parse, pages, chunk, vectors) on every micro-batch of new files; replayed files are dropped.
 
-    files: doc_id, content_hash, ts and what ``process`` reads. Output is a folder per batch, so that a retried batch replaces itself.
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with doc_id and content_hash as one doc_id, so that two versions of a document are two documents to a stage."""
+    return rows.withColumn("doc_id", F.concat_ws("@", "doc_id", "content_hash")).drop("content_hash")
+
+
+def unkeyed(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id and content_hash again, from a column that begins with both."""
+    return rows.withColumns({"content_hash": F.regexp_extract(key, "@([0-9a-f]+)", 1), "doc_id": F.regexp_extract(key, "^(.*?)@[0-9a-f]+", 1)})
+
+
+def ledger(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, content_hash, stage, run): what each stage has done so far."""
+    return spark.read.schema(LEDGER).option("basePath", f"{root}/ledger").option("pathGlobFilter", "*.parquet").parquet(f"{root}/ledger")
+
+
+def stage_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All rows that a stage has made, for every version of a document that it has seen."""
+    return spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}").drop("run")
+
+
+def newest(spark: SparkSession, root: str, name: str, versions: DataFrame) -> DataFrame:
+    """A stage's rows of the newest version (doc_id, content_hash, ts) of each document."""
+    last = versions.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max_by("content_hash", "ts").alias("content_hash"))
+    return stage_rows(spark, root, name).join(last, ["doc_id", "content_hash"], "left_semi")
+
+
+def ingest_batch(batch: DataFrame, run: str, stages: list[Stage], root: str) -> None:
+    """Take a batch of files (doc_id, content_hash, ...) through all stages; ``run`` names it.
+
+    A stage works on the versions of documents that the ledger does not have for it, reads what the stage before has stored, writes its rows
+    to a folder of this run and then enters the versions in the ledger. So a run that stopped anywhere goes on with the first stage that it had not entered, a stopped
+    write is replaced, and files that come again in later runs are not worked on and write nothing.
+    """
+    spark = batch.sparkSession
+    batch = batch.withColumns({"doc_id": F.col("doc_id").cast("string")}).where("doc_id is not null").dropDuplicates(["doc_id", "content_hash"])
+    wanted = stored(batch.select("doc_id", "content_hash"), "ingest-files")
+    spark.createDataFrame([], LEDGER).write.mode("ignore").partitionBy("stage", "run").parquet(f"{root}/ledger")
+    before = batch
+    for name, step in stages:
+        done = ledger(spark, root).where(F.col("stage") == name)
+        if done.where(F.col("run") == run).isEmpty():
+            todo = stored(wanted.join(done, ["doc_id", "content_hash"], "left_anti"), f"ingest-{name}")
+            if not todo.isEmpty():
+                made = step(before.join(todo, ["doc_id", "content_hash"], "left_semi"))
+                made.write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
+                todo.write.mode("overwrite").parquet(f"{root}/ledger/stage={name}/run={run}")
+        before = stage_rows(spark, root, name).join(wanted, ["doc_id", "content_hash"], "left_semi") if not ledger(spark, root).where(F.col("stage") == name).isEmpty() else before.limit(0)
+
+
+def stream_ingest(files: DataFrame, stages: list[Stage], root: str, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch of new files through all stages (parse, chunk, embed), each version of a document once.
+
+    files: doc_id, content_hash and what the first stage reads. Runs are named by the checkpoint's folder and the batch, so that a batch that is tried again
+    is the same run.
     """
+    name = checkpoint.rstrip("/").rpartition("/")[2]
 
     def write(batch: DataFrame, number: int) -> None:
-        process(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        ingest_batch(batch, f"{name}-{number}", stages, root)
 
-    unique = files.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["doc_id", "content_hash"])
-    return unique.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def stream_synonyms(queries: DataFrame, dictionary: Callable[[SparkSession], list[tuple[str, list[str]]]], output: str, checkpoint: str) -> StreamingQuery:

@@ -42,21 +42,72 @@ def test_sessions(spark, folder, tmp_path):
 
 
 def test_stuck_timer(spark, folder, tmp_path):
+    """Timers report what the batch twin finds once the watermark has passed; under a long watermark nothing is due yet."""
     events, path = folder
-    run(jobs.stuck_stream(stream(spark, events, path), "40 days", ("view",), ("click", "error")), "stuck", tmp_path)
-    assert spark.table("stuck").count() == 0  # nothing is late under so long a watermark
-    run(jobs.stuck_stream(stream(spark, events, path), "1 minute", ("view",), ("click", "error")), "stuck_now", tmp_path)
-    batch = {(r.doc_id, r.silent_since) for r in jobs.stuck_events(events, ("view",), ("click", "error")).collect()}
-    got = {(r.doc_id, r.silent_since) for r in spark.table("stuck_now").collect()}
-    assert got and got <= batch
-
-
-def test_ingest_drops_replays(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a", "2024-01-01 00:00:00", "x"), (1, "a", "2024-01-01 00:01:00", "x"), (2, "b", "2024-01-01 00:02:00", "y")], "doc_id long, content_hash string, ts string, text string").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    jobs.stream_ingest(source, lambda b: b.select("doc_id", F.upper("text").alias("text")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "X"), (2, "Y")]
+    with jobs.timed_state(spark):
+        run(jobs.stuck_stream(stream(spark, events, path), "40 days", ("view",), ("click", "error")), "stuck", tmp_path)
+        assert spark.table("stuck").count() == 0
+        run(jobs.stuck_stream(stream(spark, events, path), "1 minute", ("view",), ("click", "error")), "stuck_now", tmp_path)
+    now = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("doc_id"), (F.col("ts") + F.expr("interval 10 days")).alias("ts"), F.lit(-1).cast("long").alias("seq"), F.lit("none").alias("status"))
+    batch = sorted(map(tuple, jobs.stuck_events(events.unionByName(now), ("view",), ("click", "error")).collect()))
+    assert sorted(map(tuple, spark.table("stuck_now").collect())) == batch
+
+
+def test_stuck_beats_in_any_order(spark, tmp_path):
+    """A beat that comes late but within the delay ends the silence that it falls into."""
+    schema = "doc_id long, ts timestamp, seq long, status string"
+    at = lambda s: f"timestamp '2024-01-01 00:00:00' + interval {s} seconds"
+    batches = [[(1, 0, "QUEUED"), (1, 700, "PARSING"), (2, 0, "PARSING")], [(1, 250, "QUEUED"), (2, 901, "READY")], [(3, 5000, "READY")], [(None, 20_000, "READY")], [(None, 20_001, "READY")]]
+    for k, rows in enumerate(batches):
+        frame = spark.sql(" union all ".join(f"select cast({'null' if d is None else d} as long) doc_id, {at(s)} ts, {s}L seq, '{x}' status" for d, s, x in rows))
+        frame.select("doc_id", "ts", "seq", "status").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    with jobs.timed_state(spark):
+        run(jobs.stuck_stream(source, "1000 seconds"), "any_order", tmp_path)
+    got = sorted((r.doc_id, r.silent_since.minute * 60 + r.silent_since.second, r.status) for r in spark.table("any_order").collect())
+    assert got == [(1, 250, "QUEUED"), (1, 700, "PARSING"), (2, 0, "PARSING")]
+
+
+def test_ingest_ledger(spark, tmp_path):
+    """A stream that dies between stages goes on where it stopped; replays in later batches write nothing; a changed document is taken again."""
+    schema, root, folder = "doc_id long, content_hash string, text string", str(tmp_path / "root"), str(tmp_path / "in")
+    spark.createDataFrame([(1, "a1", "x y"), (1, "a1", "x y"), (2, "b2", "z"), (None, "c3", "lost")], schema).coalesce(1).write.parquet(f"{folder}/0")
+    calls, broken = [], [True]
+
+    def stages():
+        def words(rows):
+            calls.append(("words", sorted(r.doc_id for r in rows.select("doc_id").collect())))
+            return rows.select("doc_id", "content_hash", F.explode(F.split("text", " ")).alias("word"))
+
+        def upper(rows):
+            calls.append(("upper", sorted({r.doc_id for r in rows.select("doc_id").collect()})))
+            if broken[0]:
+                raise RuntimeError("killed between stages")
+            return rows.withColumn("word", F.upper("word"))
+
+        return [("words", words), ("upper", upper)]
+
+    def stream(checkpoint):
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+        jobs.stream_ingest(source, stages(), root, str(tmp_path / checkpoint)).awaitTermination()
+
+    with pytest.raises(Exception, match="killed between stages"):
+        stream("state")
+    assert calls == [("words", ["1", "2"]), ("upper", ["1", "2"])]
+    broken[0] = False
+    stream("state")  # the same batch again: the first stage is past
+    assert calls[2:] == [("upper", ["1", "2"])]
+    words = lambda: sorted((r.doc_id, r.content_hash, r.word) for r in jobs.stage_rows(spark, root, "upper").collect())
+    assert words() == [("1", "a1", "X"), ("1", "a1", "Y"), ("2", "b2", "Z")]
+    spark.createDataFrame([(2, "b2", "z"), (1, "d4", "new"), (3, "e5", "w")], schema).coalesce(1).write.parquet(f"{folder}/1")
+    stream("state")  # a later batch: one replay, one new version, one new document
+    stream("other state")  # every file once more, in a stream of its own
+    assert calls[3:] == [("words", ["1", "3"]), ("upper", ["1", "3"])]
+    assert words() == [("1", "a1", "X"), ("1", "a1", "Y"), ("1", "d4", "NEW"), ("2", "b2", "Z"), ("3", "e5", "W")]
+    versions = spark.createDataFrame([(1, "a1", 1), (1, "d4", 2), (2, "b2", 1), (3, "e5", 2)], "doc_id long, content_hash string, ts int")
+    assert sorted(r.word for r in jobs.newest(spark, root, "upper", versions).collect()) == ["NEW", "W", "Z"]
+    done = sorted((r.doc_id, r.content_hash, r.stage) for r in jobs.ledger(spark, root).collect())
+    assert done == sorted((d, h, s) for d, h in [("1", "a1"), ("1", "d4"), ("2", "b2"), ("3", "e5")] for s in ("words", "upper"))
 
 
 def test_synonym_stream(spark, tmp_path):
