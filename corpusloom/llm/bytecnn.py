@@ -1,6 +1,6 @@
 """A byte-level convolutional network in numpy: filters of several widths, max pooling, softmax.
 
-UTF-8 bytes are folded to 128 symbols (symbol 0 pads and adds nothing). A filter of width w adds one weight per offset
+Every byte is a symbol of its own; 0xFF, which UTF-8 never has, pads and adds nothing. A filter of width w adds one weight per offset
 and symbol. For scoring, the weights of two neighbouring offsets are summed into one table over symbol pairs, so that all
 filters of widths 2 to 4 cost two table rows a byte.
 
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .text import Texts, blocks, record_batch
 
-SYMBOLS = 128
+SYMBOLS, PAD = 256, 255
 WIDTHS = (2, 3, 4)
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[128:] = 1 + (_FOLD[128:] & 30)
+#: Steps that training takes at least.
+LEAST_STEPS = 200
 #: Windows convolved at once; keeps the intermediate table in cache.
 _AT_ONCE = 64
 #: Windows cut at once: what a task holds for a text of any length.
@@ -29,7 +29,7 @@ CUT_AT_ONCE = 1024
 
 
 def windows_of(texts: Texts, length: int, stride: int, at_once: int = CUT_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Symbols of the windows (padded with 0), their text numbers and their numbers of bytes, ``at_once`` windows at a time.
+    """Bytes of the windows (padded with ``PAD``), their text numbers and their numbers of bytes, ``at_once`` windows at a time.
 
     Windows start every ``stride`` bytes until the text is covered; an empty text has one window of padding.
     """
@@ -44,7 +44,7 @@ def windows_of(texts: Texts, length: int, stride: int, at_once: int = CUT_AT_ONC
         used = np.clip(texts.offsets[doc + 1] - start, 0, length)
         inside = np.arange(length) < used[:, None]
         at = np.minimum(start[:, None] + np.arange(length), len(data) - 1)
-        yield np.where(inside, _FOLD[data[at]], 0), doc, used
+        yield np.where(inside, data[at], np.uint8(PAD)), doc, used
 
 
 class ByteCNN:
@@ -55,7 +55,7 @@ class ByteCNN:
         #: weights[offset, symbol, filter]; filter columns are grouped by width, offsets beyond a width stay 0
         self.weights = np.zeros((max(WIDTHS), SYMBOLS, total), np.float32)
         for k, w in enumerate(WIDTHS):
-            self.weights[:w, 1:, k * filters : (k + 1) * filters] = random.normal(0, 0.3, (w, SYMBOLS - 1, filters))
+            self.weights[:w, :PAD, k * filters : (k + 1) * filters] = random.normal(0, 0.3, (w, SYMBOLS - 1, filters))
         self.bias = np.zeros(total, np.float32)
         self.out = random.normal(0, 0.2, (total, classes)).astype(np.float32)
         self.out_bias = np.zeros(classes, np.float32)
@@ -66,14 +66,24 @@ class ByteCNN:
         return first, np.ascontiguousarray((w[2][:, None] + w[3][None]).reshape(SYMBOLS**2, -1)[:, self.filters :])
 
     def _convolve(self, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        pad = np.zeros((len(x), x.shape[1] + 3), np.int32)
+        pad = np.full((len(x), x.shape[1] + 3), PAD, np.int32)
         pad[:, : x.shape[1]] = x
-        pair = (pad[:, :-1] << 7) | pad[:, 1:]
+        pair = (pad[:, :-1] << 8) | pad[:, 1:]
         n = x.shape[1]
         out = np.take(tables[0], pair[:, :n], axis=0, mode="clip")
         out[:, :, self.filters :] += np.take(tables[1], pair[:, 2 : n + 2], axis=0, mode="clip")
         return out
 
+    def _direct(self, x: np.ndarray) -> np.ndarray:
+        """_convolve without tables, which change with every step of training."""
+        n = x.shape[1]
+        pad = np.pad(x, ((0, 0), (0, 3)), constant_values=PAD)
+        out = self.weights[0][pad[:, :n]]
+        for k in range(1, max(WIDTHS)):
+            some = self.filters * max(0, k - 1)  # columns of narrower filters have no such offset
+            out[:, :, some:] += self.weights[k][:, some:][pad[:, k : n + k]]
+        return out
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         tables, parts = self._tables(), []
         for at in range(0, len(x), _AT_ONCE):
@@ -82,7 +92,11 @@ class ByteCNN:
         return np.concatenate(parts)
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> "ByteCNN":
-        """Adam on the cross-entropy; each class weighs the same, its windows as ``weight`` says. Filters learn at the maximum's position alone."""
+        """Adam on the cross-entropy; each class weighs the same, its windows as ``weight`` says. Filters learn at the maximum's position alone.
+
+        A small sample is read more often, for ``LEAST_STEPS`` steps.
+        """
+        epochs = max(epochs, -(-LEAST_STEPS * batch // max(len(x), 1)))
         random = np.random.default_rng(seed)
         classes = np.bincount(y, weights=weight, minlength=len(self.out_bias))
         weight = (weight * len(y) / (np.count_nonzero(classes) * np.maximum(classes, 1e-9))[y]).astype(np.float32)
@@ -94,7 +108,7 @@ class ByteCNN:
             for at in range(0, len(x), batch):
                 rows = order[at : at + batch]
                 xs, n = x[rows], len(rows)
-                conv = self._convolve(xs, self._tables())
+                conv = self._direct(xs)
                 place = conv.argmax(axis=1)
                 pooled = np.take_along_axis(conv, place[:, None], 1)[:, 0] + self.bias
                 hidden = np.maximum(pooled, 0)
@@ -103,11 +117,13 @@ class ByteCNN:
                 p *= weight[rows, None] / n
                 back = (p @ self.out.T) * (pooled > 0)
                 grads = {"out": hidden.T @ p, "out_bias": p.sum(axis=0), "bias": back.sum(axis=0), "weights": np.zeros_like(self.weights)}
-                padded = np.pad(xs, ((0, 0), (0, 3)))
-                for f, group in enumerate(used):
-                    for k in range(WIDTHS[group]):
-                        np.add.at(grads["weights"][k, :, f], padded[np.arange(n), place[:, f] + k], back[:, f])
-                grads["weights"][:, 0] = 0
+                padded = np.pad(xs, ((0, 0), (0, 3)), constant_values=PAD)
+                cell = place[:, :, None] + np.arange(max(WIDTHS))
+                cell = padded[np.arange(n)[:, None, None], cell].astype(np.int64) * len(used) + np.arange(len(used))[None, :, None]
+                for k in range(max(WIDTHS)):
+                    some = np.flatnonzero(np.array(WIDTHS)[used] > k)
+                    grads["weights"][k] = np.bincount(cell[:, some, k].ravel(), back[:, some].ravel(), SYMBOLS * len(used)).reshape(SYMBOLS, -1)
+                grads["weights"][:, PAD] = 0
                 step += 1
                 speed = rate * (1 - 0.9 * epoch / max(epochs - 1, 1))
                 for k in names:
@@ -126,15 +142,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def _sample(docs: DataFrame, labelled: DataFrame, max_rows: int, max_bytes: int) -> list[tuple[object, str]]:
     """(doc_id, label) of the first documents by the hash of doc_id, at most ``max_rows`` rows and ``max_bytes`` bytes of whole texts.
 
-    A text that would pass the bound is left out, whatever its length. At most max_rows rows of three short columns reach the driver.
+    Texts that alone pass the bound are left out. The sample ends before the first text that the rest of the bound does not hold, so that no other text
+    is passed over for its length. At most max_rows rows of three short columns reach the driver.
     """
     first = labelled.select("doc_id", F.col("label").cast("string").alias("label")).where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).where("size > 0").groupBy("doc_id").agg(F.sum("size").alias("size"))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).where("size > 0").groupBy("doc_id").agg(F.sum("size").alias("size")).where(F.col("size") <= max_bytes)
     chosen, room = [], max_bytes
     for r in sizes.join(F.broadcast(first), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect():
-        if r["size"] <= room:
-            chosen.append((r["doc_id"], r["label"]))
-            room -= r["size"]
+        if r["size"] > room:
+            break
+        chosen.append((r["doc_id"], r["label"]))
+        room -= r["size"]
     return chosen
 
 

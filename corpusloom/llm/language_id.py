@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytecnn import ByteCNN, softmax, training_windows, windows_of
+from .bytecnn import PAD, ByteCNN, softmax, training_windows, windows_of
 from .text import Texts, blocks, record_batch
 
 WINDOW = 512
@@ -56,7 +56,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, max_by
     some = np.flatnonzero(random.random(len(x)) < 0.5)
     short = x[some]
     for row, keep in zip(short, random.integers(16, WINDOW, len(short))):
-        row[keep:] = 0
+        row[keep:] = PAD
     net = ByteCNN(len(languages)).fit(np.concatenate([x, short]), np.concatenate([y, y[some]]), np.concatenate([weight, weight[some]]), epochs=4)
     return LanguageModel(net, languages)
 

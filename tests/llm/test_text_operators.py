@@ -453,7 +453,7 @@ def test_language_of_whole_texts(spark):
 
 def brute_logits(net, window):
     """One window's class scores by loops over filters, places and offsets."""
-    fold = [b if b < 128 else 1 + (b & 30) for b in window]
+    fold = list(window)
     hidden = []
     for f in range(len(net.bias)):
         width = bytecnn.WIDTHS[f // net.filters]
@@ -465,7 +465,7 @@ def brute_logits(net, window):
 def padded_windows(t, length, stride):
     b = (t or "").encode()
     for at in range(0, max(len(b) - (length - stride), 1), stride):
-        yield b[at : at + length] + bytes(length - len(b[at : at + length])), len(b[at : at + length])
+        yield b[at : at + length] + bytes([bytecnn.PAD]) * (length - len(b[at : at + length])), len(b[at : at + length])
 
 
 CNN_TEXTS = [None, "", " ", "é漢🙂", "a" * 511, "b" * 512, "c" * 513, "d e " * 200, "x", "x", "123 !!"]
@@ -502,11 +502,33 @@ def test_training_reads_whole_texts_of_a_bounded_sample(spark):
     docs = frame(spark, texts)
     labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, label int")
     x, y, weight, names = bytecnn.training_windows(docs, labels, 10, 5000, 512, 512)
-    assert names == ["0", "1"] and len(x) == 5 + 2 + 1 and (x > 0).sum() == 2100 + 600 + 4  # the text of 9000 bytes passes the bound
+    assert names == ["0", "1"] and len(x) == 5 + 2 + 1 and (x != bytecnn.PAD).sum() == 2100 + 600 + 4  # the text of 9000 bytes passes the bound
     assert weight[y == 0].sum() == pytest.approx(1) and weight[y == 1].sum() == pytest.approx(2)
     assert len(bytecnn.training_windows(docs, labels, 10, 50_000, 512, 512)[0]) == 8 + 18
 
 
+def test_scripts_of_one_byte_range_are_told_apart(spark):
+    """Cyrillic and Chinese languages whose letters differ in single bytes of the upper half."""
+    pick = np.random.default_rng(8)
+    letters = {"ru": "абвгдежзийклмноп", "uk": "рстуфхцчшщъыьэюя", "zh": "的一是不了人我在", "ja": "日本語文字東京大"}
+    texts, langs = [], []
+    for i in range(160):
+        langs.append(list(letters)[i % 4])
+        texts.append(" ".join("".join(pick.choice(list(letters[langs[-1]]), 5)) for _ in range(30)))
+    docs = frame(spark, texts, langs)
+    model = language_id.train(docs, docs.where("doc_id % 5 != 2").select("doc_id", F.col("lang").alias("label")))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert [got[i] for i in range(160) if i % 5 == 2] == [langs[i] for i in range(160) if i % 5 == 2]
+    labels = docs.where("doc_id % 5 != 2").select("doc_id", (F.col("lang") == "ru").cast("int").alias("label"))
+    scores = {r.doc_id: r.score for r in quality_cnn.score(docs, quality_cnn.train(docs, labels)).collect()}
+    assert all((scores[i] > 0.5) == (langs[i] == "ru") for i in range(160) if i % 5 == 2)
+
+
+def test_training_without_tables_is_the_same():
+    net, x = bytecnn.ByteCNN(3, filters=2, seed=5), np.random.default_rng(1).integers(0, 256, (7, 40)).astype(np.uint8)
+    assert np.allclose(net._direct(x), net._convolve(x, net._tables()), atol=1e-5)
+
+
 def test_models_without_training_rows(spark, odd, empty):
     nobody = spark.createDataFrame([], "doc_id long, label int")
     assert {r.lang_pred for r in language_id.identify(odd, language_id.train(odd, nobody)).collect()} == {"und"}
