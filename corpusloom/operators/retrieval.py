@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import token_truncate
+from corpusloom.sources.shared import stored
+
+#: Page ids that are sent to the pages; more are joined with them.
+PAGES_SENT = 200_000
 
 
 def candidate_limit(limit: Column, kb_count: Column, reranked: Column, asked: Column) -> Column:
@@ -106,9 +110,16 @@ def page_dedup(ranked: DataFrame, limit: int) -> DataFrame:
 
 
 def page_enrich(hits: DataFrame, pages: DataFrame) -> DataFrame:
-    """page_content: the texts of a hit's pages in their order, by (doc_id, page_id), else by page_id alone."""
+    """page_content: the texts of a hit's pages in their order, by (doc_id, page_id), else by page_id alone.
+
+    The page ids of the hits go to the pages before any text is gathered or moved, as long as there are not too many of them; beyond that they are joined with them.
+    """
+    hits = stored(hits, "hits")
     refs = hits.select("request_id", "chunk_id", "doc_id", F.posexplode("page_ids").alias("_k", "page_id"))
-    exact = pages.select("doc_id", "page_id", F.col("content").alias("_exact"))
+    wanted = refs.select("page_id").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= PAGES_SENT else wanted
+    pages = stored(pages.join(wanted, "page_id", "left_semi").select("doc_id", "page_id", "content"), "hit-pages")
+    exact = pages.withColumnRenamed("content", "_exact")
     alone = pages.groupBy("page_id").agg(F.min_by("content", "doc_id").alias("_alone"))
     found = refs.join(exact, ["doc_id", "page_id"], "left").join(alone, "page_id", "left").withColumn("_c", F.coalesce("_exact", "_alone"))
     texts = F.filter(F.array_sort(F.collect_list(F.struct("_k", "_c"))), lambda x: x["_c"].isNotNull())

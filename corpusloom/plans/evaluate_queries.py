@@ -156,16 +156,29 @@ def read_files(spark, sf_dir):
     return files.judge_files(rows, 2500).select("name", "reason")
 
 
-@query("delete_doc_vectors", "SELECT vec_id AS chunk_id, vec_id // 10 AS doc_id FROM embeddings WHERE vec_id // 10 % 3 <> 0")
+def _index(spark, sf_dir):
+    """The vectors as an index under the current, the previous and a foreign configuration."""
+    path = shared_folder(spark, "index")
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 10).alias("doc_id"), "embedding", F.col("label").alias("kb"))
+    for cfg in ("current", "previous", "other"):
+        files.write_index(points.repartitionByRange(8, "doc_id").withColumn("cfg", F.lit(cfg)), path)
+    return path
+
+
+@query("delete_doc_vectors", "SELECT c.cfg, vec_id AS chunk_id, vec_id // 10 AS doc_id FROM embeddings CROSS JOIN (VALUES ('current'), ('previous'), ('other')) AS c(cfg) WHERE cfg = 'other' OR vec_id // 10 % 3 <> 0")
 def delete_doc_vectors(spark, sf_dir):
-    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 10).alias("doc_id"))
-    return files.without_keys(points, points.where("doc_id % 3 = 0"), ["doc_id"])
+    """Documents leave the index under the current configuration and the one before it; files without a point of theirs stay."""
+    path = _index(spark, sf_dir)
+    gone = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("doc_id")).where("doc_id % 3 = 0")
+    files.delete_points(spark, path, gone, ["doc_id"], ["current", "previous"])
+    return spark.read.parquet(path).select("cfg", "chunk_id", "doc_id")
 
 
-@query("wipe_kb", "SELECT vec_id AS chunk_id, label AS kb_id FROM embeddings WHERE label <> 3")
+@query("wipe_kb", "SELECT c.cfg, vec_id AS chunk_id, label AS kb_id FROM embeddings CROSS JOIN (VALUES ('current'), ('previous'), ('other')) AS c(cfg) WHERE cfg = 'other' OR label <> 3")
 def wipe_kb(spark, sf_dir):
-    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("kb_id"))
-    return files.without_keys(points, points.where("kb_id = 3"), ["kb_id"])
+    path = _index(spark, sf_dir)
+    files.delete_points(spark, path, spark.range(3, 4).select(F.col("id").cast("int").alias("kb")), ["kb"], ["current", "previous"])
+    return spark.read.parquet(path).select("cfg", "chunk_id", F.col("kb").cast("int").alias("kb_id"))
 
 
 @query("stream_session_expiry", """WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -434,3 +434,44 @@ def test_query_sets_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(sweep, "PASSAGE_CHARS", 50)
     assert rows(vectors.sparse_topk_scan(chunks, one, 3)) == want and rows(vectors.sparse_topk_scan(chunks, questions, 3, group="config")) == grouped
     assert set(rows(sweep.gold_documents(docs, cases))) == gold
+
+
+def _index_files(path):
+    return {str(f.relative_to(path)) for f in path.rglob("*.parquet") if "_rewrites" not in str(f)}
+
+
+def test_points_leave_only_their_files(spark, tmp_path, monkeypatch):
+    """Untouched files keep their names, a second call changes nothing, and a call that was stopped is finished or has changed nothing."""
+    points = spark.range(200).selectExpr("id as chunk_id", "cast(id div 10 as string) as doc_id", "id % 2 as kb", "'now' as cfg")
+    path = tmp_path / "my index"
+    for cfg in ("now", "before", "other"):
+        files.write_index(points.repartitionByRange(4, "chunk_id").withColumn("cfg", F.lit(cfg)), str(path))
+    old = _index_files(path)
+    gone = spark.createDataFrame([("3",), ("3",), (None,), ("no such",)], "doc_id string")
+    rows = lambda: sorted((r.cfg, r.chunk_id) for r in spark.read.parquet(str(path)).collect())
+    want = sorted((cfg, k) for cfg in ("now", "before", "other") for k in range(200) if cfg == "other" or k // 10 != 3)
+    finish, calls = files._finish_rewrite, []
+    monkeypatch.setattr(files, "_finish_rewrite", lambda *a: calls.append(a))  # stopped before a file is replaced
+    assert files.delete_points(spark, str(path), gone, ["doc_id"], ["now", "before"]) == 4
+    assert _index_files(path) == old and len(rows()) == 600
+    monkeypatch.setattr(files, "_finish_rewrite", finish)
+    assert files.delete_points(spark, str(path), gone, ["doc_id"], ["now", "before"]) == 0  # the stopped call is finished first
+    new = _index_files(path)
+    assert rows() == want and len(old - new) == 4 and all(name.split("cfg=")[1].split("/")[0] in ("now", "before") for name in old - new)
+    assert files.delete_points(spark, str(path), gone, ["doc_id"], ["now", "before"]) == 0 and _index_files(path) == new
+    assert files.delete_points(spark, str(path), spark.createDataFrame([(1,)], "kb int"), ["kb"], ["now"]) > 0
+    assert rows() == [r for r in want if r[0] != "now" or r[1] % 2 == 0]
+    (path / "_rewrites" / "half").mkdir(parents=True)  # stopped before its list was written
+    assert files.delete_points(spark, str(path), gone, ["doc_id"], ["now"]) == 0 and not (path / "_rewrites" / "half").exists()
+
+
+def test_enriched_pages_are_filtered_first(spark):
+    """Texts of pages that no hit names are neither gathered nor moved: the filter stands under the aggregate of the pages' elements."""
+    rows = [(str(d), f"p{k}", k, f"text {d} {k}", False) for d in range(30) for k in range(20)]
+    pages = parse.page_text(spark.createDataFrame(rows, "doc_id string, page_id string, order int, content string, ignored boolean")).withColumnRenamed("text", "content")
+    hits = spark.createDataFrame([(1, "c1", "4", ["p3", "p5"]), (1, "c2", "99", ["p7"]), (2, "c1", "4", ["p5"]), (2, "c3", "4", [])], "request_id int, chunk_id string, doc_id string, page_ids array<string>")
+    got = {(r.request_id, r.chunk_id): r.page_content for r in retrieval.page_enrich(hits, pages).collect()}
+    assert got == {(1, "c1"): "text 4 3\n\ntext 4 5", (1, "c2"): "text 0 7", (2, "c1"): "text 4 5", (2, "c3"): None}
+    wanted = F.broadcast(hits.select(F.explode("page_ids").alias("page_id")).distinct())
+    plan = pages.join(wanted, "page_id", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
