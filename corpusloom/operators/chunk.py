@@ -5,12 +5,10 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.ordered import ordered_fold
 from corpusloom.functions.split import recursive_split, split_keeping_images
 from corpusloom.functions.tokens import token_count, token_truncate
 
@@ -58,43 +56,50 @@ def breadcrumb(elements: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
     return rows.select("doc_id", "element_id", "order", "type", F.col("level").cast("int").alias("level"), "page_id", "breadcrumb", content.alias("raw_text"), text.alias("text"))
 
 
-_MERGED = "doc_id string, block int, text string, type string, breadcrumb array<string>, element_ids array<string>, orders array<int>, types array<string>, page_ids array<string>"
+#: What Python and Unicode count as white space at the ends of a text.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def merge_micro(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Neighbouring small blocks of one kind run together.
 
     Both must be list items, lists, captions or footnotes with equal breadcrumb and level; the left one must end on the page the right one
-    starts on, and the merged text must not pass ``merge_max_chars``.
+    starts on, and the merged text must not pass ``merge_max_chars``. Neighbours that can never merge cut a document into runs; a run is
+    folded once, for pages and sizes. One shuffle by document serves all of it.
     """
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        kind = level = page = crumbs = None
-        size = 0
-        for ident, order, type_, lev, page_id, crumb, raw, text in zip(*(rows[c].tolist() for c in ("element_id", "order", "type", "level", "page_id", "breadcrumb", "raw_text", "text"))):
-            lev, crumb = None if pd.isna(lev) else int(lev), list(crumb)
-            fits = kind in MERGEABLE and type_ in MERGEABLE and crumbs == crumb and level == lev and (not page or not page_id or page == page_id) and size + 1 + len(raw) <= config.merge_max_chars
-            if fits:
-                last = out[-1]
-                last[0] = last[0].rstrip() + "\n" + raw.strip()
-                last[1] = "merged"
-                for values, value in zip(last[3:6], (ident, order, type_)):
-                    values.append(value)
-                if page_id and page_id not in last[6]:
-                    last[6].append(page_id)
-                page = page_id or page
-            else:
-                out.append([text, type_, crumb, [ident], [order], [type_], [page_id] if page_id else []])
-                kind, level, crumbs, page = type_, lev, crumb, page_id
-            size = len(out[-1][0])
-        found = pd.DataFrame(out, columns=["text", "type", "breadcrumb", "element_ids", "orders", "types", "page_ids"])
-        found.insert(0, "block", np.arange(len(found), dtype=np.int32))
-        found.insert(0, "doc_id", rows["doc_id"].iloc[0])
-        return found
-
-    rows = blocks.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("order", F.col("order").cast("int"))
-    return ordered_fold(rows, "doc_id", "order", step, _MERGED)
+    space = F.lit(SPACE)
+    by_doc = Window.partitionBy("doc_id").orderBy("order")
+    small = F.col("type").isin(*MERGEABLE)
+    like_before = small & F.lag(small).over(by_doc) & (F.col("breadcrumb") == F.lag("breadcrumb").over(by_doc)) & F.col("level").eqNullSafe(F.lag("level").over(by_doc))
+    stripped = F.rtrim(F.ltrim("raw_text", space), space)
+    rows = blocks.withColumns({"doc_id": F.col("doc_id").cast("string"), "order": F.col("order").cast("int")})
+    rows = rows.withColumn("_new", (~F.coalesce(like_before, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(by_doc))
+    member = F.struct("order", "element_id", "type", F.nullif("page_id", F.lit("")).alias("page"), "text", stripped.alias("strip"), F.rtrim("text", space).alias("rstrip"), F.length("raw_text").alias("raw"))
+    runs = rows.groupBy("doc_id", "_run").agg(F.first("breadcrumb").alias("breadcrumb"), F.array_sort(F.collect_list(member)).alias("_m"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = (s["rows"] > 0) & (s["page"].isNull() | x["page"].isNull() | (s["page"] == x["page"])) & (s["size"] + 1 + x["raw"] <= config.merge_max_chars)
+        grown = s["bare"] + 1 + F.length(x["strip"])
+        merged = F.struct(grown.alias("size"), F.when(x["strip"] == "", s["bare"]).otherwise(grown).alias("bare"), F.coalesce(x["page"], s["page"]).alias("page"), (s["rows"] + 1).alias("rows"), s["done"].alias("done"))
+        done = F.when(s["rows"] > 0, F.concat(s["done"], F.array(s["rows"]))).otherwise(s["done"])
+        return F.when(fits, merged).otherwise(F.struct(F.length(x["text"]).alias("size"), F.length(x["rstrip"]).alias("bare"), x["page"].alias("page"), F.lit(1).alias("rows"), done.alias("done")))
+
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("bare"), F.lit(None).cast("string").alias("page"), F.lit(0).alias("rows"), F.array().cast("array<int>").alias("done"))
+    lengths = F.when(F.size("_m") == 1, F.array(F.lit(1))).otherwise(F.aggregate("_m", start, step, lambda s: F.concat(s["done"], F.array(s["rows"]))))
+    runs = runs.withColumn("_n", lengths)
+    ends = F.transform("_n", lambda n, k: F.aggregate(F.slice("_n", 1, k + 1), F.lit(0), lambda t, x: t + x))
+    groups = F.transform(F.arrays_zip(F.col("_n").alias("n"), ends.alias("end")), lambda g: F.slice("_m", g["end"] - g["n"] + 1, g["n"]))
+    found = runs.select("doc_id", "_run", "breadcrumb", F.posexplode(F.when(F.size("_n") == 1, F.array("_m")).otherwise(groups)).alias("_g", "_m"))
+    first = F.col("_m")[0]
+    later = F.transform(F.slice("_m", F.lit(2), F.size("_m") - 1), lambda x: x["strip"])
+    joined = F.concat(F.array_join(F.concat(F.array(first["rstrip"]), F.filter(later, lambda x: x != "")), "\n"), F.when(F.element_at(later, -1) == "", "\n").otherwise(""))
+    several = F.size("_m") > 1
+    pages = F.array_distinct(F.filter(F.transform("_m", lambda x: x["page"]), lambda p: p.isNotNull()))
+    block = F.row_number().over(Window.partitionBy("doc_id").orderBy("_run", "_g")) - 1
+    return found.select(
+        "doc_id", block.alias("block"), F.when(several, joined).otherwise(first["text"]).alias("text"), F.when(several, "merged").otherwise(first["type"]).alias("type"), "breadcrumb",
+        F.transform("_m", lambda x: x["element_id"]).alias("element_ids"), F.transform("_m", lambda x: x["order"]).alias("orders"), F.transform("_m", lambda x: x["type"]).alias("types"), pages.alias("page_ids"),
+    )
 
 
 def summary_prefix(docs: DataFrame, config: ChunkConfig = ChunkConfig(), tokens: bool = False) -> DataFrame:

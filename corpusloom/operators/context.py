@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ordered import ordered_fold
+from corpusloom.functions.packing import greedy_groups
 from corpusloom.functions.split import PLAIN_SEPARATORS, estimate_tokens, split_text
 
 # Fixed values
@@ -72,17 +73,8 @@ def token_batches(hits: DataFrame, max_tokens: int = MAX_BATCH_TOKENS, max_chunk
     hits: request_id, position, n_tokens.
     """
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        batch, filled, out = 0, 0, []
-        for k, n in enumerate(rows["n_tokens"]):
-            if k and filled and filled + n > max_tokens:
-                batch, filled = batch + 1, 0
-            filled += n
-            out.append(batch)
-        return pd.DataFrame({"request_id": rows["request_id"], "position": rows["position"], "batch": out}).astype({"position": "int32", "batch": "int32"})
-
     rows = hits.where(F.col("position") <= max_chunks).select(F.col("request_id").cast("string").alias("request_id"), F.col("position").cast("int").alias("position"), F.col("n_tokens").cast("long").alias("n_tokens"))
-    return ordered_fold(rows, "request_id", "position", step, "request_id string, position int, batch int")
+    return greedy_groups(rows, "request_id", "position", "n_tokens", max_tokens, "batch").withColumn("batch", F.col("batch") - 1)
 
 
 def compress_plan(batches: DataFrame) -> DataFrame:

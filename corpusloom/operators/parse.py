@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.ordered import ordered_fold
+from corpusloom.functions.packing import greedy_groups
 
 ELEMENTS = "doc_id string, element_id string, order int, type string, format string, content string, level int, ignored boolean"
 MAX_PAGE_CHARS = 2000
@@ -380,34 +380,16 @@ def ensure_elements(docs: DataFrame, elements: DataFrame) -> DataFrame:
     return elements.select(names).unionByName(parse_markdown(md, "markdown")).unionByName(parse_html(page)).unionByName(parse_plain_text(text))
 
 
-def _page_numbers(lengths: list[int], max_page_chars: int) -> list[int]:
-    page, filled, pages = 1, 0, []
-    for n in lengths:
-        if filled and filled + n > max_page_chars:
-            page, filled = page + 1, 0
-        filled += n
-        pages.append(page)
-    return pages
-
-
 def assign_pages(elements: DataFrame, max_page_chars: int = MAX_PAGE_CHARS) -> DataFrame:
     """doc_id, order and page_no: a new page starts when the next element would overfill a page that has text."""
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": rows["doc_id"], "order": rows["order"], "page_no": _page_numbers(rows["n"].tolist(), max_page_chars)}).astype({"order": "int32", "page_no": "int32"})
-
     rows = elements.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("order").cast("int").alias("order"), F.length("content").alias("n"))
-    return ordered_fold(rows, "doc_id", "order", step, "doc_id string, order int, page_no int")
+    return greedy_groups(rows, "doc_id", "order", "n", max_page_chars, "page_no")
 
 
 def with_pages(elements: DataFrame, max_page_chars: int = MAX_PAGE_CHARS) -> DataFrame:
-    """``elements`` with page_no and page_id, numbered in one pass over the sorted elements, without a join back to their texts."""
-    schema = elements.withColumns({"doc_id": F.col("doc_id").cast("string"), "page_no": F.lit(0)}).schema
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(page_no=_page_numbers(rows["content"].str.len().tolist(), max_page_chars)).astype({"page_no": "int32"})
-
-    paged = ordered_fold(elements.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "order", step, schema)
+    """``elements`` with page_no and page_id. Sizes alone are gathered by document; texts meet their page in a join by element."""
+    pages = assign_pages(elements, max_page_chars)
+    paged = elements.withColumns({"doc_id": F.col("doc_id").cast("string"), "order": F.col("order").cast("int")}).join(pages, ["doc_id", "order"]).select(*elements.columns, "page_no")
     return paged.withColumn("page_id", F.concat("doc_id", F.lit("_page_"), F.col("page_no").cast("string")))
 
 

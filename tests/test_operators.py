@@ -475,3 +475,57 @@ def test_enriched_pages_are_filtered_first(spark):
     wanted = F.broadcast(hits.select(F.explode("page_ids").alias("page_id")).distinct())
     plan = pages.join(wanted, "page_id", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize("folded_rows", [50_000, 0, 12])
+def test_greedy_groups(spark, folded_rows):
+    """Folded arrays and pointer doubling give what a loop gives: empty rows, rows over the limit, a key that holds most rows, repeated sizes, a null key."""
+    from corpusloom.functions.packing import greedy_groups
+
+    pick = random.Random(6)
+    sizes = {"hot": [pick.choice([0, 0, 1, 3, 7, 9, 10, 11, 40]) for _ in range(400)], "zeros": [0] * 15, "large": [50, 60, 0, 0, 70], "lead": [0, 0, 11, 0, 12, 1], "one": [5], None: [9, 1, 1], "even": [5] * 21}
+    for k in range(20):
+        sizes[f"d{k}"] = [pick.randrange(0, 12) for _ in range(pick.randrange(1, 40))]
+    want = set()
+    for key, row in sizes.items():
+        group, filled = 1, 0
+        for at, n in enumerate(row):
+            if filled and filled + n > 10:
+                group, filled = group + 1, 0
+            filled += n
+            want.add((key, at * 3, group))
+    rows = spark.createDataFrame([(key, at * 3, n) for key, row in sizes.items() for at, n in enumerate(row)], "doc string, at int, n int").repartition(5)
+    got = greedy_groups(rows, "doc", "at", "n", 10, "page", folded_rows)
+    assert got.count() == len(want) and set(map(tuple, got.collect())) == want
+    assert greedy_groups(rows.limit(0), "doc", "at", "n", 10, "page", folded_rows).count() == 0
+
+
+def test_merging_by_plain_loops(spark):
+    """Runs of small blocks against the rules one after the other: pages that are missing, white space of all kinds at the ends, limits met exactly."""
+    pick = random.Random(12)
+    rows, want = [], []
+    for doc in range(60):
+        at = 0
+        for _ in range(pick.randrange(1, 25)):
+            at += pick.randrange(1, 3)
+            raw = pick.choice(["", " ", "\n", "\u3000"]) + pick.choice(["a", "bb", "c" * 20, "d" * 7, ""]) + pick.choice(["", "", "\t", "\x1c"])
+            crumb = pick.choice([["h"], ["h"], ["h"], []])
+            rows.append((str(doc), f"e{at}", at, pick.choice(["list_item", "list_item", "caption", "paragraph"]), pick.choice([None, None, None, 1]), pick.choice([None, "", "p1", "p1", "p1", "p2"]), crumb, raw, ": ".join([*crumb, raw])))
+    for doc in {r[0] for r in rows}:
+        out, first, page = [], None, None
+        for _, ident, order, kind, level, page_id, crumb, raw, text in sorted((r for r in rows if r[0] == doc), key=lambda r: r[2]):
+            small = ("list", "list_item", "caption", "footnote")
+            if out and first[0] in small and kind in small and first[1:] == (crumb, level) and (not page or not page_id or page == page_id) and len(out[-1][0]) + 1 + len(raw) <= 30:
+                out[-1][0] = out[-1][0].rstrip() + "\n" + raw.strip()
+                out[-1][1] = "merged"
+                out[-1][3].append(ident)
+                out[-1][4] += [page_id] if page_id and page_id not in out[-1][4] else []
+                page = page_id or page
+            else:
+                out.append([text, kind, crumb, [ident], [page_id] if page_id else []])
+                first, page = (kind, crumb, level), page_id
+        want += [(doc, k, *x) for k, x in enumerate(out)]
+    blocks = spark.createDataFrame(rows, "doc_id string, element_id string, order int, type string, level int, page_id string, breadcrumb array<string>, raw_text string, text string").repartition(4)
+    got = chunk.merge_micro(blocks, chunk.ChunkConfig(merge_max_chars=30))
+    assert sorted((r.doc_id, r.block, r.text, r.type, r.breadcrumb, r.element_ids, r.page_ids) for r in got.collect()) == sorted(want)
+    assert any(x[3] == "merged" for x in want)
