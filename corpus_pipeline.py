@@ -4,15 +4,15 @@ Each stage reads what the one before kept. All but the last return the columns o
 Extra columns pass through under any name. ``STAGES`` names the stages in their order.
 
 Odd rows: a row without doc_id cannot be told from others in any later stage or packed piece, so the first stage drops it. Of rows
-that share a doc_id the first stage judges each by its own text and language, and the second keeps one, whichever it meets first among those
-whose fingerprint stays. Null and empty texts fail the counting rules. Ties between near-duplicates go to the least doc_id. A table without ``n_chars``
+that share a doc_id the first stage judges each by its own text and language, and the second keeps the first by the MD5 of its text, then by all its columns,
+if the group's document is theirs. Null and empty texts fail the counting rules. Ties between near-duplicates go to the least doc_id. A table without ``n_chars``
 gets none. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, packing, quality_rules, secret_scan, simhash
@@ -35,13 +35,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least doc_id; of its repeated rows one stays."""
+    """One document of each group of near-duplicates stays, that with the least doc_id; of its repeated rows the first by text hash and columns."""
     found = materialize(simhash.near_duplicates(docs), "near-duplicates")
     by_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
     by_id = materialize(by_id.where("doc_id != component_id or rows > 1"), "near-duplicate-ids")
     once = _only(docs, by_id, "left_anti")
     repeated = _only(docs, by_id.where("doc_id = component_id"))
-    return once.unionByName(repeated.dropDuplicates(["doc_id"]))
+    place = "row_of_doc_id"
+    while place in {c.lower() for c in docs.columns}:
+        place += "_"
+    order = F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.to_json(F.struct(*(F.col(f"`{c}`").alias(str(k)) for k, c in enumerate(docs.columns))))
+    first = repeated.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col(place) == 1).drop(place)
+    return once.unionByName(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
