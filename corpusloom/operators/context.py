@@ -156,30 +156,30 @@ def first_sentence(text: str) -> str:
     return text.split(". ")[0][:200]
 
 
-def reduce_texts(texts: list[str], budget: int, summarise: Callable[[str], str], max_depth: int) -> tuple[str | None, int]:
-    """The summary of one document's texts and the level it was reached at; None if a level does not shrink or ``max_depth`` is passed."""
+def reduce_texts(texts: list[str], budget: int, summarise: Callable[[str], str], max_depth: int) -> tuple[str | None, int, str | None]:
+    """The summary of one document's texts, the level it was reached at, and an error in place of a summary if a level does not shrink or ``max_depth`` is passed."""
     for depth in range(max_depth):
         blocks = repack_texts(texts, budget)
         texts = [summarise(b) for b in blocks]
         if len(blocks) == 1:
-            return texts[0], depth
+            return texts[0], depth, None
         if sum(map(len, texts)) >= sum(map(len, blocks)):
-            return None, depth
-    return None, max_depth
+            return None, depth, "summaries do not shrink"
+    return None, max_depth, "too many levels"
 
 
 def tree_reduce(texts: DataFrame, budget: int, summarise: Callable[[str], str] = first_sentence, max_depth: int = 20) -> DataFrame:
-    """(doc_id, summary, depth): blocks of every document summarised level by level until one is left.
+    """(doc_id, summary, depth, error): blocks of every document summarised level by level until one is left.
 
     All levels of a document run where its texts are: one shuffle and one sort for any depth.
     """
 
     def step(rows: pd.DataFrame) -> pd.DataFrame:
-        summary, depth = reduce_texts(rows["content"].tolist(), budget, summarise, max_depth)
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "summary": [summary], "depth": [depth]}).astype({"depth": "int32"})
+        summary, depth, error = reduce_texts(rows["content"].tolist(), budget, summarise, max_depth)
+        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "summary": [summary], "depth": [depth], "error": [error]}).astype({"depth": "int32"})
 
     rows = texts.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("order").cast("int").alias("order"), "content")
-    return ordered_fold(rows, "doc_id", "order", step, "doc_id string, summary string, depth int")
+    return ordered_fold(rows, "doc_id", "order", step, "doc_id string, summary string, depth int, error string")
 
 
 def session_gate(attachments: DataFrame) -> DataFrame:

@@ -274,12 +274,24 @@ def chunk_stats(spark, sf_dir):
     return chunk.chunk_stats(_simple_chunks(spark, sf_dir), ["doc_id"])
 
 
-@query("token_count", """SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 WHEN lang = 'ko' THEN floor(h * 1.5 + (length(text) - h) * 0.25) ELSE greatest(1, floor(length(text) * 0.25)) END AS INT) AS n_tokens
-FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'ko' ELSE 'en' END AS lang, length(text) - length(regexp_replace(text, '[가-힣]', '', 'g')) AS h FROM documents)""")
+#: Every second document is Korean, its vowels being Hangul syllables.
+MIXED = "mixed AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(text, 'aeiou', '가나다라힣') ELSE text END AS text, CASE WHEN doc_id % 2 = 0 THEN 'ko' ELSE 'en' END AS lang FROM documents)"
+
+
+def _mixed(spark, sf_dir):
+    korean = F.col("doc_id") % 2 == 0
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(korean, F.translate("text", "aeiou", "가나다라힣")).otherwise(F.col("text")).alias("text"), F.when(korean, "ko").otherwise("en").alias("lang"))
+
+
+@query("token_count", f"""WITH {MIXED} SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 WHEN lang = 'ko' THEN floor(h * 1.5 + (length(text) - h) * 0.25) ELSE greatest(1, floor(length(text) * 0.25)) END AS INT) AS n_tokens
+FROM (SELECT *, length(text) - length(regexp_replace(text, '[가-힣]', '', 'g')) AS h FROM mixed)""")
 def token_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tokens.token_count(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "ko").otherwise("en")).alias("n_tokens"))
+    return _mixed(spark, sf_dir).select("doc_id", tokens.token_count(F.col("text"), F.col("lang")).alias("n_tokens"))
 
 
-@query("token_truncate", "SELECT doc_id, substr(text, 1, 80) AS text FROM documents")
+@query("token_truncate", f"""WITH {MIXED}, c AS (SELECT doc_id, unnest(string_split(left(text, 80), '')) AS c, generate_subscripts(string_split(left(text, 80), ''), 1) AS k FROM mixed),
+costs AS (SELECT doc_id, k, sum(CASE WHEN regexp_matches(c, '[가-힣]') THEN 1.5 ELSE 0.25 END) OVER (PARTITION BY doc_id ORDER BY k) AS cost FROM c), n AS (SELECT doc_id, max(k) FILTER (cost <= 20) AS n FROM costs GROUP BY doc_id)
+SELECT doc_id, CASE WHEN lang = 'ko' THEN left(text, coalesce(n, 0)) ELSE left(text, 80) END AS text FROM mixed LEFT JOIN n USING (doc_id)""")
 def token_truncate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tokens.token_truncate(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "ko").otherwise("en"), 20).alias("text"))
+    return _mixed(spark, sf_dir).select("doc_id", tokens.token_truncate(F.col("text"), F.col("lang"), 20).alias("text"))
+

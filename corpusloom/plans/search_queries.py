@@ -371,14 +371,17 @@ def repack(spark, sf_dir):
     return context.repack(lines(spark, sf_dir), 200)
 
 
-def _opening(block):
-    return block.split("\n\n")[0][:100].strip()
+def _outermost(block):
+    """The first and the last word of a block by code points: those of several blocks' summaries are those of the blocks."""
+    words = block.split()
+    return f"{min(words)} {max(words)}"
 
 
-@query("tree_reduce", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, trim(left(content, 100)) AS summary FROM lines_ WHERE ord = 0")
+@query("tree_reduce", f"""WITH {LINES}, w AS (SELECT doc_id, unnest(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS word FROM lines_)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, min(word) || ' ' || max(word) AS summary, NULL AS error FROM w GROUP BY doc_id""")
 def tree_reduce(spark, sf_dir):
-    """Every level keeps the opening of each block, so that the root is the document's own opening."""
-    return context.tree_reduce(lines(spark, sf_dir), 200, _opening).select("doc_id", "summary")
+    """The root depends on every block of every level."""
+    return context.tree_reduce(lines(spark, sf_dir), 200, _outermost).select("doc_id", "summary", "error")
 
 
 @query("session_gate", """WITH a AS (SELECT conv_id AS thread_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'PENDING' WHEN (conv_id + turn) % 3 = 0 OR conv_id % 11 = 3 THEN 'FAILED' ELSE 'COMPLETED' END AS status, 'f' || turn AS filename FROM conversations),

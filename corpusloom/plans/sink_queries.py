@@ -91,20 +91,23 @@ def stream_ingest(spark, sf_dir):
 
 @query("stream_synonyms", r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\bthe\b', 'the (la)', 'gi'), '\bof\b', 'of (de)', 'gi') AS expanded FROM conversations WHERE role = 'user'")
 def stream_synonyms(spark, sf_dir):
-    """The stream of all user turns, expanded with a dictionary that each micro-batch reads anew."""
+    """The stream of all user turns, expanded with the newest version of a dictionary table that has an older and an empty one."""
+    path = shared_folder(spark, "dictionary")
+    for version, entries in enumerate(([("the", ["old"]), ("and", ["older"])], [], [("the", ["la"]), ("of", ["de"])])):
+        jobs.write_dictionary(spark, path, version, entries)
     turns = _stream(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
     output = shared_folder(spark, "stream-synonyms")
-    jobs.stream_synonyms(turns, lambda _: [("the", ["la"]), ("of", ["de"])], output, shared_folder(spark, "stream-state")).awaitTermination()
+    jobs.stream_synonyms(turns, path, output, shared_folder(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(output).select("conv_id", "turn", "expanded")
 
 
-@query("tokenizer_udf", "SELECT doc_id, len(string_split(text, ' ')) AS n_tokens FROM documents")
+@query("tokenizer_udf", "SELECT doc_id, array_to_string(string_split(text, ' '), '|') AS tokens FROM documents")
 def tokenizer_udf(spark, sf_dir):
     @F.pandas_udf("array<string>")
     def tokenizer(texts):
         return texts.map(lambda t: t.split(" "))
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokenizer("text")).cast("long").alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokenizer("text"), "|").alias("tokens"))
 
 
 @query("term_id_udf", f"WITH {CHUNKS}, t AS (SELECT DISTINCT unnest(tokens) AS term FROM queries) SELECT term, length(term) AS term_id FROM t")
@@ -154,7 +157,9 @@ def embed_udf(spark, sf_dir):
     return vectors.embed_chunks(_line_chunks(spark, sf_dir).select("chunk_id", F.col("content").alias("page_content")), embed).select("chunk_id", F.col("embedding")[0].cast("double").alias("first"))
 
 
-@query("evaluator_udf", "SELECT conv_id * 100 + turn AS case_id, 'answer_ratio' AS name, 0.5::DOUBLE AS score FROM conversations UNION ALL SELECT conv_id * 100 + turn, 'n_contexts', 1 FROM conversations")
+@query("evaluator_udf", """SELECT conv_id * 100 + turn AS case_id, 'answer_ratio' AS name, length(text)::DOUBLE / greatest(length(role || left(text, 50)), 1) AS score FROM conversations
+UNION ALL SELECT conv_id * 100 + turn, 'n_contexts', len(string_split(text, '. ')) FROM conversations""")
 def evaluator_udf(spark, sf_dir):
-    cases = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("case_id"), F.col("role").alias("answer"), F.array("text").alias("contexts"), F.concat("role", "role").alias("ground_truth"))
+    truth = F.concat("role", F.substring("text", 1, 50))
+    cases = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("case_id"), F.col("text").alias("answer"), F.split("text", r"\. ", -1).alias("contexts"), truth.alias("ground_truth"))
     return evaluate.evaluate_cases(cases, evaluate.length_metrics)

@@ -181,10 +181,23 @@ def stream_ingest(files: DataFrame, stages: list[Stage], root: str, checkpoint:
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def stream_synonyms(queries: DataFrame, dictionary: Callable[[SparkSession], list[tuple[str, list[str]]]], output: str, checkpoint: str) -> StreamingQuery:
-    """Queries expanded with the dictionary as it is when their micro-batch runs."""
+def write_dictionary(spark: SparkSession, path: str, version: int, entries: list[tuple[str, list[str]]]) -> None:
+    """A version of a synonym dictionary: its entries in their order. One without entries has a row that says so."""
+    rows = [(version, k, keyword, synonyms) for k, (keyword, synonyms) in enumerate(entries)] or [(version, None, None, None)]
+    spark.createDataFrame(rows, "version long, place int, keyword string, synonyms array<string>").coalesce(1).write.mode("append").parquet(path)
+
+
+def newest_dictionary(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """The entries of the newest version; a curated list, which is sent to every task."""
+    rows = spark.read.schema("version long, place int, keyword string, synonyms array<string>").parquet(path)
+    last = rows.agg(F.max("version")).first()[0]
+    return [(r.keyword, list(r.synonyms)) for r in rows.where((F.col("version") == last) & F.col("keyword").isNotNull()).orderBy("place").collect()]
+
+
+def stream_synonyms(queries: DataFrame, dictionary: str, output: str, checkpoint: str) -> StreamingQuery:
+    """Queries expanded with the version of the dictionary table that is the newest when their micro-batch runs."""
 
     def write(batch: DataFrame, number: int) -> None:
-        synonym_expand(batch, dictionary(batch.sparkSession)).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        synonym_expand(batch, newest_dictionary(batch.sparkSession, dictionary)).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return queries.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

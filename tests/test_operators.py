@@ -196,6 +196,8 @@ def test_split_text_rules():
     image = "![x](http://h/" + "y" * 40 + ".png)"
     parts = split.split_keeping_images(f"before {image} after", 20, 0)
     assert parts == ["before", image, "after"]
+    assert split.split_keeping_images("see ![a](http://h/x(1).png) end", 450, 0) == ["see", "![a](http://h/x(1)", ".png) end"]  # the target ends at the first closing bracket
+    assert split.split_keeping_images("see ![b]( c.png ) end", 450, 0) == ["see ![b]( c.png ) end"]  # no image: a target has no white space
     words = " ".join(f"w{i}" for i in range(100))
     cut = split.split_text(words, 50, 20)
     assert all(len(c) <= 50 for c in cut) and {w for c in cut for w in c.split()} == set(words.split())
@@ -347,7 +349,9 @@ def test_tree_reduce(spark):
     texts = spark.createDataFrame(long, "doc_id long, order int, content string")
     got = {r.doc_id: r for r in context.tree_reduce(texts, 60, lambda t: t[:20]).collect()}
     assert got["2"].summary == "short one. two" and got["1"].summary and got["1"].depth >= 1
-    assert {r.summary for r in context.tree_reduce(texts.where("doc_id = 1"), 60, lambda t: t + t).collect()} == {None}
+    assert {(r.summary, r.depth, r.error) for r in context.tree_reduce(texts.where("doc_id = 1"), 60, lambda t: t + t).collect()} == {(None, 0, "summaries do not shrink")}
+    assert {(r.summary, r.depth, r.error) for r in context.tree_reduce(texts.where("doc_id = 1"), 60, lambda t: t[:-1], max_depth=1).collect()} == {(None, 1, "too many levels")}
+    assert {r.error for r in got.values()} == {None}
 
 
 def test_compress_fallbacks(spark):

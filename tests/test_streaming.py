@@ -111,8 +111,13 @@ def test_ingest_ledger(spark, tmp_path):
 
 
 def test_synonym_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("old key",)], "query string")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    jobs.stream_synonyms(source, lambda s: [("key", ["word"])], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert [r.expanded for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["old key (word)"]
+    """A version that is written in mid-stream counts from the next batch on; an empty one expands nothing."""
+    path, words = str(tmp_path / "in"), str(tmp_path / "words")
+    expanded = []
+    for version, entries in ((3, [("key", ["word"])]), (1, [("key", ["stale"])]), (4, []), (10, [("old", ["aged"]), ("key", ["note", "tone"])])):
+        jobs.write_dictionary(spark, words, version, entries)
+        spark.createDataFrame([("old key",)], "query string").coalesce(1).write.mode("append").parquet(path)
+        source = spark.readStream.schema("query string").parquet(path)
+        jobs.stream_synonyms(source, words, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        expanded.append({r.batch: r.expanded for r in spark.read.parquet(str(tmp_path / "out")).collect()})
+    assert expanded[-1] == {0: "old key (word)", 1: "old key (word)", 2: "old key", 3: "old (aged) key (note, tone)"}
