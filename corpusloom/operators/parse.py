@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.packing import greedy_groups
+from corpusloom.functions.ranking import last_upto
 
 ELEMENTS = "doc_id string, element_id string, order int, type string, format string, content string, level int, ignored boolean"
 MAX_PAGE_CHARS = 2000
@@ -396,12 +397,12 @@ def with_pages(elements: DataFrame, max_page_chars: int = MAX_PAGE_CHARS) -> Dat
 def _open_headings(elements: DataFrame, value: Column) -> tuple[DataFrame, list[Column]]:
     """For each level 1 to 6 the heading that is open at a row (null if none), as struct(order, value).
 
-    The last heading of a level is open unless one of a smaller level came after it.
+    The last heading of a level is open unless one of a smaller level came after it. A document of any length is handled: what is open where a range of its elements
+    begins is carried in.
     """
-    upto = Window.partitionBy("doc_id").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("level", F.lit(1))))
     is_heading = (F.col("type") == "heading") & ~F.col("ignored") & (F.trim("content") != "")
-    rows = elements.withColumns({f"_h{k}": F.last(F.when(is_heading & (level == k), F.struct("order", value.alias("value"))), ignorenulls=True).over(upto) for k in range(1, 7)})
+    rows = last_upto(elements, "doc_id", "order", {f"_h{k}": F.when(is_heading & (level == k), F.struct("order", value.alias("value"))) for k in range(1, 7)})
     live = []
     for k in range(1, 7):
         above = F.greatest(F.lit(-1), F.lit(-2), *(F.coalesce(F.col(f"_h{j}.order"), F.lit(-1)) for j in range(1, k)))

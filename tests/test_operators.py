@@ -533,3 +533,26 @@ def test_merging_by_plain_loops(spark):
     got = chunk.merge_micro(blocks, chunk.ChunkConfig(merge_max_chars=30))
     assert sorted((r.doc_id, r.block, r.text, r.type, r.breadcrumb, r.element_ids, r.page_ids) for r in got.collect()) == sorted(want)
     assert any(x[3] == "merged" for x in want)
+
+
+def test_headings_of_a_document_in_every_partition(spark, monkeypatch):
+    """One document over all range partitions has the breadcrumbs and parents that one pass gives; so have its neighbours."""
+    from corpusloom.functions import ranking
+
+    pick = random.Random(9)
+    rows = [("big", f"e{k}", k, pick.choice(["heading", "paragraph", "paragraph"]), "text", f"h{k}", pick.choice([1, 2, 3, 4]), pick.random() < 0.1, None, None) for k in range(600)]
+    rows += [(f"d{d}", f"e{k}", k, pick.choice(["heading", "paragraph"]), "text", f"h{k}", pick.choice([1, 2]), False, None, None) for d in range(9) for k in range(8)]
+    table = spark.createDataFrame(rows, ELEMENT).repartition(6)
+    found = lambda: (sorted((r.doc_id, r.order, r.breadcrumb) for r in chunk.breadcrumb(table).collect()), sorted((r.doc_id, r.element_id, r.parent_id) for r in parse.heading_tree(table).collect()))
+    want = found()
+    spread = []
+    stored = ranking.stored
+    monkeypatch.setattr(ranking.last_upto, "__defaults__", (100,))
+    monkeypatch.setattr(ranking, "stored", lambda df, name: spread.append((name, stored(df, name))) or spread[-1][1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found() == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = [df for name, df in spread if name == "ranges"]
+    assert ranges and all(df.where("doc_id = 'big'").select("_part").distinct().count() == 4 for df in ranges)
