@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.sources.shared import stored
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "row_number") -> DataFrame:
-    """``rows`` numbered from 1 within ``keys`` by ``order`` (which should be unique), no group being held by one task.
+def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], name: str = "row_number") -> DataFrame:
+    """``rows`` numbered from 1 within ``keys`` (all together if there are none) by ``order`` (which should be unique), no group being held by one task.
 
     Rows are range-partitioned by keys and order, so a large group spreads over many partitions; each counts its own part, and
     the counts of the partitions before it, one row a group and partition, are added. The partitioned rows are written to the shared

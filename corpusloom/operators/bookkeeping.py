@@ -92,6 +92,37 @@ def listing(rows: DataFrame, where: dict[str, object] | None = None, like: dict[
     return rows.limit(limit) if limit is not None else rows
 
 
+def page_directory(rows: DataFrame, order: dict[str, bool], size: int) -> DataFrame:
+    """(page, the order columns): the key each page of a listing begins with. ``order``: columns and whether they rise; together they are unique.
+
+    Rows are counted by ranges of the order, so no task sorts them all; a directory has a row a page.
+    """
+    numbered_rows = numbered(rows.select(*order), [], [F.asc(c) if rises else F.desc(c) for c, rises in order.items()], "_n")
+    return numbered_rows.where((F.col("_n") - 1) % size == 0).select(F.floor((F.col("_n") - 1) / size).cast("int").alias("page"), *order)
+
+
+def _from(order: dict[str, bool], key: dict[str, object]) -> Column:
+    """Rows at or behind a key."""
+    names = list(order)
+    found = F.lit(True)
+    for k, name in reversed(list(enumerate(names))):
+        value = F.lit(key[name])
+        behind = F.col(name) > value if order[name] else F.col(name) < value
+        found = behind | ((F.col(name) == value) & found)
+    first, value = F.col(names[0]), F.lit(key[names[0]])
+    return (first >= value if order[names[0]] else first <= value) & found  # a range of the first column, which a scan can use
+
+
+def listing_page(rows: DataFrame, directory: DataFrame, order: dict[str, bool], page: int) -> DataFrame:
+    """The rows of one page in their order: those from its key up to the next page's, so what comes before is not read where files or groups of rows have ranges."""
+    keys = {r.page: r.asDict() for r in directory.where(F.col("page").isin(page, page + 1)).collect()}  # two rows
+    if page not in keys:
+        return rows.limit(0)
+    rows = rows.where(_from(order, keys[page]))
+    rows = rows.where(~_from(order, keys[page + 1])) if page + 1 in keys else rows
+    return rows.orderBy(*(F.asc(c) if rises else F.desc(c) for c, rises in order.items()))
+
+
 def record_stage(docs: DataFrame, stage: str, outcome: Column, metrics: Column, seconds: Column, at: Column) -> DataFrame:
     """One history row per document of a finished stage."""
     return docs.select(F.lit("document").alias("resource_type"), F.col("doc_id").cast("string").alias("resource_id"), F.col("kb_id").alias("group_id"), F.lit(stage).alias("stage"), outcome.alias("outcome"), metrics.alias("metrics"), seconds.alias("duration_seconds"), at.alias("created_at"))

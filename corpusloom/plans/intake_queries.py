@@ -266,6 +266,25 @@ def list_history(spark, sf_dir):
     return bookkeeping.listing(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), {"event_type": "click"}, order=[F.desc("ts"), F.desc("event_id")], limit=40)
 
 
+BY_TIME = {"ts": False, "event_id": False}
+
+
+def _clicks(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "user_id", "event_type", "ts")
+
+
+@query("page_directory", "SELECT CAST(n // 40 AS INT) AS page, ts, event_id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) - 1 AS n FROM events WHERE event_type = 'click') WHERE n % 40 = 0")
+def page_directory(spark, sf_dir):
+    return bookkeeping.page_directory(_clicks(spark, sf_dir), BY_TIME, 40)
+
+
+@query("listing_page", "SELECT event_id, user_id, event_type, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 40 OFFSET 80")
+def listing_page(spark, sf_dir):
+    """The third page of the history by its keys, without the rows before it."""
+    rows = _clicks(spark, sf_dir)
+    return bookkeeping.listing_page(rows, bookkeeping.page_directory(rows, BY_TIME, 40), BY_TIME, 2)
+
+
 @query("record_stage", f"""WITH {KB_DOCS} SELECT 'document' AS resource_type, CAST(doc_id AS VARCHAR) AS resource_id, kb_id AS group_id, 'parse' AS stage, CASE WHEN status = 'FAILED' THEN 'failure' ELSE 'success' END AS outcome,
   '{{"n_chars":' || n_chars || '}}' AS metrics, n_chars / 1000.0::DOUBLE AS duration_seconds, created_at FROM kb_docs""")
 def record_stage(spark, sf_dir):

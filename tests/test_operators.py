@@ -556,3 +556,19 @@ def test_headings_of_a_document_in_every_partition(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     ranges = [df for name, df in spread if name == "ranges"]
     assert ranges and all(df.where("doc_id = 'big'").select("_part").distinct().count() == 4 for df in ranges)
+
+
+def test_pages_by_keys_are_the_whole_listing(spark, tmp_path):
+    """Pages joined equal the listing, each filtered by a range of its first column that the scan takes; ties of that column do not split or repeat rows."""
+    pick = random.Random(3)
+    rows = [(k, pick.randrange(12), f"n{k}") for k in range(157)]
+    spark.createDataFrame(rows, "id int, at int, name string").repartition(5).write.parquet(str(tmp_path / "rows"))
+    table, order = spark.read.parquet(str(tmp_path / "rows")), {"at": False, "id": True}
+    directory = bookkeeping.page_directory(table, order, 20).cache()
+    assert directory.count() == 8
+    pages = [[tuple(r) for r in bookkeeping.listing_page(table, directory, order, n).collect()] for n in range(9)]
+    assert [len(p) for p in pages] == [20] * 7 + [17, 0]
+    assert [r for p in pages for r in p] == sorted(rows, key=lambda r: (-r[1], r[0]))
+    plan = bookkeeping.listing_page(table, directory, order, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(at" in plan
+    assert bookkeeping.page_directory(table.limit(0), order, 20).count() == 0
