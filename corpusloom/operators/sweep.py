@@ -55,13 +55,13 @@ def gold_documents(docs: DataFrame, cases: DataFrame) -> DataFrame:
     return by_blocks(docs.sparkSession, cut(cases, "case_id", max(1, -(-chars // PASSAGE_CHARS))), load, scan).groupBy("case_id").agg(F.min("gold_doc").alias("gold_doc"))
 
 
-def search_configurations(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def search_configurations(chunks: DataFrame, questions: DataFrame, k: int, totals: DataFrame | None = None) -> DataFrame:
     """(config, case_id, chunk_id, score, rank): the k best chunks of each configuration for every question, weighted by that configuration's own term statistics.
 
-    chunks: config, chunk_id, tokens. questions: case_id long, tokens.
+    chunks: config, chunk_id, tokens. questions: case_id long, tokens. totals: config, n_chunks, if they are known.
     """
     terms = vectors.bm25_query_weights(questions.select(F.col("case_id").alias("query_id"), "tokens"))
-    weighted = vectors.query_idf(chunks, terms, "config")
+    weighted = vectors.query_idf(chunks, terms, "config", totals)
     return vectors.sparse_topk_scan(chunks, weighted, k, group="config").withColumnRenamed("query_id", "case_id")
 
 
@@ -110,9 +110,15 @@ def run(docs: DataFrame, cases: DataFrame, configs: dict[str, chunk.ChunkConfig]
     made = chunk.split_configurations(blocks, good)
     stats = stored(made.groupBy("config").agg(F.count("*").alias("n_chunks"), F.avg(F.length("page_content")).alias("mean_chars"), F.sum("split_sec").alias("split_sec")), "sweep-chunks")
     ingest_sec, start = time.time() - start, time.time()
-    chunks = made.select("config", "chunk_id", vectors.bm25_tokens(F.col("page_content")).alias("tokens"))
-    hits = stored(search_configurations(chunks, cases, k).withColumn("doc_id", F.substring_index("chunk_id", ":chunk:", 1).cast("long")), "sweep-hits")
+    tokenised = lambda cut_: cut_.select("config", "chunk_id", vectors.bm25_tokens(F.col("page_content")).alias("tokens"))
+    chunks = tokenised(made)
+    hits = stored(search_configurations(chunks, cases, k, stats).withColumn("doc_id", F.substring_index("chunk_id", ":chunk:", 1).cast("long")), "sweep-hits")
     latency = (time.time() - start) / max(1, len(good) * cases.count())
     described = known.join(F.broadcast(stats), "config", "left").withColumn("ingest_sec", F.when(F.col("failed").isNull(), ingest_sec))  # a row for each configuration
-    scored = results(chunks, hits, cases).withColumn("latency_sec", F.lit(latency))
+    # the chunks of the hits alone are cut once more
+    name = F.split("chunk_id", ":")
+    places = hits.select(name[0].alias("doc_id"), name[2].cast("int").alias("block")).distinct()
+    places = F.broadcast(places) if places.count() <= HITS_SENT else places
+    near = chunk.split_configurations(blocks.join(places, ["doc_id", "block"], "left_semi"), good)
+    scored = results(tokenised(near), hits, cases).withColumn("latency_sec", F.lit(latency))
     return evaluate.sweep_scorecard(described, scored).withColumn("error", F.coalesce("failed", "error")).drop("failed")
