@@ -196,11 +196,14 @@ def session_expiry(spark, sf_dir):
 @query("stream_stuck", """WITH n AS (SELECT user_id AS doc_id, ts, event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, (SELECT max(ts) FROM events) AS now FROM events)
 SELECT doc_id, ts AS silent_since, event_type AS status FROM n WHERE epoch(coalesce(nxt, now)) - epoch(ts) > CASE WHEN event_type = 'view' THEN 300 ELSE 900 END AND event_type IN ('view', 'click', 'error')""")
 def stuck_stream(spark, sf_dir):
-    """The stream itself: all beats first, in any order; then a closing row lifts the watermark to the table's latest time, and what has fallen due by then is reported."""
+    """The stream itself: all beats first, in any order; then a closing row lifts the watermark past the table's latest time, and what has fallen due by then is reported.
+
+    Watermarks count milliseconds; of silences that fall due in the last one, those up to the latest time are kept.
+    """
     delay, output, closing, state = "40 days", shared_folder(spark, "stuck"), shared_folder(spark, "closing"), shared_folder(spark, "stuck-state")
     events = table(spark, sf_dir, "events")
     beat = [F.col("user_id").alias("doc_id"), F.col("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("status")]
-    last = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr(f"interval {delay}")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("event_type"))
+    last = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr(f"interval {delay} 1 millisecond")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("event_type"))
     last.limit(0).write.parquet(closing)
     keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
@@ -215,7 +218,9 @@ def stuck_stream(spark, sf_dir):
     for _ in range(2):  # one lifts the watermark, which holds from the next batch on
         last.write.mode("append").parquet(closing)
         run()
-    return spark.read.parquet(output).drop("batch")
+    limit = F.make_dt_interval(secs=F.when(F.col("status") == "view", jobs.QUEUED_LIMIT).otherwise(jobs.ACTIVE_LIMIT))
+    now = events.agg(F.max("ts").alias("now"))
+    return spark.read.parquet(output).drop("batch").crossJoin(F.broadcast(now)).where(F.col("silent_since") + limit < F.col("now")).drop("now")  # one row
 
 
 @query("stuck_events", f"""WITH n AS (SELECT user_id AS doc_id, ts, event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, (SELECT max(ts) FROM events) AS now FROM events)

@@ -29,12 +29,12 @@ def session_expiry(uploads: DataFrame, watermark: str | None = None) -> DataFram
 
 
 def stuck_events(beats: DataFrame, queued: tuple[str, ...] = ("QUEUED",), active: tuple[str, ...] = ("PARSING", "CHUNKING", "EMBEDDING")) -> DataFrame:
-    """Silences that make a document stuck, up to the table's latest time. beats: doc_id, ts, seq, status."""
+    """Silences that make a document stuck, up to the table's latest time, by the microsecond. beats: doc_id, ts, seq, status."""
     now = beats.agg(F.max("ts").alias("now"))
     rows = beats.withColumn("next", F.lead("ts").over(Window.partitionBy("doc_id").orderBy("ts", "seq"))).crossJoin(F.broadcast(now))  # one row
-    silent = F.unix_timestamp(F.coalesce("next", "now")) - F.unix_timestamp("ts")
+    micros = lambda ts: F.unix_micros(ts.cast("timestamp"))
     limit = F.when(F.col("status").isin(*queued), QUEUED_LIMIT).when(F.col("status").isin(*active), ACTIVE_LIMIT)
-    return rows.where(silent > limit).select("doc_id", F.col("ts").alias("silent_since"), "status")
+    return rows.where(micros(F.coalesce("next", "now")) - micros(F.col("ts")) > limit * 1_000_000).select("doc_id", F.col("ts").alias("silent_since"), "status")
 
 
 class _Silences(StatefulProcessor):
@@ -51,16 +51,16 @@ class _Silences(StatefulProcessor):
         self.pending = handle.getListState("pending", "at long, seq long, status string")
 
     def _due(self, beat: tuple[int, int, str]) -> int:
-        """Millisecond from which a silence after the beat is too long; a beat without a limit is done with at once."""
+        """Watermark (in milliseconds) from which a silence after the beat is too long; a beat without a limit is done with at once."""
         limit = self.limits.get(beat[2])
-        return beat[0] // 1000 if limit is None else (beat[0] // 1_000_000 + limit + 1) * 1000
+        return -(-beat[0] // 1000) if limit is None else (beat[0] + limit * 1_000_000) // 1000 + 1
 
     def _judge(self, key: tuple, beats: list[tuple[int, int, str]], watermark: int) -> Iterator[pd.DataFrame]:
         beats.sort()
         stuck, left = [], []
         for beat, after in zip(beats, [*beats[1:], None]):
-            if after and after[0] // 1000 <= watermark:
-                if self.limits.get(beat[2]) and after[0] // 1_000_000 - beat[0] // 1_000_000 > self.limits[beat[2]]:
+            if after and after[0] <= watermark * 1000:
+                if beat[2] in self.limits and after[0] - beat[0] > self.limits[beat[2]] * 1_000_000:
                     stuck.append(beat)
             elif self._due(beat) <= watermark:
                 if beat[2] in self.limits:

@@ -68,6 +68,23 @@ def test_stuck_beats_in_any_order(spark, tmp_path):
     assert got == [(1, 250, "QUEUED"), (1, 700, "PARSING"), (2, 0, "PARSING")]
 
 
+def test_stuck_by_the_microsecond(spark, tmp_path):
+    """A silence is too long from the first microsecond beyond its limit, also where whole seconds or milliseconds do not tell."""
+    at = lambda us: f"timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {us / 1e6:.6f})"
+    limit, last = 300_000_000, 5_000_000_000
+    rows = [(1, 100, "QUEUED"), (1, 100 + limit, "READY"), (2, 100, "QUEUED"), (2, 101 + limit, "READY"), (3, 300_000, "QUEUED"), (3, 800_000 + limit, "READY")]
+    rows += [(4, last + 400 - limit, "QUEUED"), (5, last + 399 - limit, "QUEUED"), (6, last + 401 - limit, "QUEUED"), (7, last + 400, "READY")]
+    beats = spark.sql(" union all ".join(f"select {d}L doc_id, {at(us)} ts, {d}L seq, '{x}' status" for d, us, x in rows))
+    assert sorted(r.doc_id for r in jobs.stuck_events(beats).collect()) == [2, 3, 5]
+    for k, frame in enumerate([beats, *(spark.sql(f"select cast(null as long) doc_id, {at(last + 1_000_000)} ts, -1L seq, 'READY' status") for _ in range(2))]):
+        frame.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    source = spark.readStream.schema("doc_id long, ts timestamp, seq long, status string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    with jobs.timed_state(spark):
+        run(jobs.stuck_stream(source, "1000 milliseconds"), "by_the_microsecond", tmp_path)
+    # the watermark stands at ``last``: documents 4 to 6 fall due 399 to 401 microseconds later
+    assert sorted(r.doc_id for r in spark.table("by_the_microsecond").collect()) == [2, 3]
+
+
 def test_ingest_ledger(spark, tmp_path):
     """A stream that dies between stages goes on where it stopped; replays in later batches write nothing; a changed document is taken again."""
     schema, root, folder = "doc_id long, content_hash string, text string", str(tmp_path / "root"), str(tmp_path / "in")
