@@ -384,6 +384,22 @@ def test_context_packing():
     assert context.pack_sections(["a" * 10, "b" * 10], 12, True) == "a" * 10 and context.pack_sections(["a" * 10, "b" * 10], 12, False).endswith("bb")
 
 
+def test_contexts_are_packed_on_the_jvm(spark):
+    """As pack_sections packs them, and no list of texts goes to Python."""
+    import random
+
+    r = random.Random(8)
+    texts = ["".join(r.choices(["a", "é", "😀", ".", "\n", " ", "\u2003", "\x1c"], [5, 2, 1, 1, 1, 2, 1, 1], k=r.randrange(40))) for _ in range(300)]
+    rows = [(k // 5, k % 5, t, 0.5) for k, t in enumerate(texts)]
+    hits = spark.createDataFrame(rows, "request_id int, final_rank int, content string, score double").selectExpr("*", "'kb' kb_id", "'d' doc_id", "'c' chunk_id", "cast(null as double) rerank_score", *(f"cast(null as string) {c}" for c in ("source", "page", "page_content")))
+    head = lambda i: f"[{i + 1}] kb=kb doc=d chunk=c score=0.5000\n"
+    for limit in (20, 45, 60, 110, 150, 10_000):
+        for separator in (False, True):
+            found = context.format_context(hits, limit, separator)
+            assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+            assert dict(map(tuple, found.collect())) == {q: context.pack_sections([head(i) + texts[5 * q + i] for i in range(5)], limit, separator) for q in range(60)}
+
+
 def test_tree_reduce(spark):
     long = [(1, i, f"sentence {i} of the text. more words here to fill it up") for i in range(60)] + [(2, 0, "short one. two")]
     texts = spark.createDataFrame(long, "doc_id long, order int, content string")
