@@ -116,6 +116,15 @@ def test_page_json_boxes(spark):
     assert [(r.type, r.content, r.level) for r in rows] == [("heading", "Title", 2), ("table", "tabl", None)]
 
 
+def test_elements_leave_a_worker_in_pieces():
+    """Frames are made as rows are asked for, and hold a bounded number of them."""
+    made = []
+    rows = ((made.append(k) or "d", f"d_el_{k}", k, "paragraph", "text", "x", None, False) for k in range(2 * parse.ELEMENTS_AT_ONCE + 1))
+    frames = parse._frames(rows, parse.ELEMENTS, {"order": "int32", "level": "Int32", "ignored": bool})
+    assert len(next(frames)) == len(made) == parse.ELEMENTS_AT_ONCE
+    assert [len(f) for f in frames] == [parse.ELEMENTS_AT_ONCE, 1]
+
+
 def test_layout_items(spark):
     node = lambda label, **more: {"label": label, **more}
     box = {"l": 1, "t": 90, "r": 5, "b": 80, "coord_origin": "BOTTOMLEFT"}
