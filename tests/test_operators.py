@@ -439,6 +439,19 @@ def test_tree_reduce(spark):
     assert {r.error for r in got.values()} == {None}
 
 
+def test_results_of_many_keys_leave_together(spark):
+    """Keys that span batches are whole, and a task makes few frames however many keys it has."""
+    from corpusloom.functions.ordered import ordered_fold
+
+    rows = spark.range(3000).selectExpr("cast(id % 300 as string) k", "cast(id as int) o", "cast(id as string) v").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = ordered_fold(rows, "k", "o", "v", lambda k, values: [(k, len(values), ",".join(values))], "k string, n int, v string", {"n": "int32"})
+        assert {tuple(r) for r in found.collect()} == {(str(k), 10, ",".join(str(k + 300 * j) for j in range(10))) for k in range(300)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_compress_fallbacks(spark):
     rows = spark.createDataFrame([("r", 0, 0.3, ["a", "b"], ["x", "y"])], "request_id string, batch int, target_ratio double, ids array<string>, contents array<string>")
 
