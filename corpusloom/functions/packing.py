@@ -9,6 +9,8 @@ from corpusloom.sources.shared import stored
 
 #: Rows of a key that are folded as one array; larger keys are spread over tasks.
 FOLDED_ROWS = 50_000
+#: Lengths of groups that a fold gathers before it lays them aside, so that a list is not copied for each of very many groups.
+LENGTHS_AT_ONCE = 256
 
 
 def greedy_groups(rows: DataFrame, key: str, order: str, size: str, limit: int, name: str, folded_rows: int = FOLDED_ROWS) -> DataFrame:
@@ -26,20 +28,32 @@ def greedy_groups(rows: DataFrame, key: str, order: str, size: str, limit: int,
 
 
 def _folded(rows: DataFrame, key: str, order: str, limit: int, name: str) -> DataFrame:
-    """One fold over a key's sizes that gathers the lengths of its groups."""
+    """One fold over a key's sizes."""
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_n").alias("n")))).alias("_l"))
-    start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("rows"), F.array().cast("array<int>").alias("done"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["filled"] > 0) & (s["filled"] + x["n"] > limit)
-        return F.when(full, F.struct(x["n"].alias("filled"), F.lit(1).alias("rows"), F.concat(s["done"], F.array(s["rows"])).alias("done"))).otherwise(F.struct((s["filled"] + x["n"]).alias("filled"), (s["rows"] + 1).alias("rows"), s["done"].alias("done")))
-
-    lengths = F.aggregate("_l", start, step, lambda s: F.concat(s["done"], F.array(s["rows"])))
-    numbers = F.flatten(F.transform(lengths, lambda n, k: F.array_repeat((k + 1).cast("int"), n)))
+    numbers = group_numbers(F.transform("_l", lambda x: x["n"]), limit)
     each = lists.select(key, F.explode(F.arrays_zip(F.transform("_l", lambda x: x["o"]).alias("o"), numbers.alias("g"))).alias("_z"))
     return each.select(key, F.col("_z.o").alias(order), F.col("_z.g").alias(name))
 
 
+def group_numbers(sizes: Column, limit: int) -> Column:
+    """The number, from 1 on, of the greedy group of each of ``sizes`` (an array): one fold that gathers the lengths of the groups, some at a time."""
+    none, nested = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("rows"), none.alias("done"), nested.alias("before"))
+
+    def step(s: Column, n: Column) -> Column:
+        n = n.cast("long")
+        full = (s["filled"] > 0) & (s["filled"] + n > limit)
+        whole = F.size(s["done"]) >= LENGTHS_AT_ONCE
+        begun = F.struct(
+            n.alias("filled"), F.lit(1).alias("rows"), F.when(whole, F.array(s["rows"])).otherwise(F.concat(s["done"], F.array(s["rows"]))).alias("done"),
+            F.when(whole, F.concat(s["before"], F.array(s["done"]))).otherwise(s["before"]).alias("before"),
+        )
+        return F.when(full, begun).otherwise(F.struct((s["filled"] + n).alias("filled"), (s["rows"] + 1).alias("rows"), s["done"].alias("done"), s["before"].alias("before")))
+
+    lengths = F.aggregate(sizes, start, step, lambda s: F.concat(F.flatten(s["before"]), s["done"], F.array(s["rows"])))
+    return F.flatten(F.transform(lengths, lambda n, k: F.array_repeat((k + 1).cast("int"), n)))
+
+
 def _doubled(rows: DataFrame, key: str, order: str, limit: int, name: str) -> DataFrame:
     """The same by pointers: where the next group would begin if one began at a row, then the pointers that are met from the first row, twice as many in each round."""
     parts = stored(rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()), "sizes")

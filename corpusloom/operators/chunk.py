@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.functions.split import recursive_split, split_keeping_images
+from corpusloom.functions.split import split_keeping_images
 from corpusloom.functions.tokens import token_count, token_truncate
 
 from .parse import _open_headings, page_text
@@ -127,23 +130,40 @@ def semantic_chunk(elements: DataFrame, config: ChunkConfig = ChunkConfig(), pre
     if prefixes is not None:
         blocks = blocks.join(prefixes.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "left")
         prefix, budget = F.coalesce("prefix", F.lit("")), F.coalesce("budget", F.lit(config.chunk_size))
-
-        @F.pandas_udf("array<string>")
-        def split(texts: pd.Series, sizes: pd.Series) -> pd.Series:
-            return pd.Series([split_keeping_images(t, int(n), config.chunk_overlap) for t, n in zip(texts, sizes)])
-
-        many = split("text", budget)
     else:
-        prefix, budget, many = F.lit(""), F.lit(config.chunk_size), recursive_split(F.col("text"), config.chunk_size, config.chunk_overlap)
-    blocks = blocks.where(F.trim("text") != "").withColumns({"_parts": F.when(F.length("text") > budget, many).otherwise(F.array(F.trim("text"))), "_prefix": prefix})
+        prefix, budget = F.lit(""), F.lit(config.chunk_size)
+    blocks = _cut(blocks.where(F.trim("text") != "").withColumns({"_budget": budget.cast("int"), "_prefix": prefix}), config.chunk_overlap)
     rows = blocks.select("*", F.posexplode("_parts").alias("part_index", "_part")).withColumn("part_count", F.size("_parts"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "part_index"))
+    order = F.col("_before") + F.col("part_index") + 1
     return rows.select(
         F.format_string("%s:chunk:%04d", "doc_id", order).alias("chunk_id"), "doc_id", order.alias("order"), F.concat("_prefix", "_part").alias("page_content"), "type", "breadcrumb",
         "element_ids", "orders", "types", "page_ids", "part_index", "part_count", (F.col("part_count") > 1).alias("is_split"),
     )
 
 
+def _cut(blocks: DataFrame, overlap: int) -> DataFrame:
+    """Blocks with ``_parts``, what their text is cut to where it is over ``_budget``, in place of the text, and ``_before``, the number of parts of the blocks before in their document.
+
+    One Python pass over the blocks of a partition in order, a batch at a time; blocks that lie by document already are not moved for it.
+    """
+    kept = [c for c in blocks.columns if c not in ("text", "_budget")]
+    schema = blocks.select(kept).schema.add("_parts", T.ArrayType(T.StringType())).add("_before", T.IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, count = None, 0
+        for batch in batches:
+            parts, before = [], []
+            for name, text, size in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("_budget").to_pylist()):
+                if name != doc:
+                    doc, count = name, 0
+                parts.append(split_keeping_images(text, size, overlap) if len(text) > size else [text.strip(" ")])
+                before.append(count)
+                count += len(parts[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(parts, pa.list_(pa.string())), pa.array(before, pa.int32())], names=schema.names)
+
+    return blocks.repartition("doc_id").sortWithinPartitions("doc_id", "block").mapInArrow(run, schema)
+
+
 def split_configurations(blocks: DataFrame, configs: dict[str, ChunkConfig]) -> DataFrame:
     """Merged blocks cut under several sizes and overlaps in one pass over them, without a shuffle: config, chunk_id, doc_id, page_content, split_sec.
 

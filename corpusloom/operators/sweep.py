@@ -106,7 +106,7 @@ def run(docs: DataFrame, cases: DataFrame, configs: dict[str, chunk.ChunkConfig]
     cases = stored(cases.select(F.col("case_id").cast("long").alias("case_id"), "gold_doc", "tokens"), "sweep-cases")
     start = time.time()
     like = next(iter(good.values()), chunk.ChunkConfig())
-    blocks = stored(chunk.merge_micro(chunk.breadcrumb(parse.with_pages(parse.parse_plain_text(docs)), like), like).select("doc_id", "block", "text"), "sweep-blocks")
+    blocks = stored(chunk.merge_micro(chunk.breadcrumb(parse.plain_text_pages(docs), like), like).select("doc_id", "block", "text"), "sweep-blocks")
     made = chunk.split_configurations(blocks, good)
     stats = stored(made.groupBy("config").agg(F.count("*").alias("n_chunks"), F.avg(F.length("page_content")).alias("mean_chars"), F.sum("split_sec").alias("split_sec")), "sweep-chunks")
     ingest_sec, start = time.time() - start, time.time()

@@ -16,8 +16,7 @@ from .registry import query, table
 def passages_for_questions(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFrame:
     """(request_id, final_rank, chunk_id, score, page_content) for every benchmark text as a question."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    elements = parse.parse_plain_text(docs)
-    elements = stored(parse.with_pages(elements), "elements")
+    elements = stored(parse.plain_text_pages(docs), "elements")
     chunks = stored(chunk.semantic_chunk(elements), "chunks")
     tokens = chunks.select("chunk_id", vectors.bm25_tokens(F.col("page_content")).alias("tokens"))
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), vectors.bm25_tokens(F.col("text")).alias("tokens"))

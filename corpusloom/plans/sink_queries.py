@@ -70,7 +70,7 @@ def _stream(spark, sf_dir, name, columns=None):
 def _stages(config):
     """Parsing, chunking and embedding as stages of ingest."""
     return [
-        ("parsed", lambda files_: jobs.unkeyed(parse.with_pages(parse.parse_plain_text(jobs.keyed(files_.select("doc_id", "content_hash", F.regexp_replace("text", "\n", "\n\n").alias("text"))))))),
+        ("parsed", lambda files_: jobs.unkeyed(parse.plain_text_pages(jobs.keyed(files_.select("doc_id", "content_hash", F.regexp_replace("text", "\n", "\n\n").alias("text")))))),
         ("chunked", lambda rows: jobs.unkeyed(chunk.semantic_chunk(jobs.keyed(rows), config))),
         ("embedded", lambda rows: jobs.unkeyed(vectors.embed_chunks(rows), "chunk_id")),
     ]
@@ -83,10 +83,12 @@ def stream_ingest(spark, sf_dir):
     root = shared_folder(spark, "ingest")
     for _ in range(2):
         jobs.stream_ingest(files_, _stages(chunk.ChunkConfig(chunk_overlap=0)), root, shared_folder(spark, "stream-state")).awaitTermination()
-    chunks = jobs.stage_rows(spark, root, "chunked").join(jobs.stage_rows(spark, root, "embedded").select("chunk_id", "embedding"), "chunk_id", "left")
-    parts = F.array_sort(F.collect_list(F.struct("order", "page_content")))
-    text = F.regexp_replace(F.array_join(F.transform(parts, lambda x: x["page_content"]), ""), r"\s+", "").alias("text")
-    return chunks.groupBy("doc_id").agg(text, F.bool_and(F.col("embedding").isNotNull()).alias("embedded"), F.countDistinct("content_hash").cast("int").alias("versions"))
+    chunks = jobs.stage_rows(spark, root, "chunked").select("doc_id", "content_hash", "chunk_id", F.struct("order", "page_content").alias("part"), F.lit(None).cast("string").alias("embedded"))
+    made = jobs.stage_rows(spark, root, "embedded").where("embedding is not null").select("doc_id", F.col("chunk_id").alias("embedded"))
+    # both are gathered by document at once, so that texts are moved once
+    rows = chunks.unionByName(made, allowMissingColumns=True).groupBy("doc_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.collect_set("chunk_id").alias("ids"), F.collect_set("embedded").alias("embedded"), F.size(F.collect_set("content_hash")).alias("versions"))
+    text = F.regexp_replace(F.array_join(F.transform("parts", lambda x: x["page_content"]), ""), r"\s+", "").alias("text")
+    return rows.where(F.size("ids") > 0).select("doc_id", text, (F.size(F.array_except("ids", "embedded")) == 0).alias("embedded"), "versions")
 
 
 @query("stream_synonyms", r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\bthe\b', 'the (la)', 'gi'), '\bof\b', 'of (de)', 'gi') AS expanded FROM conversations WHERE role = 'user'")

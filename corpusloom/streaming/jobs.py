@@ -133,9 +133,10 @@ def ledger(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(LEDGER).option("basePath", f"{root}/ledger").option("pathGlobFilter", "*.parquet").parquet(f"{root}/ledger")
 
 
-def stage_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """All rows that a stage has made, for every version of a document that it has seen."""
-    return spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}").drop("run")
+def stage_rows(spark: SparkSession, root: str, name: str, run: str | None = None) -> DataFrame:
+    """All rows that a stage has made, for every version of a document that it has seen, or those of one run."""
+    rows = spark.read.option("mergeSchema", "true").option("basePath", f"{root}/{name}").parquet(f"{root}/{name}/run={run}" if run else f"{root}/{name}")
+    return rows.drop("run")
 
 
 def newest(spark: SparkSession, root: str, name: str, versions: DataFrame) -> DataFrame:
@@ -150,21 +151,35 @@ def ingest_batch(batch: DataFrame, run: str, stages: list[Stage], root: str) ->
     A stage works on the versions of documents that the ledger does not have for it, reads what the stage before has stored, writes its rows
     to a folder of this run and then enters the versions in the ledger. So a run that stopped anywhere goes on with the first stage that it had not entered, a stopped
     write is replaced, and files that come again in later runs are not worked on and write nothing.
+    Contents are moved only for versions that stand in the batch several times and where a stage has done a part of the batch before.
     """
     spark = batch.sparkSession
-    batch = batch.withColumns({"doc_id": F.col("doc_id").cast("string")}).where("doc_id is not null").dropDuplicates(["doc_id", "content_hash"])
-    wanted = stored(batch.select("doc_id", "content_hash"), "ingest-files")
+    keys = ["doc_id", "content_hash"]
+    batch = batch.withColumns({"doc_id": F.col("doc_id").cast("string")}).where("doc_id is not null and content_hash is not null")
+    found = stored(batch.groupBy(*keys).agg(F.count("*").alias("copies")), "ingest-files")
+    wanted, repeated = found.select(*keys), found.where("copies > 1").select(*keys)
+    n_wanted = wanted.count()
+    if not repeated.isEmpty():
+        batch = batch.join(repeated, keys, "left_anti").unionByName(batch.join(repeated, keys, "left_semi").dropDuplicates(keys))
     spark.createDataFrame([], LEDGER).write.mode("ignore").partitionBy("stage", "run").parquet(f"{root}/ledger")
     before = batch
     for name, step in stages:
         done = ledger(spark, root).where(F.col("stage") == name)
-        if done.where(F.col("run") == run).isEmpty():
-            todo = stored(wanted.join(done, ["doc_id", "content_hash"], "left_anti"), f"ingest-{name}")
-            if not todo.isEmpty():
-                made = step(before.join(todo, ["doc_id", "content_hash"], "left_semi"))
-                made.write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
+        own = done.where(F.col("run") == run)
+        if own.isEmpty():
+            todo = stored(wanted.join(done, keys, "left_anti"), f"ingest-{name}")
+            n_todo = todo.count()
+            if n_todo:
+                made = step(before if n_todo == n_wanted else before.join(todo, keys, "left_semi"))
+                made.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}/run={run}")
                 todo.write.mode("overwrite").parquet(f"{root}/ledger/stage={name}/run={run}")
-        before = stage_rows(spark, root, name).join(wanted, ["doc_id", "content_hash"], "left_semi") if not ledger(spark, root).where(F.col("stage") == name).isEmpty() else before.limit(0)
+        entered = ledger(spark, root).where(F.col("stage") == name)
+        if entered.isEmpty():
+            before = before.limit(0)
+        elif entered.where(F.col("run") == run).count() == n_wanted:  # the whole batch went through the stage in this run
+            before = stage_rows(spark, root, name, run)
+        else:
+            before = stage_rows(spark, root, name).join(wanted, keys, "left_semi")
 
 
 def stream_ingest(files: DataFrame, stages: list[Stage], root: str, checkpoint: str) -> StreamingQuery:

@@ -670,3 +670,30 @@ def test_pages_by_keys_are_the_whole_listing(spark, tmp_path):
     plan = bookkeeping.listing_page(table, directory, order, 3)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(at" in plan
     assert bookkeeping.page_directory(table.limit(0), order, 20).count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_pages_within_the_row(spark):
+    """Pages of plain text are those of a fold over its elements, without a shuffle."""
+    text = lambda *sizes: "\n\n".join("x" * n for n in sizes)
+    docs = spark.createDataFrame([(1, text(30, 30, 20, 90, 1)), (2, text(*[69, 2] * 700)), (3, " \n\n "), (4, None), (None, "lost"), (5, text(200))], "doc_id long, text string")
+    got = parse.plain_text_pages(docs, 70)
+    want = parse.with_pages(parse.parse_plain_text(docs), 70)
+    assert got.columns == want.columns
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert max(r.page_no for r in got.where("doc_id = 2").collect()) == 1400 and exchanges(got) == 0
+
+
+def test_chunks_are_moved_once(spark):
+    """Chunks are numbered in the pass that cuts them: elements go to their documents and nothing is moved after that."""
+    docs = spark.createDataFrame([(d, "\n\n".join("word " * (30 + 70 * ((d + k) % 3)) for k in range(9))) for d in range(40)], "doc_id long, text string")
+    elements = parse.plain_text_pages(docs).repartition(3)
+    chunks = chunk.semantic_chunk(elements)
+    assert exchanges(chunks) == 1
+    rows = sorted((int(r.doc_id), r.order, r.orders[0], r.part_index, r.chunk_id) for r in chunks.collect())
+    assert [r[1] for r in rows if r[0] == 7] == list(range(1, sum(r[0] == 7 for r in rows) + 1))
+    assert [r[2:4] for r in rows if r[0] == 7] == sorted(r[2:4] for r in rows if r[0] == 7)
+    assert all(r[4] == f"{r[0]}:chunk:{r[1]:04d}" for r in rows) and len({r[4] for r in rows}) == len(rows)

@@ -127,6 +127,21 @@ def test_ingest_ledger(spark, tmp_path):
     assert done == sorted((d, h, s) for d, h in [("1", "a1"), ("1", "d4"), ("2", "b2"), ("3", "e5")] for s in ("words", "upper"))
 
 
+def test_ingest_moves_no_content(spark, tmp_path):
+    """A batch of new versions goes through its stages without a join or an aggregate over contents; a repeated version is still taken once."""
+    rows = lambda *ids: spark.createDataFrame([(d, f"h{d}", f"text {d}") for d in ids], "doc_id long, content_hash string, text string")
+    plans = []
+
+    def step(given):
+        plans.append(given._jdf.queryExecution().optimizedPlan().toString())
+        return given
+
+    jobs.ingest_batch(rows(1, 2, 3), "a", [("first", step), ("second", step)], str(tmp_path / "root"))
+    assert len(plans) == 2 and not any(word in plan for plan in plans for word in ("Join", "Aggregate"))
+    jobs.ingest_batch(rows(3, 4, 4), "b", [("first", step), ("second", step)], str(tmp_path / "root"))
+    assert sorted(r.text for r in jobs.stage_rows(spark, str(tmp_path / "root"), "second").collect()) == ["text 1", "text 2", "text 3", "text 4"]
+
+
 def test_synonym_stream(spark, tmp_path):
     """A version that is written in mid-stream counts from the next batch on; an empty one expands nothing."""
     path, words = str(tmp_path / "in"), str(tmp_path / "words")
