@@ -697,3 +697,15 @@ def test_chunks_are_moved_once(spark):
     assert [r[1] for r in rows if r[0] == 7] == list(range(1, sum(r[0] == 7 for r in rows) + 1))
     assert [r[2:4] for r in rows if r[0] == 7] == sorted(r[2:4] for r in rows if r[0] == 7)
     assert all(r[4] == f"{r[0]}:chunk:{r[1]:04d}" for r in rows) and len({r[4] for r in rows}) == len(rows)
+
+
+def test_page_texts_go_by_document(spark):
+    """Hits meet the texts of their pages at their document, and pages that it lacks there too: no text is moved for a single hit or gathered by a page id that many share."""
+    texts = {(f"d{d}", f"p{p}"): f"text {d} {p}" for d in range(4) for p in range(d + 1)}
+    pages = spark.createDataFrame([(d, p, t) for (d, p), t in texts.items()] + [(None, "p0", "lost"), ("d3", "p9", None)], "doc_id string, page_id string, content string")
+    hits = [(r, f"c{c}", None if c == 5 else f"d{(r + c) % 5}", [f"p{c % 4}", f"p{r % 3}", None, "nowhere"] if c else []) for r in range(6) for c in range(6)] + [(9, "none", "d1", None), (9, "empty", "d3", ["p9"])]
+    found = retrieval.page_enrich(spark.createDataFrame(hits, "request_id long, chunk_id string, doc_id string, page_ids array<string>"), pages)
+    assert "hashpartitioning(request_id" not in found._jdf.queryExecution().executedPlan().toString()
+    alone = {p: min((d, t) for (d, q), t in texts.items() if q == p)[1] for _, p in texts}
+    want = {(r, c): "\n\n".join(t for p in ids or [] if (t := texts.get((d, p), alone.get(p)))) or None for r, c, d, ids in hits}
+    assert {(r.request_id, r.chunk_id): r.page_content for r in found.collect()} == want
