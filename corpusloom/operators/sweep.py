@@ -55,14 +55,25 @@ def gold_documents(docs: DataFrame, cases: DataFrame) -> DataFrame:
     return by_blocks(docs.sparkSession, cut(cases, "case_id", max(1, -(-chars // PASSAGE_CHARS))), load, scan).groupBy("case_id").agg(F.min("gold_doc").alias("gold_doc"))
 
 
-def search_configurations(chunks: DataFrame, questions: DataFrame, k: int, totals: DataFrame | None = None) -> DataFrame:
-    """(config, case_id, chunk_id, score, rank): the k best chunks of each configuration for every question, weighted by that configuration's own term statistics.
+def index_configurations(chunks: DataFrame, questions: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Chunks (config, chunk_id, tokens and any columns) with the terms of the questions (case_id long, tokens) counted, in one reading."""
+    return vectors.counted_terms(chunks, vectors.bm25_query_weights(questions.select(F.col("case_id").alias("query_id"), "tokens")))
 
-    chunks: config, chunk_id, tokens. questions: case_id long, tokens. totals: config, n_chunks, if they are known.
-    """
-    terms = vectors.bm25_query_weights(questions.select(F.col("case_id").alias("query_id"), "tokens"))
-    weighted = vectors.query_idf(chunks, terms, "config", totals)
-    return vectors.sparse_topk_scan(chunks, weighted, k, group="config").withColumnRenamed("query_id", "case_id")
+
+def search_index(index: list[tuple[DataFrame, DataFrame]], k: int, totals: DataFrame | None = None) -> DataFrame:
+    """(config, case_id, chunk_id, score, rank): the k best chunks of each configuration for every question, weighted by that configuration's own term statistics. totals: config, n_chunks, if they are known."""
+    found = None
+    for counted, terms in index:
+        counted = counted.select("config", "chunk_id", "n", "terms", "counts")
+        weighted = vectors.query_idf(counted.select("config", F.col("terms").alias("tokens")), terms, "config", totals)
+        rows = vectors.sparse_topk_scan(counted, weighted, k, group="config").withColumnRenamed("query_id", "case_id")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def search_configurations(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """``search_index`` of chunks (config, chunk_id, tokens) for questions (case_id long, tokens)."""
+    return search_index(index_configurations(chunks.select("config", "chunk_id", "tokens"), questions), k)
 
 
 def token_recall(tokens: Column, contexts: Column) -> Column:
@@ -96,8 +107,8 @@ def invalid(config: chunk.ChunkConfig) -> str | None:
 def run(docs: DataFrame, cases: DataFrame, configs: dict[str, chunk.ChunkConfig], k: int = 20) -> DataFrame:
     """Scorecard of the configurations: what they made, how they ranked the gold documents and how long it took; an error for those that failed.
 
-    docs: doc_id, text. cases: case_id, passage (also the question). Configurations differ in size and overlap; blocks are made once, with the other settings of the first, and kept, while
-    chunks are cut from them whenever they are read. ingest_sec is the wall-clock of chunking for all configurations, split_sec a configuration's own task seconds, mean_latency_sec the search's wall-clock for each case and configuration.
+    docs: doc_id, text. cases: case_id, passage (also the question). Configurations differ in size and overlap; blocks are made once, with the other settings of the first, and kept;
+    chunks are cut from them in one pass that counts the terms of the cases, and those of the hits once more. ingest_sec is the wall-clock of chunking and counting for all configurations, split_sec a configuration's own task seconds, mean_latency_sec the search's wall-clock for each case and configuration.
     """
     spark = docs.sparkSession
     good = {name: c for name, c in configs.items() if not invalid(c)}
@@ -106,13 +117,13 @@ def run(docs: DataFrame, cases: DataFrame, configs: dict[str, chunk.ChunkConfig]
     cases = stored(cases.select(F.col("case_id").cast("long").alias("case_id"), "gold_doc", "tokens"), "sweep-cases")
     start = time.time()
     like = next(iter(good.values()), chunk.ChunkConfig())
-    blocks = stored(chunk.merge_micro(chunk.breadcrumb(parse.plain_text_pages(docs), like), like).select("doc_id", "block", "text"), "sweep-blocks")
-    made = chunk.split_configurations(blocks, good)
-    stats = stored(made.groupBy("config").agg(F.count("*").alias("n_chunks"), F.avg(F.length("page_content")).alias("mean_chars"), F.sum("split_sec").alias("split_sec")), "sweep-chunks")
+    elements = stored(parse.plain_text_pages(docs), "sweep-elements")
+    blocks = stored(chunk.merge_micro(chunk.breadcrumb(elements, like), like).select("doc_id", "block", "text"), "sweep-blocks")
+    tokenised = lambda cut_, *more: cut_.select("config", "chunk_id", *more, vectors.bm25_tokens(F.col("page_content")).alias("tokens"))
+    index = index_configurations(tokenised(chunk.split_configurations(blocks, good), F.length("page_content").alias("chars"), "split_sec"), cases)
+    stats = stored(index[0][0].groupBy("config").agg(F.count("*").alias("n_chunks"), F.avg("chars").alias("mean_chars"), F.sum("split_sec").alias("split_sec")), "sweep-chunks")
     ingest_sec, start = time.time() - start, time.time()
-    tokenised = lambda cut_: cut_.select("config", "chunk_id", vectors.bm25_tokens(F.col("page_content")).alias("tokens"))
-    chunks = tokenised(made)
-    hits = stored(search_configurations(chunks, cases, k, stats).withColumn("doc_id", F.substring_index("chunk_id", ":chunk:", 1).cast("long")), "sweep-hits")
+    hits = stored(search_index(index, k, stats).withColumn("doc_id", F.substring_index("chunk_id", ":chunk:", 1).cast("long")), "sweep-hits")
     latency = (time.time() - start) / max(1, len(good) * cases.count())
     described = known.join(F.broadcast(stats), "config", "left").withColumn("ingest_sec", F.when(F.col("failed").isNull(), ingest_sec))  # a row for each configuration
     # the chunks of the hits alone are cut once more

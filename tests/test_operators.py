@@ -2,14 +2,16 @@
 
 import hashlib
 import json
+import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import model, split, tokens
-from corpusloom.operators import bookkeeping, chunk, context, evaluate, intake, parse, query, render, retrieval, vectors
+from corpusloom.operators import bookkeeping, chunk, context, evaluate, intake, parse, query, render, retrieval, sweep, vectors
 from corpusloom.sources import files
 
 ELEMENT = "doc_id string, element_id string, order int, type string, format string, content string, level int, ignored boolean, page_id string, asset_uri string"
@@ -709,3 +711,43 @@ def test_page_texts_go_by_document(spark):
     alone = {p: min((d, t) for (d, q), t in texts.items() if q == p)[1] for _, p in texts}
     want = {(r, c): "\n\n".join(t for p in ids or [] if (t := texts.get((d, p), alone.get(p)))) or None for r, c, d, ids in hits}
     assert {(r.request_id, r.chunk_id): r.page_content for r in found.collect()} == want
+
+
+def test_chunks_are_read_once(spark):
+    """However often chunks are counted, weighted and searched, they are made once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def watched(texts):
+        seen.add(len(texts))
+        return texts
+
+    rng = random.Random(5)
+    rows = [("ab"[k % 2], f"c{k:03d}", " ".join(rng.choices("one two three four five six seven".split(), k=1 + k % 9))) for k in range(60)]
+    chunks = spark.createDataFrame(rows, "config string, chunk_id string, text string").withColumn("tokens", F.split(watched("text"), " ")).drop("text")
+    questions = {1: "one two two", 2: "seven", 3: "absent five"}
+    found = sweep.search_configurations(chunks, spark.createDataFrame([(q, t.split()) for q, t in questions.items()], "case_id long, tokens array<string>"), 4).collect()
+    assert seen.value == len(rows)
+    want = set()
+    for config in "ab":
+        own = {c: t.split() for g, c, t in rows if g == config}
+        idf = lambda t: math.log((len(own) - (n := sum(t in x for x in own.values())) + 0.5) / (n + 0.5) + 1)  # noqa: B023, E731
+        for q, text in questions.items():
+            scores = {c: round(sum(x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / 300)) * idf(t) for t in sorted(set(text.split())) if t in x), 9) for c, x in own.items()}
+            best = sorted((c for c in scores if scores[c] > 0), key=lambda c: (-scores[c], c))[:4]
+            want |= {(config, q, c, k) for k, c in enumerate(best, 1)}
+    assert {(r.config, r.case_id, r.chunk_id, r["rank"]) for r in found} == want
+
+
+def test_sums_and_products_agree(monkeypatch):
+    """Scores of chunks are the same by sums over sparse terms and by products of dense matrices."""
+    rng = random.Random(2)
+    part = pd.DataFrame([(q, f"t{t:02d}", rng.random()) for q in range(9) for t in rng.sample(range(30), 7)], columns=["query_id", "term", "weight"])
+    scores = vectors._TermScores(part, 3)
+    postings = [(c, t, rng.random()) for c in range(12) for t in sorted(rng.sample(range(len(scores)), rng.randrange(9)))]
+    chunk_, term, weight = (np.array(x) for x in zip(*postings))
+    want = np.zeros((12, len(scores.matrix)))
+    want[chunk_, term] = weight
+    for products in (0, 10**9):
+        monkeypatch.setattr(vectors, "PRODUCTS_A_SUM", products)
+        assert np.allclose(scores._products(chunk_, term, weight, 12), want @ scores.matrix, atol=1e-12)
