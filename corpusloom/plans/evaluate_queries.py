@@ -57,16 +57,16 @@ ranked AS (SELECT config, case_id, gold_doc, gold_rank FROM (SELECT DISTINCT con
 
 
 def _searched(spark, sf_dir):
-    """Chunks of each configuration, the cases with their gold documents, and the 20 best hits. Chunks are cut anew for each reading, within the rows of the documents."""
+    """Chunks of each configuration, the cases with their gold documents, and the 20 best hits. Chunks are cut within the rows of the documents; tokens are read off the lines, whose tokens are those of pages and documents too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     line = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
-    some = lambda at, content: F.struct(at.alias("at"), content.alias("content"))
-    of = lambda config, found: F.transform(found, lambda x: F.struct(F.lit(config).alias("config"), F.concat(F.lit(":"), x["at"]).alias("at"), x["content"].alias("content")))
+    some = lambda at, tokens: F.struct(at.alias("at"), tokens.alias("tokens"))
+    of = lambda config, found: F.transform(found, lambda x: F.struct(F.lit(config).alias("config"), F.concat(F.lit(":"), x["at"]).alias("at"), x["tokens"].alias("tokens")))
     starts = F.when(F.size("line") > 0, F.sequence(F.lit(0), F.size("line") - 1, F.lit(7))).otherwise(F.array().cast("array<int>"))
-    pages = F.transform(starts, lambda i: some(F.concat(F.lit("p"), F.floor(i / 7).cast("string")), F.array_join(F.slice("line", i + 1, 7), " ")))
-    every = F.concat(of("line", F.transform("line", lambda x, i: some(i.cast("string"), x))), of("page", pages), of("document", F.array(some(F.lit("d"), F.col("text")))))
-    chunks = docs.withColumn("line", line).select("doc_id", F.explode(every).alias("c"))
-    chunks = chunks.select("c.config", "doc_id", F.concat(F.col("doc_id").cast("string"), "c.at").alias("chunk_id"), vectors.bm25_tokens(F.col("c.content")).alias("tokens"))
+    pages = F.transform(starts, lambda i: some(F.concat(F.lit("p"), F.floor(i / 7).cast("string")), F.flatten(F.slice("line", i + 1, 7))))
+    every = F.concat(of("line", F.transform("line", lambda x, i: some(i.cast("string"), x))), of("page", pages), of("document", F.array(some(F.lit("d"), F.flatten("line")))))
+    chunks = docs.withColumn("line", F.transform(line, lambda x: vectors.bm25_tokens(x))).select("doc_id", F.explode(every).alias("c"))
+    chunks = chunks.select("c.config", "doc_id", F.concat(F.col("doc_id").cast("string"), "c.at").alias("chunk_id"), "c.tokens")
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"))
     cases = cases.join(sweep.gold_documents(docs, cases), "case_id", "left").select("case_id", "gold_doc", vectors.bm25_tokens(F.col("passage")).alias("tokens"))
     cases = stored(cases, "sweep-cases")
