@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.split import split_keeping_images
 from corpusloom.functions.tokens import token_count, token_truncate
+from corpusloom.sources.shared import stored
 
-from .parse import _open_headings, page_text
+from .parse import _open_headings, page_text, plain_text_pages
 
 
 @dataclass(frozen=True)
@@ -132,7 +133,8 @@ def semantic_chunk(elements: DataFrame, config: ChunkConfig = ChunkConfig(), pre
         prefix, budget = F.coalesce("prefix", F.lit("")), F.coalesce("budget", F.lit(config.chunk_size))
     else:
         prefix, budget = F.lit(""), F.lit(config.chunk_size)
-    blocks = _cut(blocks.where(F.trim("text") != "").withColumns({"_budget": budget.cast("int"), "_prefix": prefix}), config.chunk_overlap)
+    blocks = blocks.where(F.trim("text") != "").withColumns({"_budget": budget.cast("int"), "_prefix": prefix})
+    blocks = _cut(blocks.repartition("doc_id").sortWithinPartitions("doc_id", "block"), config.chunk_overlap)
     rows = blocks.select("*", F.posexplode("_parts").alias("part_index", "_part")).withColumn("part_count", F.size("_parts"))
     order = F.col("_before") + F.col("part_index") + 1
     return rows.select(
@@ -141,10 +143,27 @@ def semantic_chunk(elements: DataFrame, config: ChunkConfig = ChunkConfig(), pre
     )
 
 
+def plain_text_chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """(chunk_id, doc_id, order, page_content, page_ids): ``semantic_chunk`` of ``plain_text_pages``, in one pass over the documents and without moving a text.
+
+    Paragraphs stand under no heading and never merge, so each is a block, and blocks leave the row of their document together and in order. Documents whose id
+    stands in several rows, which are chunked as one, go the way of other elements.
+    """
+    named = docs.where("doc_id is not null")
+    ident = F.xxhash64(F.col("doc_id").cast("string"))
+    repeated = stored(named.groupBy(ident.alias("_id")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_id"), "repeated-documents")
+    of, none = ident == F.col("_id"), repeated.isEmpty()
+    blocks = plain_text_pages(named if none else named.join(repeated, of, "left_anti"))
+    blocks = _cut(blocks.select("doc_id", "page_id", F.col("content").alias("text"), F.lit(config.chunk_size).alias("_budget")), config.chunk_overlap)
+    rows = blocks.select("doc_id", "page_id", "_before", F.posexplode("_parts").alias("_k", "page_content")).withColumn("order", F.col("_before") + F.col("_k") + 1)
+    rows = rows.select(F.format_string("%s:chunk:%04d", "doc_id", "order").alias("chunk_id"), "doc_id", "order", "page_content", F.array("page_id").alias("page_ids"))
+    return rows if none else rows.unionByName(semantic_chunk(plain_text_pages(named.join(repeated, of, "left_semi")), config).select(rows.columns))
+
+
 def _cut(blocks: DataFrame, overlap: int) -> DataFrame:
     """Blocks with ``_parts``, what their text is cut to where it is over ``_budget``, in place of the text, and ``_before``, the number of parts of the blocks before in their document.
 
-    One Python pass over the blocks of a partition in order, a batch at a time; blocks that lie by document already are not moved for it.
+    One Python pass over the blocks of a partition, a batch at a time. Blocks of a document lie together and in their order.
     """
     kept = [c for c in blocks.columns if c not in ("text", "_budget")]
     schema = blocks.select(kept).schema.add("_parts", T.ArrayType(T.StringType())).add("_before", T.IntegerType())
@@ -161,7 +180,7 @@ def _cut(blocks: DataFrame, overlap: int) -> DataFrame:
                 count += len(parts[-1])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(parts, pa.list_(pa.string())), pa.array(before, pa.int32())], names=schema.names)
 
-    return blocks.repartition("doc_id").sortWithinPartitions("doc_id", "block").mapInArrow(run, schema)
+    return blocks.mapInArrow(run, schema)
 
 
 def split_configurations(blocks: DataFrame, configs: dict[str, ChunkConfig]) -> DataFrame:

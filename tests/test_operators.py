@@ -701,6 +701,31 @@ def test_chunks_are_moved_once(spark):
     assert all(r[4] == f"{r[0]}:chunk:{r[1]:04d}" for r in rows) and len({r[4] for r in rows}) == len(rows)
 
 
+def test_paragraphs_are_split_once(spark):
+    """Texts are split and trimmed in one place of the plan, not in a filter before it again; spaces go at their ends alone."""
+    docs = spark.createDataFrame([(1, " one \r\n\r\n\ttwo\x0b\n \n\x0cthree \n\n \t\n\nfour\t\x85"), (2, " \n\n "), (3, None)], "doc_id long, text string")
+    pages = parse.plain_text_pages(docs)
+    assert pages._jdf.queryExecution().executedPlan().toString().count("split(") == 1
+    assert [(r.doc_id, r.order, r.content) for r in pages.orderBy("order").collect()] == [("1", 0, "one"), ("1", 1, "two"), ("1", 2, "three"), ("1", 3, "four\t\x85")]
+
+
+def test_plain_chunks_move_no_text(spark):
+    """Chunks of plain text are those of the general way, cut in the pass that makes the paragraphs; rows that share an id are still one document."""
+    rng = random.Random(7)
+    texts = ["\n\n".join(" ".join(rng.choice(["alpha", "beta. ", "![a](b.png)", "\n", "é" * 30]) for _ in range(rng.randrange(1, 160))) for _ in range(rng.randrange(1, 8))) for _ in range(40)]
+    rows = [*enumerate(texts), (40, None), (41, " \n\n "), (42, "x" * 1500), (None, "lost")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    columns = ["chunk_id", "doc_id", "order", "page_content", "page_ids"]
+    general = lambda docs: chunk.semantic_chunk(parse.plain_text_pages(docs).repartition(5)).select(columns)
+    got = chunk.plain_text_chunks(frame(rows))
+    assert exchanges(got) == 0 and got.columns == columns
+    assert sorted(got.collect()) == sorted(general(frame(rows)).collect()) and got.count() > 100
+    twice = frame([*rows, (3, "more of three"), (3, "and more"), (None, "lost too")])
+    got, want = chunk.plain_text_chunks(twice).collect(), general(twice).collect()
+    assert sorted(r.chunk_id for r in got) == sorted(r.chunk_id for r in want) and len({r.chunk_id for r in got}) == len(got)
+    assert sorted((r.doc_id, r.page_content) for r in got) == sorted((r.doc_id, r.page_content) for r in want)
+
+
 def test_page_texts_go_by_document(spark):
     """Hits meet the texts of their pages at their document, and pages that it lacks there too: no text is moved for a single hit or gathered by a page id that many share."""
     texts = {(f"d{d}", f"p{p}"): f"text {d} {p}" for d in range(4) for p in range(d + 1)}
