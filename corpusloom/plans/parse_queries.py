@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import tokens
+from corpusloom.functions import split, tokens
 from corpusloom.operators import chunk, parse, render
 
 from .projections import ELEMENTS, LINES, elements, lines
@@ -217,7 +217,7 @@ def merge_micro(spark, sf_dir):
 
 @query("recursive_split")
 def recursive_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.recursive_split(F.col("text"))).alias("part_index", "part"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split.recursive_split(F.col("text"))).alias("part_index", "part"))
 
 
 SUMMARY = "CASE WHEN doc_id % 2 = 0 THEN text ELSE split_part(text, chr(10), 1) END"

@@ -7,10 +7,11 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from corpusloom.functions.split import split_text
+from corpusloom.functions.split import split_keeping_images, split_text
 from corpusloom.plans import load, registry
 
 DATA = "/root/testdata/sf0.001"
@@ -145,6 +146,15 @@ def test_recursive_split_covers_texts(spark):
         assert not text[at:].strip()
 
 
+def test_recursive_split_of_odd_texts(spark, tmp_path):
+    """Every part of null, empty, blank, short, unbroken and Korean texts and of texts with images; the query failed by a name it did not find."""
+    texts = [None, "", " \n\n ", "short", "x" * 450, "x" * 1201, "a b. " * 300 + "![p](q.png)" + "\n\n한국어 문장. " * 100, "![one](1.png)![two](2.png)"]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["recursive_split"](spark, str(tmp_path)).collect()))
+    assert got == [(doc, k, part) for doc, text in enumerate(texts) for k, part in enumerate(split_keeping_images(text or ""))]
+    assert {doc for doc, *_ in got} == {3, 4, 5, 6, 7} and [p for d, _, p in got if d == 7] == ["![one](1.png)", "![two](2.png)"]
+
+
 def test_repack_covers_texts(spark):
     found = {}
     for r in registry.QUERIES["repack"](spark, DATA).collect():
