@@ -155,6 +155,18 @@ def test_recursive_split_of_odd_texts(spark, tmp_path):
     assert {doc for doc, *_ in got} == {3, 4, 5, 6, 7} and [p for d, _, p in got if d == 7] == ["![one](1.png)", "![two](2.png)"]
 
 
+def test_contexts_hold_whole_pages(spark, tmp_path):
+    """Pages of over a million characters are not cut, as in the SQL; the query packed contexts to that length."""
+    con = duckdb.connect()
+    con.execute(f"create table documents as select * replace (case when doc_id % 7 = 0 then repeat('word. ', 200000) else text end as text) from '{DATA}/documents.parquet'")
+    con.execute(f"create table events as select * from '{DATA}/events.parquet' where user_id < 6")
+    for t in ("documents", "events"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    want = dict(con.execute(registry.ORACLES["format_context"]).fetchall())
+    assert max(map(len, want.values())) > 1_000_000
+    assert dict(map(tuple, registry.QUERIES["format_context"](spark, str(tmp_path)).collect())) == want
+
+
 def test_repack_covers_texts(spark):
     found = {}
     for r in registry.QUERIES["repack"](spark, DATA).collect():
